@@ -33,13 +33,16 @@ def deliver_once(
     if copies_col in rows.columns:
         raise ValueError(f"the input already has a column {copies_col}")
     names = rows.columns
-    n, best, rank = (fresh(rows, x) for x in ("tm_n", "tm_best", "tm_rank"))
-    rows = rows.withColumn(id_col, canonical_id(q(id_col).cast("string")))
-    counts = rows.where(q(id_col).isNotNull()).groupBy(q(id_col)).agg(F.count(F.lit(1)).alias(n)).where(q(n) > 1)
-    flagged = rows.join(counts, id_col, "left").select(*[q(c) for c in names], q(n))
+    n, best, key = (fresh(rows, x) for x in ("tm_n", "tm_best", "tm_key"))
+    # Rows without an identifier share the key "", whose count is 0. The key is never null, so both
+    # joins below read one and the same exchange of the rows.
+    rows = rows.withColumn(key, F.coalesce(canonical_id(q(id_col).cast("string")), F.lit("")))
+    counts = rows.groupBy(q(key)).agg(F.count_if(q(key) != "").alias(n)).where(q(n) > 1)
+    flagged = rows.join(counts.hint("shuffle_hash"), key, "left").withColumn(id_col, F.nullif(q(key), F.lit("")))
+    flagged = flagged.select(*[q(c) for c in names], q(n))
     singles = flagged.where(q(n).isNull()).select(*[q(c) for c in names], F.lit(1).cast("bigint").alias(copies_col))
     received = instant(q(received_col))
-    hashable = [q(c) for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
+    hashable = [q(c) for c, kind in flagged.select(*[q(c) for c in names]).dtypes if "map<" not in kind and kind != "variant"]
     order = [received.isNull(), received]
     if tie_col and tie_col in names:
         order += [q(tie_col).isNull(), q(tie_col)]
@@ -49,8 +52,8 @@ def deliver_once(
         .groupBy(q(id_col))
         .agg(
             F.min_by(F.struct(*[q(c) for c in names]), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias(best),
-            F.max(q(n)).alias(rank),
+            F.max(q(n)).alias(n),
         )
-        .select(*[F.col(f"`{best}`.`{c}`").alias(c) for c in names], q(rank).alias(copies_col))
+        .select(*[F.col(f"`{best}`.`{c}`").alias(c) for c in names], q(n).alias(copies_col))
     )
     return singles.unionByName(repeated)

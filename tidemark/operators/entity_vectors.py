@@ -66,17 +66,12 @@ def expand(vectors: DataFrame, types: Sequence[str], as_of, entity: str = "conta
     """
     stems = [column_stem(t) for t in types]
     stems = [s if stems.count(s) == 1 else f"{s}_{i}" for i, s in enumerate(stems)]
-    size = len(types)
-    dense = vectors.select(
-        "entity",
-        F.map_from_entries(F.transform("vec", lambda c: F.struct(c["i"], F.struct(c["n"], c["total"], c["last"])))).alias("m"),
-    )
-    if size:
-        at = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at(F.col("m"), i))
-        dense = dense.select("entity", at.alias("cell"))
+    # A cell is looked up by the position of its index in the vector, on a plain array of ints.
+    held = vectors.select("entity", F.col("vec.i").alias("ids"), "vec")
+    dense = held.select("entity", *[F.get("vec", (F.array_position("ids", i) - 1).cast("int")).alias(f"c{i}") for i in range(len(types))])
     out = [F.col("entity").alias(entity)]
     for i, s in enumerate(stems):
-        cell = F.col("cell")[i]
+        cell = F.col(f"c{i}")
         out += [
             F.coalesce(cell["n"], F.lit(0).cast("bigint")).alias(f"{s}_n"),
             F.datediff(F.to_date(as_of), F.to_date(cell["last"])).alias(f"{s}_days"),

@@ -37,9 +37,8 @@ def payload_milli() -> Column:
 
 
 def _late(spark: SparkSession, d: str, amounts: bool) -> dict[str, DataFrame]:
-    cols = ["contact_point_ref", "lender_id", "occurred_at", *(["event_type", "payload"] if amounts else [])]
-    ev = once(spark, d, *cols)
-    ev = ev.select(*[c for c in cols[:3]], "received_at", (payload_milli() if amounts else F.lit(None).cast("bigint")).alias("amount"))
+    amount = (payload_milli() if amounts else F.lit(0).cast("bigint")).alias("amount")
+    ev = once(spark, d, "contact_point_ref", "lender_id", "occurred_at", amount)
     return correct_late(ev, current_watermarks(table(spark, d, "watermarks")))
 
 
@@ -86,10 +85,8 @@ def p2_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_events(spark: SparkSession, d: str) -> DataFrame:
-    ev = once(spark, d, "contact_point_ref", "event_type", "occurred_at", "payload")
-    return ev.where(~is_filler(F.col("contact_point_ref"))).select(
-        "contact_point_ref", "event_type", "occurred_at", "received_at", payload_milli().alias("amount")
-    )
+    ev = once(spark, d, "contact_point_ref", "event_type", "occurred_at", payload_milli().alias("amount"))
+    return ev.where(~is_filler(F.col("contact_point_ref")))
 
 
 def p6_features(spark: SparkSession, d: str, as_of=None) -> DataFrame:
@@ -105,9 +102,9 @@ def p6_features(spark: SparkSession, d: str, as_of=None) -> DataFrame:
 
 
 def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
-    ev = once(spark, d, "contact_point_ref", "event_type", "occurred_at", "payload")
+    ev = once(spark, d, "contact_point_ref", "event_type", "occurred_at", payload_number().alias("value"))
     dials = ev.where((F.col("event_type") == "dial_attempt") & ~is_filler(F.col("contact_point_ref")))
-    return rolling_totals(dials.select("contact_point_ref", "occurred_at", payload_number().alias("value")))
+    return rolling_totals(dials.select("contact_point_ref", "occurred_at", "value"))
 
 
 QUERIES = {

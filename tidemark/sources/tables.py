@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import instant
@@ -19,14 +19,13 @@ def contact_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return df.select(*columns) if columns else df
 
 
-def once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The event log with one row per identifier, pruned to ``columns`` before anything is shuffled.
+def once(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """The event log with one row per identifier, ``columns`` computed before anything is shuffled.
 
-    ``occurred_at`` and ``received_at`` come out as timestamps.
+    ``received_at`` and, where asked for, ``occurred_at`` come out as timestamps.
     """
-    need = list(dict.fromkeys(["event_id", "received_at", "ingested_at", *columns]))
-    df = deliver_once(contact_events(spark, sf_dir, *need)).drop("n_copies", "ingested_at")
-    df = df.withColumn("received_at", instant(F.col("received_at")))
-    if "occurred_at" in need:
-        df = df.withColumn("occurred_at", instant(F.col("occurred_at")))
-    return df
+    plain = [c for c in columns if isinstance(c, str) and c not in ("event_id", "received_at", "ingested_at", "occurred_at")]
+    made = [c for c in columns if not isinstance(c, str)]
+    times = [instant(F.col(c)).alias(c) for c in ("received_at", "occurred_at") if c == "received_at" or c in columns]
+    df = contact_events(spark, sf_dir).select("event_id", "ingested_at", *plain, *times, *made)
+    return deliver_once(df).drop("n_copies", "ingested_at")
