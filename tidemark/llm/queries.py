@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import canonical_id, clean_response
+from tidemark.llm.leakage import find_leaks
 from tidemark.llm.runs import collapse_runs
 from tidemark.llm.splits import component_groups, contract, grouped_splits, relation_edges
 from tidemark.llm.tokenize import decode_column, encode_column
@@ -72,6 +73,26 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# p9 ------------------------------------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return find_leaks(docs, table(spark, d, "eval_items"), Scratch(spark, "leaks"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each item that leaked, in how many documents, how much of it at most, and its answer."""
+    found = _leaks(spark, d).groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"), F.count_if("answer_leaked").alias("n_with_answer")
+    )
+    return table(spark, d, "eval_items").select("item_id", "split").join(found, "item_id")
+
+
 # p10 -----------------------------------------------------------------------------------------
 
 
@@ -99,6 +120,8 @@ QUERIES = {
     "p5_splits": p5_splits,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
     "p10_limits": p10_limits,
