@@ -41,7 +41,7 @@ class Settings:
     cosine: float = 0.6
     least: int = 20
     slack: int = 0
-    agree: float = 0.75
+    agree: float = 0.82
     query_block: int = 20_000
     seed: int = 7
 
