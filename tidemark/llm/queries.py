@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import canonical_id, clean_response
 from tidemark.llm.leakage import find_leaks
+from tidemark.llm.pii import redact_text
 from tidemark.llm.runs import collapse_runs
 from tidemark.llm.splits import component_groups, contract, grouped_splits, relation_edges
 from tidemark.llm.tokenize import decode_column, encode_column
@@ -40,6 +41,23 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# p4 ------------------------------------------------------------------------------------------
+
+
+def _remarks(spark: SparkSession, d: str) -> DataFrame:
+    remarks = F.when(F.col("event_type").isin("disposition", "field_visit"), F.get_json_object("payload", "$.remarks"))
+    ev = once(spark, d, remarks.alias("remarks")).where(F.col("remarks").isNotNull())
+    return redact_text(ev.select("event_id", "remarks"), "remarks")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _remarks(spark, d).select("event_id", F.explode("pii.kinds").alias("pii_type"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _remarks(spark, d).select("event_id", F.col("pii.redacted").alias("remarks"), F.size("pii.found").alias("n_redacted"))
+
+
 # p5 ------------------------------------------------------------------------------------------
 
 RELATED = ("account_id", "contact_point_ref", "borrower_id")
@@ -116,6 +134,8 @@ def p10_limits(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_runs": p3_runs,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p8_ids": p8_ids,
