@@ -24,8 +24,9 @@ def once(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
 
     ``received_at`` and, where asked for, ``occurred_at`` come out as timestamps.
     """
-    plain = [c for c in columns if isinstance(c, str) and c not in ("event_id", "received_at", "ingested_at", "occurred_at")]
+    named = {c for c in columns if isinstance(c, str)}
+    plain = sorted(named - {"event_id", "received_at", "ingested_at", "occurred_at"})
     made = [c for c in columns if not isinstance(c, str)]
-    times = [instant(F.col(c)).alias(c) for c in ("received_at", "occurred_at") if c == "received_at" or c in columns]
+    times = [instant(F.col(c)).alias(c) for c in ("received_at", "occurred_at") if c == "received_at" or c in named]
     df = contact_events(spark, sf_dir).select("event_id", "ingested_at", *plain, *times, *made)
     return deliver_once(df).drop("n_copies", "ingested_at")
