@@ -241,7 +241,12 @@ def d8_shared_counts(spark, d):
     return sharing.shared_counts(_universe(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE cp AS (SELECT DISTINCT lender_id, borrower_id, contact_point_ref FROM contact_points WHERE {HAVE_KEYS} AND try_cast(created_at AS TIMESTAMPTZ) <= {T0}),
+e AS (SELECT DISTINCT a.lender_id, a.borrower_id AS x, b.borrower_id AS y FROM cp a JOIN cp b USING (lender_id, contact_point_ref)),
+r AS (SELECT lender_id, borrower_id AS x, borrower_id AS y FROM (SELECT DISTINCT lender_id, borrower_id FROM cp) UNION SELECT r.lender_id, r.x, e.y FROM r JOIN e ON e.lender_id = r.lender_id AND e.x = r.y)
+SELECT lender_id, x AS borrower_id, min(y) AS component, count(*) AS n_borrowers FROM r GROUP BY 1, 2"""
+)
 def d9_components(spark, d):
     links = ParquetSource(spark, d).contact_points(as_of())
     return sharing.component_sizes(links, Scratch(spark, "components"))
@@ -318,3 +323,314 @@ round(avg(extract(hour FROM {VISIT}) + extract(minute FROM {VISIT}) / 60.0), 9)
 )
 def d13_visits(spark, d):
     return rounded(sharing.visits(seen(spark, d), as_of()))
+
+
+# Labels, modes and splits --------------------------------------------------------------------
+
+from tidemark.operators import labels, metrics, ranking  # noqa: E402
+
+T1 = f"({T0} - INTERVAL 7 DAY)"
+PAIRS = (
+    BASE
+    + """, pairs AS (SELECT account_id, contact_point_ref, occurred_at, bool_or(event_type = 'dial_attempt') AS has_dial, bool_or(coalesce(event_type = 'dial_attempt' AND network_response = 'answered', false)) AS answered,
+  bool_or(coalesce(event_type = 'disposition' AND disposition IN ('rpc', 'promise_to_pay', 'callback', 'dispute'), false)) AS good, bool_or(coalesce(event_type = 'disposition' AND disposition = 'rpc', false)) AS st
+  FROM ev WHERE event_type IN ('dial_attempt', 'disposition') AND account_id IS NOT NULL AND contact_point_ref IS NOT NULL AND occurred_at IS NOT NULL GROUP BY 1, 2, 3) """
+)
+
+
+def _week_ago():
+    return as_of() - F.expr("INTERVAL '7' DAY")
+
+
+@query(PAIRS + "SELECT account_id, contact_point_ref, epoch_us(occurred_at) AS us, has_dial, answered, answered AND good AS is_rpc, answered AND st AS is_strict FROM pairs")
+def c15_companion_pair(spark, d):
+    return labels.companion_pairs(seen(spark, d)).select("account_id", "contact_point_ref", F.unix_micros("occurred_at").alias("us"), "has_dial", "answered", "is_rpc", "is_strict")
+
+
+@query(
+    PAIRS
+    + f"""SELECT account_id, contact_point_ref, coalesce(n, 0) AS n_dials, rpc, strict, n IS NULL AS censored
+FROM (SELECT DISTINCT account_id, contact_point_ref FROM ev WHERE account_id IS NOT NULL AND contact_point_ref IS NOT NULL)
+LEFT JOIN (SELECT account_id, contact_point_ref, count(*) AS n, bool_or(answered AND good) AS rpc, bool_or(answered AND st) AS strict FROM pairs WHERE has_dial AND occurred_at > {T1} AND occurred_at <= {T0} GROUP BY 1, 2) USING (account_id, contact_point_ref)"""
+)
+def d16_rpc_labels(spark, d):
+    """Censored right-party-contact labels of the last week."""
+    ev = seen(spark, d)
+    return labels.rpc_labels(ev, labels.companion_pairs(ev), _week_ago(), as_of())
+
+
+@query(PAIRS + f"SELECT account_id, contact_point_ref, bool_or(answered AND good) AS ever_rpc FROM pairs WHERE occurred_at <= {T1} GROUP BY 1, 2")
+def d17_ever_rpc(spark, d):
+    return labels.ever_rpc(labels.companion_pairs(seen(spark, d)), _week_ago())
+
+
+@query(
+    BASE
+    + f"""SELECT {KEYS}, coalesce(bool_or(event_type = 'disposition' AND disposition IN ('rpc', 'promise_to_pay', 'callback', 'dispute')), false) AS rpc_next, bool_or(event_type = 'dial_attempt') AS dialled_next
+FROM kev WHERE occurred_at > {T1} AND occurred_at <= {T0} GROUP BY ALL"""
+)
+def d18_feature_labels(spark, d):
+    ev = telephony.keyed(seen(spark, d)).where((F.col("occurred_at") > _week_ago()) & (F.col("occurred_at") <= as_of()))
+    rpc = (F.col("event_type") == "disposition") & F.col("disposition").isin("rpc", "promise_to_pay", "callback", "dispute")
+    return ev.groupBy(*CP_KEYS).agg(F.coalesce(F.bool_or(rpc), F.lit(False)).alias("rpc_next"), F.bool_or(F.col("event_type") == "dial_attempt").alias("dialled_next"))
+
+
+@query(
+    PAIRS
+    + f"""SELECT DISTINCT r.account_id, r.contact_point_ref FROM pairs r JOIN ev p ON p.event_type = 'payment' AND p.account_id = r.account_id AND p.occurred_at >= r.occurred_at AND p.occurred_at <= r.occurred_at + INTERVAL 7 DAY AND p.occurred_at <= {T0}
+WHERE r.answered AND r.good AND r.occurred_at <= {T0}"""
+)
+def c11_pay_weak(spark, d):
+    ev = seen(spark, d)
+    return labels.weak_payment_labels(labels.companion_pairs(ev), ev.where(F.col("event_type") == "payment"), as_of())
+
+
+@query(
+    BASE
+    + """, s AS (SELECT DISTINCT account_id, occurred_at AS start FROM ev WHERE event_type = 'contact_point_update' AND update_source = 'skip_trace' AND account_id IS NOT NULL), p AS (SELECT account_id, occurred_at FROM ev WHERE event_type = 'payment'),
+x AS (SELECT s.*, s.start + INTERVAL 30 DAY > (SELECT max(occurred_at) FROM p) AS censored, EXISTS (SELECT 1 FROM p WHERE p.account_id = s.account_id AND p.occurred_at > s.start AND p.occurred_at <= s.start + INTERVAL 30 DAY) AS paid FROM s)
+SELECT account_id, epoch_us(start) AS start_us, CASE WHEN NOT censored THEN paid END AS paid, censored FROM x"""
+)
+def c12_trace_paid(spark, d):
+    ev = seen(spark, d)
+    starts = ev.where((F.col("event_type") == "contact_point_update") & (F.col("update_source") == "skip_trace")).select("account_id", F.col("occurred_at").alias("start"))
+    out = labels.paid_after(starts, ev.where(F.col("event_type") == "payment"), 30)
+    return out.select("account_id", F.unix_micros("start").alias("start_us"), "paid", "censored")
+
+
+@query(
+    BASE
+    + """, s AS (SELECT account_id, max(occurred_at) AS at FROM ev WHERE event_type = 'contact_point_update' AND update_source = 'skip_trace' AND account_id IS NOT NULL GROUP BY 1)
+SELECT s.account_id, count(*) AS n_before, count(*) FILTER (WHERE network_response = 'answered') AS n_answered_before FROM s JOIN ev e ON e.account_id = s.account_id AND e.event_type = 'dial_attempt' AND e.occurred_at <= s.at GROUP BY 1"""
+)
+def c13_pre_trace(spark, d):
+    ev = seen(spark, d)
+    at = ev.where((F.col("event_type") == "contact_point_update") & (F.col("update_source") == "skip_trace")).dropna(subset=["account_id"]).groupBy("account_id").agg(F.max("occurred_at").alias("at"))
+    dials = ev.where(F.col("event_type") == "dial_attempt").select("account_id", "occurred_at", "network_response")
+    return dials.join(at, "account_id").where(F.col("occurred_at") <= F.col("at")).groupBy("account_id").agg(F.count(F.lit(1)).alias("n_before"), F.count_if(F.coalesce(F.col("network_response") == "answered", F.lit(False))).alias("n_answered_before"))
+
+
+@query(
+    BASE
+    + """SELECT contact_point_ref, account_id, n FROM (SELECT contact_point_ref, account_id, count(*) AS n FROM ev WHERE contact_point_ref IS NOT NULL AND account_id IS NOT NULL GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY contact_point_ref ORDER BY n DESC, account_id) = 1"""
+)
+def d14_modal_account(spark, d):
+    return labels.mode_of(seen(spark, d).where(F.col("contact_point_ref").isNotNull()), ["contact_point_ref"], "account_id").select("contact_point_ref", "account_id", "n")
+
+
+@query("SELECT account_id, CAST((('0x' || substr(sha256(account_id), 1, 16))::UHUGEINT * 18446744073709551616::UHUGEINT + ('0x' || substr(sha256(account_id), 17, 16))::UHUGEINT) % 5 AS BIGINT) AS fold_high FROM accounts WHERE account_id IS NOT NULL")
+def m2_account_folds(spark, d):
+    """Fold of the upper 128 bits by the operator's own arithmetic, as SQL can check it."""
+    acc = spark.read.parquet(f"{d}/accounts.parquet").where(F.col("account_id").isNotNull())
+    digest = F.sha2("account_id", 256)
+    rest = F.lit(0).cast("bigint")
+    for i in range(0, 32, 8):
+        rest = F.pmod(rest * (16**8 % 5) + F.conv(F.substring(digest, i + 1, 8), 16, 10).cast("bigint"), F.lit(5))
+    return acc.select("account_id", rest.cast("bigint").alias("fold_high"))
+
+
+@query()
+def m2_account_split(spark, d):
+    """Whole-digest folds and the number of contact references whose accounts span several."""
+    ev = seen(spark, d).dropna(subset=["account_id", "contact_point_ref"]).select("account_id", "contact_point_ref").distinct().withColumn("fold", labels.account_fold(F.col("account_id"), 5))
+    return ev.groupBy("contact_point_ref").agg(F.count_distinct("fold").alias("n_folds")).groupBy("n_folds").agg(F.count(F.lit(1)).alias("n_refs"))
+
+
+# Metrics -------------------------------------------------------------------------------------
+
+SCORED = (
+    BASE
+    + f""", h AS (SELECT {KEYS}, count(*) AS n, count(*) FILTER (WHERE network_response = 'answered') AS a FROM kev WHERE event_type = 'dial_attempt' AND occurred_at <= {T1} AND received_at <= {T1} GROUP BY ALL),
+l AS (SELECT {KEYS}, max(CASE WHEN network_response = 'answered' THEN 1 ELSE 0 END) AS y FROM kev WHERE event_type = 'dial_attempt' AND occurred_at > {T1} AND occurred_at <= {T0} GROUP BY ALL),
+scored AS (SELECT {KEYS}, y, round((coalesce(a, 0) + 1) / (coalesce(n, 0) + 2.0), 3) AS p FROM l LEFT JOIN h USING ({KEYS})) """
+)
+
+
+def scored_rows(spark, d) -> DataFrame:
+    """Contact points dialled in the last week: answered then, and the answer rate before."""
+    src = ParquetSource(spark, d)
+    dials = telephony.keyed(src.visible(as_of())).where(F.col("event_type") == "dial_attempt")
+    ans = F.coalesce(F.col("network_response") == "answered", F.lit(False))
+    before = (F.col("occurred_at") <= _week_ago()) & (F.col("received_at") <= _week_ago())
+    after = (F.col("occurred_at") > _week_ago()) & (F.col("occurred_at") <= as_of())
+    agg = dials.groupBy(*CP_KEYS).agg(F.count_if(before).alias("n"), F.count_if(before & ans).alias("a"), F.count_if(after).alias("m"), F.max(F.when(after, ans.cast("int"))).alias("y"))
+    return agg.where(F.col("m") > 0).select(*CP_KEYS, "y", F.round((F.col("a") + 1) / (F.col("n") + F.lit(2.0)), 3).alias("p"))
+
+
+@query(
+    SCORED
+    + """, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM scored)
+SELECT round((sum(k) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 9) AS auc FROM r"""
+)
+def d24_roc_auc(spark, d):
+    return rounded(metrics.roc_auc(scored_rows(spark, d)))
+
+
+@query(
+    SCORED
+    + """, c AS (SELECT p, count(*) AS n, sum(y) AS pos FROM scored GROUP BY 1), s AS (SELECT *, sum(n) OVER (ORDER BY p DESC) AS cn, sum(pos) OVER (ORDER BY p DESC) AS cp FROM c)
+SELECT round(sum(pos * cp::DOUBLE / cn) / sum(pos), 9) AS average_precision FROM s"""
+)
+def d25_pr_auc(spark, d):
+    return rounded(metrics.pr_auc(scored_rows(spark, d)))
+
+
+@query(
+    SCORED
+    + """SELECT lender_id, count(*) AS n, round(avg((p - y) * (p - y)), 9) AS brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 9) AS log_loss, round(avg(-(5.0 * y * ln(p) + (1 - y) * ln(1 - p))), 9) AS cost_weighted_loss FROM scored GROUP BY 1"""
+)
+def d26_brier_logloss(spark, d):
+    """Brier score, log loss and cost-weighted loss per lender."""
+    return rounded(metrics.pointwise(scored_rows(spark, d), ["lender_id"], 5.0, 1.0))
+
+
+BIN = "CASE " + " ".join(f"WHEN p <= {k / 10} THEN {k}" for k in range(1, 10)) + " ELSE 10 END"
+
+
+@query(
+    SCORED
+    + f"""SELECT CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n, round(mp, 9) AS mean_p, round(r, 9) AS rate FROM generate_series(1, 10) t(b) LEFT JOIN (SELECT {BIN} AS b, count(*) AS n, avg(p) AS mp, avg(y) AS r FROM scored GROUP BY 1) USING (b)"""
+)
+def d22_reliability(spark, d):
+    return rounded(metrics.reliability(scored_rows(spark, d), spark))
+
+
+@query(SCORED + f"SELECT lender_id, round(sum(n * abs(r - mp)) / sum(n), 9) AS ece FROM (SELECT lender_id, {BIN} AS b, count(*) AS n, avg(p) AS mp, avg(y) AS r FROM scored GROUP BY 1, 2) GROUP BY 1")
+def d23_ece(spark, d):
+    return rounded(metrics.calibration_error(scored_rows(spark, d), ["lender_id"]))
+
+
+@query(
+    SCORED
+    + """, x AS (SELECT t AS threshold, count(*) FILTER (WHERE p >= t AND y = 1) AS tp, count(*) FILTER (WHERE p >= t AND y = 0) AS fp, count(*) FILTER (WHERE p < t AND y = 1) AS fn FROM scored, (VALUES (0.1::DOUBLE), (0.25), (0.5), (0.75)) v(t) GROUP BY 1)
+SELECT *, round(tp::DOUBLE / nullif(tp + fp, 0), 9) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 9) AS recall FROM x"""
+)
+def d27_pr_thresholds(spark, d):
+    return rounded(metrics.at_thresholds(scored_rows(spark, d), [0.1, 0.25, 0.5, 0.75]))
+
+
+@query(SCORED + f"SELECT count(*) AS k, round(sum(y) * 1000.0 / count(*), 9) AS per_1000 FROM (SELECT * FROM scored ORDER BY p DESC, concat_ws('|', {KEYS}) LIMIT 100)")
+def d29_rpc_per_1000(spark, d):
+    return rounded(metrics.top_hits(scored_rows(spark, d).withColumn("id", F.concat_ws("|", *CP_KEYS)), 100, "id"))
+
+
+@query(SCORED + "SELECT round(sum(w) * sum(w) / sum(w * w), 6) AS ess FROM (SELECT least(20.0, 1.0 / greatest(0.05, least(0.95, p))) AS w FROM scored)")
+def d34_ess(spark, d):
+    w = F.least(F.lit(20.0), 1.0 / F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("p"))))
+    return rounded(metrics.effective_sample_size(scored_rows(spark, d).select(w.alias("w"))), 6)
+
+
+@query()
+def d33_bootstrap_ci(spark, d):
+    rows = scored_rows(spark, d).withColumn("id", F.concat_ws("|", *CP_KEYS))
+    return rounded(metrics.bootstrap_interval(rows, (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))))
+
+
+@query(
+    SCORED
+    + """, t AS (SELECT lender_id, count(*) AS n, greatest(1, count(*) // 100) AS k FROM scored GROUP BY 1), r AS (SELECT s.*, row_number() OVER (PARTITION BY lender_id ORDER BY p DESC, borrower_id, contact_point_ref) AS rank FROM scored s)
+SELECT lender_id, borrower_id, contact_point_ref, p, rank FROM r JOIN t USING (lender_id) WHERE rank <= k"""
+)
+def e9_review_rank(spark, d):
+    """The top percent of each lender by score, at least one."""
+    s = scored_rows(spark, d)
+    k = s.groupBy("lender_id").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 100)).alias("k"))
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("lender_id").orderBy(F.desc("p"), "borrower_id", "contact_point_ref"))
+    return s.withColumn("rank", rank).join(F.broadcast(k), "lender_id").where(F.col("rank") <= F.col("k")).select(*CP_KEYS, "p", "rank")
+
+
+@query(
+    SCORED
+    + """, r AS (SELECT lender_id, abs(y - p) AS r FROM scored), o AS (SELECT *, row_number() OVER (PARTITION BY lender_id ORDER BY r) AS k, count(*) OVER (PARTITION BY lender_id) AS n FROM r)
+SELECT lender_id, round(coalesce(min(r) FILTER (WHERE k >= ceil(CAST(0.9 AS DOUBLE) * (n + 1))), max(r)), 9) AS radius, max(n) AS n FROM o GROUP BY 1"""
+)
+def k11_conformal(spark, d):
+    return rounded(ranking.conformal_radius(scored_rows(spark, d), 0.1, "lender_id"))
+
+
+# Shrunken rates, ranks and budgets -----------------------------------------------------------
+
+ATT = DIALS + """, att AS (SELECT lender_id, CASE WHEN h >= 8 AND h < 12 THEN 'morning' WHEN h >= 12 AND h < 16 THEN 'afternoon' WHEN h >= 16 AND h < 19 THEN 'evening' ELSE 'off_hours' END AS slot, CASE WHEN ans THEN 1 ELSE 0 END AS y FROM dials),
+g AS (SELECT avg(y) AS overall FROM att), c AS (SELECT lender_id, slot, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, (sum(y) + 50.0 * any_value(overall)) / (count(*) + 50.0) AS rate, any_value(overall) AS overall FROM att, g GROUP BY 1, 2),
+rates AS (SELECT lender_id, slot, n, hits, rate, CASE WHEN n < 20 THEN 1.0 ELSE least(2.0, greatest(0.5, rate / overall)) END AS multiplier FROM c) """
+
+
+def _attempts(spark, d):
+    dials = telephony.keyed(seen(spark, d)).where((F.col("event_type") == "dial_attempt") & (F.col("occurred_at") <= as_of()))
+    slot = F.coalesce(telephony.slot_of(F.col("occurred_at")), F.lit("off_hours"))
+    return dials.select("lender_id", slot.alias("slot"), F.coalesce(F.col("network_response") == "answered", F.lit(False)).cast("int").alias("y"))
+
+
+@query(ATT + "SELECT lender_id, slot, n, hits, round(rate, 9) AS rate, round(multiplier, 9) AS multiplier FROM rates")
+def d19_slot_rates(spark, d):
+    """Shrunken rate per lender and slot, and its multiplier."""
+    return rounded(ranking.slot_rates(_attempts(spark, d), "lender_id", "slot", "y"))
+
+
+@query(ATT + "SELECT lender_id, CASE WHEN bool_or(multiplier <> 1.0) THEN first(slot ORDER BY multiplier DESC, slot) END AS best_slot FROM rates GROUP BY 1")
+def f6_best_slot(spark, d):
+    return ranking.best_slot(ranking.slot_rates(_attempts(spark, d), "lender_id", "slot", "y"), "lender_id", "slot")
+
+
+@query(
+    BASE
+    + f""", bad AS (SELECT DISTINCT {KEYS} FROM kev WHERE disposition = 'wrong_number'), r AS (SELECT c.source, CASE WHEN b.lender_id IS NULL THEN 0 ELSE 1 END AS bad FROM contact_points c LEFT JOIN bad b USING ({KEYS}) WHERE try_cast(c.created_at AS TIMESTAMPTZ) <= {T0})
+SELECT source, count(*) AS n, round(CASE WHEN count(*) >= 20 THEN (sum(bad) + 10.0 * (SELECT avg(bad) FROM r)) / (count(*) + 10.0) ELSE (SELECT avg(bad) FROM r) END, 9) AS prior FROM r GROUP BY 1"""
+)
+def d20_source_priors(spark, d):
+    src = ParquetSource(spark, d)
+    bad = telephony.keyed(src.visible(as_of())).where(F.col("disposition") == "wrong_number")
+    return rounded(ranking.source_priors(src.contact_points(as_of()), bad, CP_KEYS))
+
+
+@query(
+    BASE
+    + f"""SELECT {KEYS}, count(*) AS n, count(*) FILTER (WHERE disposition = 'third_party') AS hits, round((0.1 * 10.0 + count(*) FILTER (WHERE disposition = 'third_party')) / (10.0 + count(*)), 9) AS risk FROM kev WHERE event_type = 'disposition' GROUP BY ALL"""
+)
+def k15_third_party_risk(spark, d):
+    disp = telephony.keyed(seen(spark, d)).where(F.col("event_type") == "disposition")
+    agg = disp.groupBy(*CP_KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("disposition") == "third_party", F.lit(False))).alias("hits"))
+    return rounded(agg.withColumn("risk", ranking.posterior_mean(F.lit(0.1), 10.0, F.col("hits"), F.col("n"))))
+
+
+@query(
+    SCALARS.replace("SELECT " + KEYS + ", any_value(lv)", ", sc AS (SELECT " + KEYS + ", any_value(lv)")
+    + f"""), prim AS (SELECT {KEYS}, bool_or(is_primary) AS prim FROM contact_points WHERE {HAVE_KEYS} AND try_cast(created_at AS TIMESTAMPTZ) <= {T0} GROUP BY ALL)
+SELECT {KEYS}, round(greatest(0.0, least(1.0, 0.5 / (1 + consecutive_failures) + 0.05 * CASE WHEN prim THEN 1 ELSE 0 END)), 9) AS p FROM sc LEFT JOIN prim USING ({KEYS})"""
+)
+def k8_incumbent(spark, d):
+    """Streak rule: 0.5 / (1 + trailing failures), a little more for a primary contact."""
+    src = ParquetSource(spark, d)
+    prim = src.contact_points(as_of()).dropna(subset=list(CP_KEYS)).groupBy(*CP_KEYS).agg(F.bool_or("is_primary").alias("prim"))
+    s = telephony.dial_scalars(src.visible(as_of()), as_of()).join(prim, list(CP_KEYS), "left")
+    p = 0.5 / (1 + F.col("consecutive_failures")) + 0.05 * F.coalesce(F.col("prim"), F.lit(False)).cast("int")
+    return rounded(s.select(*CP_KEYS, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p")))
+
+
+BORROWERS = "borrowers WHERE outstanding IS NOT NULL AND lender_id IS NOT NULL"
+
+
+@query(
+    f"SELECT lender_id, borrower_id, cost, rank FROM (SELECT lender_id, borrower_id, 100.0::DOUBLE AS cost, CAST(row_number() OVER (PARTITION BY lender_id ORDER BY outstanding DESC, borrower_id) AS INTEGER) AS rank FROM {BORROWERS}) WHERE rank <= 25"
+)
+def e10_budget_equal_cost(spark, d):
+    from pyspark.sql import Window
+
+    b = spark.read.parquet(f"{d}/borrowers.parquet").dropna(subset=["outstanding", "lender_id"]).withColumn("cost", F.lit(100.0))
+    order = [F.desc("outstanding"), F.col("borrower_id")]
+    got = ranking.prefix_budget(b, "lender_id", order, "cost", 2500.0)
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy("lender_id").orderBy(*order))).select("lender_id", "borrower_id", "cost", "rank")
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT lender_id, borrower_id, outstanding / 100 AS cost, row_number() OVER (PARTITION BY lender_id ORDER BY -outstanding, borrower_id) AS k FROM {BORROWERS} AND outstanding / 100 BETWEEN 0 AND 2500),
+w AS (SELECT lender_id, NULL::VARCHAR AS borrower_id, 0::BIGINT AS k, 2500.0::DOUBLE AS budget, NULL::DOUBLE AS cost, 0 AS rank FROM c GROUP BY 1
+  UNION ALL SELECT c.lender_id, CASE WHEN c.cost <= w.budget THEN c.borrower_id END, c.k, CASE WHEN c.cost <= w.budget THEN w.budget - c.cost ELSE w.budget END, c.cost, CASE WHEN c.cost <= w.budget THEN w.rank + 1 ELSE w.rank END FROM w JOIN c ON c.lender_id = w.lender_id AND c.k = w.k + 1)
+SELECT lender_id, borrower_id, cost, rank FROM w WHERE borrower_id IS NOT NULL"""
+)
+def e10_budget_greedy(spark, d):
+    b = spark.read.parquet(f"{d}/borrowers.parquet").dropna(subset=["outstanding", "lender_id"]).withColumn("cost", F.col("outstanding") / 100)
+    return ranking.greedy_budget(b, "lender_id", [-F.col("outstanding")], "cost", 2500.0, "borrower_id")
