@@ -634,3 +634,314 @@ SELECT lender_id, borrower_id, cost, rank FROM w WHERE borrower_id IS NOT NULL""
 def e10_budget_greedy(spark, d):
     b = spark.read.parquet(f"{d}/borrowers.parquet").dropna(subset=["outstanding", "lender_id"]).withColumn("cost", F.col("outstanding") / 100)
     return ranking.greedy_budget(b, "lender_id", [-F.col("outstanding")], "cost", 2500.0, "borrower_id")
+
+
+# Ingest --------------------------------------------------------------------------------------
+
+from tidemark.functions import normalize as norm  # noqa: E402
+from tidemark.functions.core import instant, present  # noqa: E402
+from tidemark.operators import late_events, mapping  # noqa: E402
+from tidemark.sources.tables import contact_events, once, table  # noqa: E402
+
+#: The event log as a raw source of its own, with value maps for the dialler's spellings.
+API_SPEC = {
+    "source": "api",
+    "contact_point": {"raw_field": "contact_point_ref", "kind": "hash_passthrough"},
+    "fields": {
+        "event_id": {"field": "event_id"},
+        "event_type": {"field": "event_type"},
+        "lender_id": {"field": "lender_id"},
+        "borrower_id": {"field": "borrower_id"},
+        "account_id": {"field": "account_id"},
+        "occurred_at": {"field": "occurred_at", "format": "iso"},
+        "received_at": {"field": "received_at", "format": "iso"},
+    },
+    "payload_json_field": "payload",
+}
+DIALER_SPEC = API_SPEC | {
+    "source": "dialer",
+    "payload_json_field": None,
+    "payload": {
+        "network_response": {"field": "payload.network_response", "map": {"answered": "answered", "no_answer": "no_answer", "busy": "busy", "switched_off": "switched_off", "not_reachable": "not_reachable", "does_not_exist": "does_not_exist", "immediate_hangup": "immediate_hangup"}},
+        "ring_seconds": {"field": "payload.ring_seconds", "type": "float"},
+        "channel": {"field": "payload.channel", "default": "voice_bot"},
+    },
+}
+ABSENT = " OR ".join(f"{c} IS NULL OR trim({c}) = ''" for c in ("event_id", "event_type", "lender_id", "borrower_id", "account_id", "contact_point_ref"))
+TYPES = "('dial_attempt', 'disposition', 'bot_transcript', 'field_visit', 'contact_point_update', 'payment')"
+SKEWED = "epoch_us(try_cast(received_at AS TIMESTAMPTZ)) - epoch_us(try_cast(occurred_at AS TIMESTAMPTZ)) < -300000000"
+BAD_TIME = "try_cast(occurred_at AS TIMESTAMPTZ) IS NULL OR try_cast(received_at AS TIMESTAMPTZ) IS NULL"
+
+
+@query(
+    f"""SELECT coalesce(reason, 'accepted') AS reason, event_type, count(*) AS n FROM (SELECT event_type, CASE WHEN {ABSENT} THEN 'missing_required_field' WHEN event_type NOT IN {TYPES} THEN 'unknown_enum'
+WHEN payload IS NULL OR trim(payload) = '' THEN 'missing_required_field' WHEN {BAD_TIME} THEN 'bad_timestamp' WHEN {SKEWED} THEN 'time_inversion' END AS reason FROM contact_events) GROUP BY 1, 2"""
+)
+def b16_validate_reason(spark, d):
+    """The whole log through the canonical mapping, by reason."""
+    out = mapping.apply_mapping(contact_events(spark, d), API_SPEC)
+    return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+KNOWN = "('answered', 'no_answer', 'busy', 'switched_off', 'not_reachable', 'does_not_exist', 'immediate_hangup')"
+
+
+@query(
+    f"""SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM (SELECT CASE WHEN {ABSENT} THEN 'missing_required_field' WHEN trim(payload->>'network_response') <> '' AND payload->>'network_response' NOT IN {KNOWN} THEN 'unknown_enum'
+WHEN payload->>'network_response' IS NULL OR trim(payload->>'network_response') = '' OR try_cast(payload->>'ring_seconds' AS DOUBLE) IS NULL THEN 'missing_required_field' WHEN {BAD_TIME} THEN 'bad_timestamp' WHEN {SKEWED} THEN 'time_inversion' END AS reason
+FROM contact_events WHERE event_type = 'dial_attempt') GROUP BY 1"""
+)
+def b3_value_map(spark, d):
+    """Dial attempts through a value map: spellings outside it are unknown."""
+    dials = contact_events(spark, d).where(F.col("event_type") == "dial_attempt")
+    out = mapping.apply_mapping(dials, DIALER_SPEC)
+    return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def b19_dead_letters(spark, d):
+    raw = contact_events(spark, d)
+    dead = mapping.dead_letters(mapping.apply_mapping(raw, API_SPEC, keep_raw=True), "api")
+    return dead.select("row_hash", "reason", "source")
+
+
+@query(
+    f"""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE coalesce(CASE event_type WHEN 'dial_attempt' THEN (payload->>'network_response' IS NOT NULL AND lower(payload->>'network_response') NOT IN {KNOWN}) OR coalesce(try_cast(payload->>'ring_seconds' AS DOUBLE) < 0, false)
+WHEN 'disposition' THEN lower(payload->>'disposition') NOT IN ('rpc', 'wrong_number', 'third_party', 'switched_off', 'not_reachable', 'promise_to_pay', 'dispute', 'callback')
+WHEN 'field_visit' THEN lower(payload->>'outcome') NOT IN ('locked_premises', 'nobody_of_that_name', 'met_borrower', 'met_third_party', 'address_not_found') OR coalesce(try_cast(payload->>'dwell_seconds' AS BIGINT) < 0, false)
+WHEN 'contact_point_update' THEN lower(payload->>'source') NOT IN ('kyc', 'later_update', 'bureau', 'borrower_on_call', 'skip_trace') WHEN 'payment' THEN NOT coalesce(try_cast(payload->>'amount' AS DOUBLE) > 0, false) END, false)) AS n_bad FROM contact_events GROUP BY 1"""
+)
+def b18_schema_check(spark, d):
+    out = mapping.schema_problems(contact_events(spark, d))
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("schema_problem").alias("n_bad"))
+
+
+@query(
+    PAIRS.replace("bool_or(coalesce(event_type = 'disposition' AND disposition = 'rpc', false)) AS st", "max(disposition) AS disposition, max(network_response) AS network_response")
+    + """SELECT coalesce(disposition IN ('rpc', 'promise_to_pay', 'callback', 'dispute') AND network_response <> 'answered', false) AS quarantined, count(*) AS n FROM pairs GROUP BY 1"""
+)
+def b21_quarantine_split(spark, d):
+    ev = seen(spark, d).where(F.col("event_type").isin("dial_attempt", "disposition")).dropna(subset=["account_id", "contact_point_ref", "occurred_at"])
+    joint = ev.groupBy("account_id", "contact_point_ref", "occurred_at").agg(F.max("disposition").alias("disposition"), F.max("network_response").alias("network_response"))
+    keep, bad = mapping.split_quarantine(joint)
+    return keep.select(F.lit(False).alias("quarantined")).unionByName(bad.select(F.lit(True).alias("quarantined"))).groupBy("quarantined").agg(F.count(F.lit(1)).alias("n"))
+
+
+PHONE = "concat(CASE event_id % 4 WHEN 0 THEN '+91-' WHEN 1 THEN '0' WHEN 2 THEN '91 ' ELSE '' END, CAST(5000000000 + user_id * 7919 + event_id AS VARCHAR))"
+
+
+@query(
+    rf"""SELECT event_id, phone, substr(sha256(phone), 1, 16) AS ref FROM (SELECT event_id, CASE WHEN regexp_matches(d, '^(91|0)\d{{10}}$') THEN right(d, 10) ELSE d END AS phone
+FROM (SELECT event_id, regexp_replace(regexp_replace({PHONE}, '[\s\-.()]+', '', 'g'), '^\+', '') AS d FROM events))"""
+)
+def b9_phone_hash(spark, d):
+    """Normalised and hashed phone numbers."""
+    ev = table(spark, d, "events").select("event_id", F.expr(PHONE.replace("VARCHAR", "STRING")).alias("raw"))
+    return ev.select("event_id", norm.normalize_phone(F.col("raw")).alias("phone"), norm.hash_value(F.col("raw"), "phone").alias("ref"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(trim(a)) > 0 THEN substr(sha256(a), 1, 16) END AS ref FROM (SELECT doc_id, regexp_replace(lower(trim(text)), '[ \t\n\r\f\x0B]+', ' ', 'g') AS a FROM documents)")
+def b10_address_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", norm.hash_value(F.col("text"), "address").alias("ref"))
+
+
+@query()
+def b8_uuid5(spark, d):
+    """Name-based identifiers and keyed hashes of the accounts."""
+    acc = table(spark, d, "accounts")
+    return acc.select("account_id", norm.uuid5(F.concat(F.lit("accounts:"), F.col("account_id"))).alias("uuid"), norm.hash_value(F.col("account_id"), "id", "pepper").alias("keyed"))
+
+
+@query("SELECT count(*) FILTER (WHERE borrower_id IS NOT NULL AND trim(borrower_id) <> '') AS borrowers, count(*) FILTER (WHERE account_id IS NOT NULL AND trim(account_id) <> '') AS accounts, count(*) FILTER (WHERE contact_point_ref IS NOT NULL AND trim(contact_point_ref) <> '') AS contacts FROM contact_events")
+def b15_is_present(spark, d):
+    n = lambda c: F.count_if(present(F.col(c)))
+    return contact_events(spark, d).agg(n("borrower_id").alias("borrowers"), n("account_id").alias("accounts"), n("contact_point_ref").alias("contacts"))
+
+
+@query("SELECT borrower_id, lender_id, product, dpd_bucket, CAST(dpd_days AS BIGINT) AS dpd_start, outstanding, CASE lower(trim(CAST(secured AS VARCHAR))) WHEN 'true' THEN true WHEN 'false' THEN false END AS secured FROM borrowers")
+def b26_passthrough(spark, d):
+    """Account features: the first column that exists, cast; uncastable values null."""
+    b = table(spark, d, "borrowers")
+    first = lambda *names: next((F.col(n) for n in names if n in b.columns), F.lit(None))
+    flag = F.lower(F.trim(first("secured").cast("string")))
+    return b.select(
+        "borrower_id", "lender_id", first("product", "portfolio").alias("product"), first("dpd_bucket", "bucket_start").alias("dpd_bucket"), first("dpd_start", "dpd_days").try_cast("bigint").alias("dpd_start"),
+        first("outstanding").try_cast("double").alias("outstanding"), F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False).alias("secured"),
+    )
+
+
+# Joins, sets, ranks --------------------------------------------------------------------------
+
+
+@query(
+    """SELECT account_id, lender, count(*) AS n FROM (SELECT e.account_id, coalesce(nullif(e.lender_id, 'L06'), a.lender_id) AS lender FROM contact_events e LEFT JOIN (SELECT account_id, min(lender_id) AS lender_id FROM accounts GROUP BY 1) a USING (account_id)) GROUP BY 1, 2"""
+)
+def c1_lookup_left(spark, d):
+    """Fills a missing lender from the accounts, keeping the one that is there."""
+    acc = table(spark, d, "accounts").groupBy("account_id").agg(F.min("lender_id").alias("found"))
+    ev = contact_events(spark, d, "account_id", "lender_id").withColumn("lender_id", F.nullif("lender_id", F.lit("L06")))
+    return ev.join(acc, "account_id", "left").groupBy("account_id", F.coalesce("lender_id", "found").alias("lender")).agg(F.count(F.lit(1)).alias("n"))
+
+
+STAGE = "SELECT *, ingested_at >= (SELECT max(ingested_at) FROM contact_events) - INTERVAL 30 DAY AS staged FROM raw WHERE event_id IS NOT NULL"
+
+
+@query("WITH " + ONCE.split(", once AS")[0] + f", s AS ({STAGE}) SELECT DISTINCT event_id FROM s WHERE staged AND event_id NOT IN (SELECT event_id FROM s WHERE NOT staged)")
+def c3_anti_insert(spark, d):
+    new, old = _staged(spark, d)
+    return new.join(old, "event_id", "left_anti").distinct()
+
+
+@query("WITH " + ONCE.split(", once AS")[0] + f", s AS ({STAGE}) SELECT count(DISTINCT event_id) AS duplicates FROM s WHERE staged AND event_id IN (SELECT event_id FROM s WHERE NOT staged)")
+def c4_semi_dupes(spark, d):
+    new, old = _staged(spark, d)
+    return new.join(old, "event_id", "left_semi").agg(F.count_distinct("event_id").alias("duplicates"))
+
+
+def _staged(spark, d):
+    from tidemark.functions.core import canonical_id
+
+    log = contact_events(spark, d, "event_id", "ingested_at").withColumn("event_id", canonical_id(F.col("event_id"))).where(F.col("event_id").isNotNull())
+    cut = contact_events(spark, d, "ingested_at").agg((F.max("ingested_at") - F.expr("INTERVAL '30' DAY")).alias("cut"))
+    tagged = log.crossJoin(F.broadcast(cut))
+    return tagged.where(F.col("ingested_at") >= F.col("cut")).select("event_id"), tagged.where(F.col("ingested_at") < F.col("cut")).select("event_id")
+
+
+@query(
+    f"""WITH {ONCE}, marks AS (SELECT contact_point_ref, lender_id, watermark_ts FROM watermarks WHERE updated_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY contact_point_ref, lender_id ORDER BY updated_at DESC, watermark_ts DESC NULLS LAST) = 1)
+SELECT DISTINCT contact_point_ref, lender_id FROM once JOIN marks USING (contact_point_ref, lender_id) WHERE received_at > watermark_ts OR occurred_at < watermark_ts"""
+)
+def c6_late_join(spark, d):
+    from tidemark.sources.store import late_keys
+
+    return late_keys(once(spark, d, "contact_point_ref", "lender_id", "occurred_at"), table(spark, d, "watermarks"))
+
+
+@query("SELECT contact_point_ref, lender_id, epoch_us(watermark_ts) AS watermark_us FROM watermarks WHERE updated_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY contact_point_ref, lender_id ORDER BY updated_at DESC, watermark_ts DESC NULLS LAST) = 1")
+def a15_current_watermarks(spark, d):
+    out = late_events.current_watermarks(table(spark, d, "watermarks"))
+    return out.select("contact_point_ref", "lender_id", F.unix_micros("watermark_ts").alias("watermark_us"))
+
+
+LINKS = """links AS (SELECT borrower_id, lender_id, try_cast(created_at AS TIMESTAMPTZ) AS added FROM contact_points WHERE type = 'phone' AND borrower_id IS NOT NULL AND lender_id IS NOT NULL)"""
+
+
+@query(BASE + f", {LINKS} SELECT e.event_id, count(l.added) AS k FROM ev e LEFT JOIN links l ON l.lender_id = e.lender_id AND l.borrower_id = e.borrower_id AND l.added <= e.occurred_at WHERE e.event_type = 'disposition' AND e.lender_id IS NOT NULL AND e.borrower_id IS NOT NULL GROUP BY 1")
+def c14_rank_lookup(spark, d):
+    """For each disposition the number of the borrower's phones added by then: a running count over
+    the union, by day buckets, not a pairing of events with links."""
+    from pyspark.sql import Window
+
+    keys = ["lender_id", "borrower_id"]
+    ev = seen(spark, d).where(F.col("event_type") == "disposition").dropna(subset=keys).select(*keys, "event_id", F.col("occurred_at").alias("at"), F.lit(1).alias("side"), F.lit(0).alias("one"))
+    links = table(spark, d, "contact_points").where(F.col("type") == "phone").dropna(subset=keys).select(*keys, F.lit(None).cast("string").alias("event_id"), instant(F.col("created_at")).alias("at"), F.lit(0).alias("side"), F.lit(1).alias("one"))
+    both = ev.unionByName(links.where(F.col("at").isNotNull())).withColumn("day", F.to_date("at"))
+    daily = both.groupBy(*keys, "day").agg(F.sum("one").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("day")) - F.col("n"))
+    here = F.sum("one").over(Window.partitionBy(*keys, "day").orderBy(F.struct("at", "side")))
+    out = both.withColumn("here", here).where(F.col("side") == 1).join(daily, [*keys, "day"])
+    return out.select("event_id", (F.col("here") + F.col("before")).alias("k"))
+
+
+@query(
+    BASE
+    + """, s AS (SELECT lender_id, borrower_id, contact_point_ref, bool_or(network_response = 'answered') AS a FROM kev WHERE event_type = 'dial_attempt' GROUP BY 1, 2, 3)
+SELECT lender_id, borrower_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(a, false)) AS n_answering, count(*) FILTER (WHERE NOT coalesce(a, false)) AS n_silent FROM s GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) FILTER (WHERE coalesce(a, false)) > 0"""
+)
+def c23_cross_line(spark, d):
+    """Borrowers with silent lines beside an answering one."""
+    dials = telephony.keyed(seen(spark, d)).where(F.col("event_type") == "dial_attempt")
+    line = dials.groupBy(*CP_KEYS).agg(F.max(F.coalesce(F.col("network_response") == "answered", F.lit(False))).alias("a"))
+    out = line.groupBy("lender_id", "borrower_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("a").alias("n_answering"), F.count_if(~F.col("a")).alias("n_silent"))
+    return out.where((F.col("n_lines") >= 2) & (F.col("n_answering") > 0))
+
+
+@query(BASE + f"SELECT CAST({IST.format('occurred_at')} AS DATE) AS day, count(*) AS n, round(avg(CASE WHEN coalesce(network_response = 'answered', false) THEN 0.0 ELSE 1.0 END), 9) AS fail_share FROM kev WHERE event_type = 'dial_attempt' GROUP BY 1")
+def c24_system_day(spark, d):
+    dials = telephony.keyed(seen(spark, d)).where(F.col("event_type") == "dial_attempt")
+    ans = F.coalesce(F.col("network_response") == "answered", F.lit(False))
+    return rounded(dials.groupBy(F.to_date(telephony.local(F.col("occurred_at"))).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(ans, 0.0).otherwise(1.0)).alias("fail_share")))
+
+
+@query("SELECT e.contact_point_ref, bool_or(m.contact_point_ref IS NOT NULL) AS marked, count(*) AS n FROM contact_events e LEFT JOIN (SELECT DISTINCT contact_point_ref, lender_id FROM dirty_contact_points WHERE reason = 'late_event') m ON m.contact_point_ref = e.contact_point_ref AND m.lender_id = e.lender_id WHERE e.contact_point_ref IS NOT NULL GROUP BY 1")
+def c20_marked_semi(spark, d):
+    """Membership of contact points in the marks set so far, per lender."""
+    marks = table(spark, d, "dirty_contact_points").where(F.col("reason") == "late_event").select("contact_point_ref", "lender_id").distinct().withColumn("hit", F.lit(True))
+    ev = contact_events(spark, d, "contact_point_ref", "lender_id").where(F.col("contact_point_ref").isNotNull())
+    n = ev.groupBy("contact_point_ref", "lender_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(marks, ["contact_point_ref", "lender_id"], "left").groupBy("contact_point_ref").agg(F.max(F.coalesce("hit", F.lit(False))).alias("marked"), F.sum("n").alias("n"))
+
+
+@query(
+    """SELECT contact_point_ref, 'both' AS side FROM (SELECT contact_point_ref FROM contact_events WHERE contact_point_ref IS NOT NULL INTERSECT SELECT contact_point_ref FROM contact_points)
+UNION ALL SELECT contact_point_ref, 'log only' FROM (SELECT contact_point_ref FROM contact_events WHERE contact_point_ref IS NOT NULL EXCEPT SELECT contact_point_ref FROM contact_points)
+UNION ALL SELECT contact_point_ref, 'table only' FROM (SELECT contact_point_ref FROM contact_points WHERE contact_point_ref IS NOT NULL EXCEPT SELECT contact_point_ref FROM contact_events)"""
+)
+def g3_intersect_except(spark, d):
+    """Set operations on contact references."""
+    a = contact_events(spark, d, "contact_point_ref").dropna().distinct()
+    b = table(spark, d, "contact_points").select("contact_point_ref").dropna().distinct()
+    both = a.withColumn("in_log", F.lit(True)).join(b.withColumn("in_table", F.lit(True)), "contact_point_ref", "full_outer")
+    side = F.when(F.col("in_log").isNull(), "table only").when(F.col("in_table").isNull(), "log only").otherwise("both")
+    return both.select("contact_point_ref", side.alias("side"))
+
+
+@query(BASE + f", days AS (SELECT unnest(generate_series({T0} - INTERVAL 28 DAY, {T0}, INTERVAL 7 DAY)) AS day) SELECT strftime(day AT TIME ZONE 'UTC', '%Y-%m-%d') AS as_of, lender_id, count(*) FILTER (WHERE event_type = 'dial_attempt') AS n_dials, count(*) FILTER (WHERE network_response = 'answered') AS n_answered FROM typed JOIN days ON received_at <= day AND occurred_at > day - INTERVAL 7 DAY AND occurred_at <= day GROUP BY 1, 2")
+def g1_training_stack(spark, d):
+    """One plan for several as-of dates: each event is shown to the dates whose week it is in (G1, M1)."""
+    ev = ParquetSource(spark, d).events()
+    days = F.sequence(as_of() - F.expr("INTERVAL '28' DAY"), as_of(), F.expr("INTERVAL '7' DAY"))
+    hit = F.filter(days, lambda x: (F.col("received_at") <= x) & (F.col("occurred_at") > x - F.expr("INTERVAL '7' DAY")) & (F.col("occurred_at") <= x))
+    each = ev.select("lender_id", "event_type", "network_response", F.explode(hit).alias("day"))
+    return each.groupBy(F.date_format("day", "yyyy-MM-dd").alias("as_of"), "lender_id").agg(
+        F.count_if(F.col("event_type") == "dial_attempt").alias("n_dials"), F.count_if(F.coalesce(F.col("network_response") == "answered", F.lit(False))).alias("n_answered")
+    )
+
+
+@query(BASE + "SELECT event_id, event_type, epoch_us(occurred_at) AS us FROM ev WHERE lender_id = 'L01' ORDER BY occurred_at, event_id LIMIT 50 OFFSET 100")
+def f4_paginate(spark, d):
+    """The third page of 50 of one lender's events: the limit is the feature."""
+    ev = seen(spark, d).where(F.col("lender_id") == "L01").select("event_id", "event_type", F.unix_micros("occurred_at").alias("us"))
+    return ev.orderBy("us", "event_id").offset(100).limit(50)
+
+
+@query("SELECT 'accounts' AS name, count(*) AS n FROM accounts UNION ALL SELECT 'borrowers', count(*) FROM borrowers UNION ALL SELECT 'contact_points', count(*) FROM contact_points UNION ALL SELECT 'watermarks', count(*) FROM watermarks UNION ALL SELECT 'contact_events', count(*) FROM contact_events")
+def a18_store_counts(spark, d):
+    out = None
+    for t in ("accounts", "borrowers", "contact_points", "watermarks", "contact_events"):
+        one = table(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    BASE
+    + """, hits AS (SELECT event_id, lender_id, contact_point_ref, occurred_at, unnest(list_filter([CASE WHEN disposition = 'wrong_number' THEN 'recycled' END, CASE WHEN disposition = 'third_party' THEN 'third_party' END, CASE WHEN disposition = 'dispute' THEN 'dispute' END], lambda x: x IS NOT NULL)) AS reason FROM kev),
+s AS (SELECT lender_id, contact_point_ref, first(reason ORDER BY occurred_at, event_id) AS reason, list_sort(list(DISTINCT event_id)) AS evidence, count(DISTINCT reason) AS n_reasons, min(struct_pack(o := occurred_at, e := event_id)) AS t0 FROM hits GROUP BY 1, 2)
+SELECT lender_id, contact_point_ref, reason, evidence, n_reasons, CAST(row_number() OVER (PARTITION BY lender_id ORDER BY t0, contact_point_ref) AS INTEGER) AS version FROM s"""
+)
+def i8_suppression_log(spark, d):
+    """Stateless rules per event, then the state of the suppression log."""
+    from tidemark.streaming.intake import fast_path, suppression_log
+
+    rules = [("recycled", F.col("disposition") == "wrong_number"), ("third_party", F.col("disposition") == "third_party"), ("dispute", F.col("disposition") == "dispute")]
+    return suppression_log(fast_path(telephony.keyed(seen(spark, d)), rules))
+
+
+@query(
+    BASE
+    + f"""SELECT account_id, list_sort(list(DISTINCT contact_point_ref)) AS refs, count(DISTINCT contact_point_ref) AS n_refs FROM ev WHERE event_type = 'dial_attempt' AND account_id IS NOT NULL AND contact_point_ref IS NOT NULL AND occurred_at > {T1} GROUP BY 1"""
+)
+def n1_dial_lists(spark, d):
+    ev = seen(spark, d).where((F.col("event_type") == "dial_attempt") & (F.col("occurred_at") > _week_ago())).dropna(subset=["account_id", "contact_point_ref"])
+    return ev.groupBy("account_id").agg(F.array_sort(F.collect_set("contact_point_ref")).alias("refs"), F.count_distinct("contact_point_ref").alias("n_refs"))
+
+
+@query(BASE + f"SELECT {KEYS}, last(outcome ORDER BY occurred_at, received_at, event_id) AS last_outcome, CAST(floor(avg(extract(hour FROM {VISIT}) + extract(minute FROM {VISIT}) / 60.0)) AS BIGINT) AS best_hour FROM kev WHERE event_type = 'field_visit' GROUP BY ALL")
+def n5_visit_health(spark, d):
+    v = sharing.visits(seen(spark, d), as_of())
+    return v.select(*CP_KEYS, "last_outcome", F.floor("mean_visit_hour").alias("best_hour"))
+
+
+@query(BASE + f"SELECT max(epoch_us(received_at)) AS last_received_us, {SINCE.format('max(received_at)')} AS days_stale, count(*) AS n FROM ev")
+def i10_freshness(spark, d):
+    return seen(spark, d).agg(F.max(F.unix_micros("received_at")).alias("last_received_us"), telephony.days_since(as_of(), F.max("received_at")).alias("days_stale"), F.count(F.lit(1)).alias("n"))

@@ -1 +1 @@
-
+"""Structured Streaming intake."""
