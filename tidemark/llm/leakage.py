@@ -38,7 +38,7 @@ class Settings:
     span: int = 3
     query: int = 24
     step: int = 6
-    cosine: float = 0.6
+    cosine: float = 0.65
     least: int = 20
     slack: int = 0
     agree: float = 0.82
@@ -117,12 +117,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def query_windows(words: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """Windows over an item; the last one ends with it."""
+def query_starts(words: np.ndarray, s: Settings) -> list[int]:
+    """Starts of the windows over an item; the last one ends with it."""
     if len(words) <= s.query:
-        return [words]
-    at = list(range(0, len(words) - s.query, s.step)) + [len(words) - s.query]
-    return [words[i : i + s.query] for i in at]
+        return [0]
+    return list(range(0, len(words) - s.query, s.step)) + [len(words) - s.query]
 
 
 def common_words(doc: np.ndarray, where: dict[int, int], n: int) -> int:
@@ -184,30 +183,44 @@ class Index:
     def __init__(self, table: np.ndarray, items: list[tuple[int, np.ndarray]], s: Settings):
         self.s, self.table = s, table
         self.items = dict(items)
-        windows = [(i, w) for i, words in items if len(words) for w in query_windows(words, s)]
-        self.owner = np.array([i for i, _ in windows])
-        vec = [table[w % s.buckets].sum(axis=0) for _, w in windows]
+        windows = [(i, a, words[a : a + s.query]) for i, words in items if len(words) for a in query_starts(words, s)]
+        self.owner = np.array([i for i, _, _ in windows])
+        self.start = np.array([a for _, a, _ in windows])
+        vec = [table[w % s.buckets].sum(axis=0) for _, _, w in windows]
         self.vec = _unit(np.array(vec, dtype=np.float32)) if vec else np.zeros((0, table.shape[1]), np.float32)
 
-    def search(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """text, item, first and last block of the passages near a window of the item."""
+    def search(self, texts: list[np.ndarray]) -> list[tuple[int, ...]]:
+        """text, item, first and last block of the passages near windows of the item, and the first
+        and last start of these windows."""
         s = self.s
         words, starts, per = _blocks(texts, s.block)
         vec, text, first = passages(block_sums(self.table, words % s.buckets, starts), per, s.span)
         vec = _unit(vec)
         out = []
         for a in range(0, len(vec), 512):
-            near = vec[a : a + 512] @ self.vec.T >= s.cosine
-            p, w = np.nonzero(near)
+            p, w = np.nonzero(vec[a : a + 512] @ self.vec.T >= s.cosine)
             if len(p):
-                found = np.unique(np.stack([text[a + p], self.owner[w], first[a + p]], axis=1), axis=0)
-                out.append(found)
+                out.append(np.stack([text[a + p], self.owner[w], first[a + p], self.start[w]], axis=1))
         if not out:
             return []
-        rows = np.unique(np.concatenate(out), axis=0)
+        rows = np.concatenate(out)
+        rows = rows[np.lexsort(rows.T[::-1])]
         gap = (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0) | (np.diff(rows[:, 2]) > s.span)
-        edge = np.concatenate([[0], np.nonzero(gap)[0] + 1, [len(rows)]])
-        return [(int(rows[x, 0]), int(rows[x, 1]), int(rows[x, 2]), int(rows[y - 1, 2])) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        edge = np.concatenate([[0], np.nonzero(gap)[0] + 1])
+        last = np.append(edge[1:], len(rows)) - 1
+        low, high = np.minimum.reduceat(rows[:, 3], edge), np.maximum.reduceat(rows[:, 3], edge)
+        return [tuple(map(int, x)) for x in zip(rows[edge, 0], rows[edge, 1], rows[edge, 2], rows[last, 2], low, high, strict=True)]
+
+    def may_leak(self, region: np.ndarray, item: int, low: int, high: int) -> bool:
+        """A leak has ``least`` consecutive words of the item inside a stretch that begins at some
+        multiple of ``step`` and is ``least + step`` long; its words must be there in order."""
+        s, words = self.s, self.items[item]
+        enough = int(s.agree * (s.least - s.slack))
+        for a in range(max(0, low - s.step), high + s.step + 1, s.step):
+            part = words[a : a + s.least + s.step]
+            if common_words(region, places(part), len(part)) >= enough:
+                return True
+        return False
 
 
 def answer_of(text: str | None) -> np.ndarray:
@@ -323,14 +336,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, s: Settings
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             table, part, answers = shared.value
             index = Index(table, part, s)
-            bits = {i: places(w) for i, w in part}
-            enough = int(s.agree * (s.least - s.slack))
             for ids, texts in _chunks(batches):
                 best: dict[tuple[int, int], tuple] = {}
-                for x, item, first, last in index.search(texts):
+                for x, item, first, last, low, high in index.search(texts):
                     words = index.items[item]
                     region = texts[x][max(0, first - 2) * s.block : (last + s.span + 2) * s.block]
-                    if common_words(region, bits[item], len(words)) < enough:
+                    if not index.may_leak(region, item, low, high):
                         continue
                     hit = leaks(region, words, s)
                     if hit and hit[2] - hit[1] > best.get((x, item), (0,))[0]:
