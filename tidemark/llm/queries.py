@@ -115,7 +115,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _truncated(spark: SparkSession, d: str) -> DataFrame:
-    return flag_truncated(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return flag_truncated(table(spark, d, "documents").select("doc_id", "source", "text"), Scratch(spark, "truncation"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import Scratch
+
 #: Stands for the end of a clause among the words of a text.
 STOP = "¶"
 #: Longest prefix of a word under which it is looked up as a completion.
@@ -73,6 +75,7 @@ def ending_statistics(words: DataFrame) -> DataFrame:
 
 def flag_truncated(
     docs: DataFrame,
+    scratch: Scratch,
     band: int = 40,
     fdr: float = 0.01,
     loose: float = 0.5,
@@ -121,8 +124,10 @@ def flag_truncated(
     word = F.when(stop, F.col("before")).otherwise(F.col("last"))
     prev = F.when(stop, F.col("before2")).otherwise(F.col("before"))
     tails = tails.withColumn("word", word).withColumn("prev", F.when(prev.isNull() | (prev == STOP), "").otherwise(prev)).drop("w", "last", "before", "before2")
+    tails, _ = scratch.cut(tails)
     open_ends = tails.where(~F.col("closed"))
-    stats = ending_statistics(shown.select("words"))
+    # Each of the two is read several times below, and made once.
+    stats, _ = scratch.cut(ending_statistics(shown.select("words")))
     asked = open_ends.select("word").where(F.col("word").isNotNull()).distinct()
     # A longer word that often follows where the text breaks off speaks for a cut inside it.
     longer = stats.where(F.length("word") > 1).select(
@@ -146,7 +151,7 @@ def flag_truncated(
         F.col(f"goes_on{s}") + F.col(f"stops{s}") + F.col(f"ends{s}") + F.col(f"longer{s}") - 1, F.lit(0)
     )
     judged = open_ends.join(known, ["prev", "word"], "left").join(singles, "word", "left").withColumn("finish", F.coalesce(rate(""), rate("_1")))
-    limits = length_hazards(shown.select("source", "n_chars"), band, fdr).where("significant").select("source", "n_chars", F.lit(True).alias("at_limit"))
+    limits = length_hazards(tails.select("source", "n_chars"), band, fdr).where("significant").select("source", "n_chars", F.lit(True).alias("at_limit"))
     at_limit = F.coalesce("at_limit", F.lit(False))
     reason = (
         F.when(F.col("broken"), "broken character")
