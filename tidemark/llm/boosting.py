@@ -83,7 +83,7 @@ def calibrate(score: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(a * score + b)))
+        p = 1 / (1 + np.exp(-np.clip(a * score + b, -40, 40)))
         d, w = target - p, p * (1 - p) + 1e-9
         h = np.array([[np.sum(w * score * score) + 1e-3, np.sum(w * score)], [np.sum(w * score), np.sum(w) + 1e-3]])
         step = np.linalg.solve(h, np.array([np.sum(d * score) - 1e-3 * (a - 1), np.sum(d)]))

@@ -260,7 +260,7 @@ class Detector:
             score, held = self.trees[kind].score(np.array(xs[1])), np.array(ys[1], dtype=float)
             self.platt[kind] = calibrate(score, held)
             a, b = self.platt[kind]
-            self.threshold[kind] = best_threshold(1 / (1 + np.exp(-(a * score + b))), held)
+            self.threshold[kind] = best_threshold(_probability(a * score + b), held)
         return self
 
     # use
@@ -280,7 +280,7 @@ class Detector:
             own = [s for spans in per for s in spans if s.kind == kind]
             if own:
                 a, b = self.platt[kind]
-                p = 1 / (1 + np.exp(-(a * self.trees[kind].score(np.array([s.x for s in own])) + b)))
+                p = _probability(a * self.trees[kind].score(np.array([s.x for s in own])) + b)
                 score.update({id(s): float(v) for s, v in zip(own, p, strict=True)})
         out = []
         for spans in per:
@@ -300,6 +300,10 @@ class Detector:
         return "".join(out) + text[at:]
 
 
+def _probability(log_odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(log_odds, -40, 40)))
+
+
 def _is_true(s: Span, true: list[tuple[int, int, str]]) -> int:
     """A candidate is right if it covers half of a true span of its kind, and is half covered; an
     address, three quarters."""
