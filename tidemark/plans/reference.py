@@ -945,3 +945,74 @@ def n5_visit_health(spark, d):
 @query(BASE + f"SELECT max(epoch_us(received_at)) AS last_received_us, {SINCE.format('max(received_at)')} AS days_stale, count(*) AS n FROM ev")
 def i10_freshness(spark, d):
     return seen(spark, d).agg(F.max(F.unix_micros("received_at")).alias("last_received_us"), telephony.days_since(as_of(), F.max("received_at")).alias("days_stale"), F.count(F.lit(1)).alias("n"))
+
+
+# State tracking and learned models -----------------------------------------------------------
+
+from tidemark.models import hmm, learned  # noqa: E402
+
+UPTO = 20638  # days from 1970-01-01 to AS_OF
+
+
+@query()
+def k4_hmm_score(spark, d):
+    """Filtered, pooled posterior of every line."""
+    return rounded(hmm.score(hmm.observations(seen(spark, d), as_of()), UPTO), 6)
+
+
+@query(
+    BASE
+    + """SELECT lender_id, borrower_id, CASE WHEN event_type = 'payment' THEN '' ELSE contact_point_ref END AS contact_point_ref, CAST(datediff('day', DATE '1970-01-01', CAST(received_at AT TIME ZONE 'UTC' AS DATE)) AS INTEGER) AS day,
+CASE event_type WHEN 'dial_attempt' THEN 'net' WHEN 'disposition' THEN 'disp' ELSE 'pay' END AS kind, CASE WHEN event_type = 'payment' THEN 'paid' ELSE coalesce(network_response, disposition) END AS value, count(*) AS n
+FROM ev WHERE event_type IN ('dial_attempt', 'disposition', 'payment') AND (event_type = 'payment' OR network_response IS NOT NULL OR disposition IS NOT NULL) AND lender_id IS NOT NULL AND (event_type = 'payment' OR contact_point_ref IS NOT NULL)
+AND borrower_id IS NOT NULL AND lower(trim(borrower_id)) NOT IN ('', 'unknown') GROUP BY ALL"""
+)
+def k1_hmm_observations(spark, d):
+    return hmm.observations(seen(spark, d), as_of())
+
+
+@query()
+def k5_hmm_em(spark, d):
+    """Log likelihood by EM round, over all lines."""
+    obs, _ = Scratch(spark, "em").cut(hmm.observations(seen(spark, d), as_of()))
+    _, history = hmm.fit(obs, rounds=3)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(history)], "round int, loglik double")
+
+
+def _training(spark, d) -> DataFrame:
+    """Features a week ago and whether the line answered since."""
+    src = ParquetSource(spark, d)
+    before = src.visible(_week_ago())
+    feats = telephony.dial_windows(before, _week_ago(), (7, 30)).join(telephony.dial_scalars(before, _week_ago()), list(CP_KEYS))
+    return feats.join(scored_rows(spark, d).select(*CP_KEYS, "y"), list(CP_KEYS))
+
+
+def _fitted(spark, d) -> tuple[DataFrame, list[str]]:
+    data, _ = Scratch(spark, "train").cut(_training(spark, d))
+    return data, learned.feature_names(data, "y")
+
+
+@query()
+def k7_gbm(spark, d):
+    data, names = _fitted(spark, d)
+    return rounded(learned.predict(learned.fit_classifier(data, "y", names, maxIter=10, maxDepth=3), data, names).select(*CP_KEYS, "y", "p"), 6)
+
+
+@query()
+def k10_calibrator(spark, d):
+    s = scored_rows(spark, d)
+    return rounded(learned.SegmentCalibrator().fit(s, "lender_id").transform(s, "lender_id").select(*CP_KEYS, "y", "p", "p_cal"), 6)
+
+
+@query()
+def k13_ipw(spark, d):
+    """Logistic propensity and its clipped inverse weights."""
+    data, names = _fitted(spark, d)
+    model = learned.fit_classifier(data, "y", names, "logistic")
+    return rounded(learned.inverse_propensity(learned.predict(model, data, names, "propensity")).select(*CP_KEYS, "propensity", "w"), 6)
+
+
+@query()
+def k14_positive_unlabelled(spark, d):
+    data, names = _fitted(spark, d)
+    return rounded(learned.positive_unlabelled(data, "y", names).select(*CP_KEYS, "risk"), 6)
