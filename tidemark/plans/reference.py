@@ -1016,3 +1016,87 @@ def k13_ipw(spark, d):
 def k14_positive_unlabelled(spark, d):
     data, names = _fitted(spark, d)
     return rounded(learned.positive_unlabelled(data, "y", names).select(*CP_KEYS, "risk"), 6)
+
+
+# Feature frame and evaluation views ----------------------------------------------------------
+
+from tidemark.operators import evaluation  # noqa: E402
+from tidemark.plans.features import build_features  # noqa: E402
+
+
+@query()
+def b27_feature_frame(spark, d):
+    """The whole registry for every contact point."""
+    return rounded(build_features(ParquetSource(spark, d), as_of(), Scratch(spark, "features")), 6)
+
+
+@query(
+    BASE
+    + """, dead AS (SELECT contact_point_ref, min(occurred_at) FILTER (WHERE disposition = 'wrong_number') AS action_at FROM ev WHERE contact_point_ref IS NOT NULL GROUP BY 1 HAVING bool_or(coalesce(network_response = 'does_not_exist', false)))
+SELECT contact_point_ref, coalesce(n, 0) AS n_wasted, action_at IS NOT NULL AND coalesce(n, 0) <= 1 AS within_1, action_at IS NOT NULL AND coalesce(n, 0) <= 3 AS within_3, action_at IS NOT NULL AND coalesce(n, 0) <= 6 AS within_6
+FROM dead LEFT JOIN (SELECT contact_point_ref, count(*) FILTER (WHERE action_at IS NULL OR occurred_at < action_at) AS n FROM ev JOIN dead USING (contact_point_ref) WHERE event_type = 'dial_attempt' GROUP BY 1) USING (contact_point_ref)"""
+)
+def d30_wasted_attempts(spark, d):
+    ev = seen(spark, d).where(F.col("contact_point_ref").isNotNull())
+    dead = ev.groupBy("contact_point_ref").agg(F.min(F.when(F.col("disposition") == "wrong_number", F.col("occurred_at"))).alias("action_at"), F.max(F.coalesce(F.col("network_response") == "does_not_exist", F.lit(False))).alias("gone")).where("gone")
+    return evaluation.wasted_attempts(ev.where(F.col("event_type") == "dial_attempt"), dead)
+
+
+@query(
+    SCORED
+    + """, a AS (SELECT borrower_id AS account_id, max(CASE WHEN p >= 0.2 THEN 1 ELSE 0 END) AS c FROM scored GROUP BY 1)
+SELECT account_id, coalesce(c, 0) = 1 AS covered FROM (SELECT DISTINCT borrower_id AS account_id FROM borrowers) LEFT JOIN a USING (account_id)"""
+)
+def d31_coverage(spark, d):
+    """Borrowers with a contact scored 0.2 or more; the others are orphaned."""
+    s = scored_rows(spark, d).withColumnRenamed("borrower_id", "account_id")
+    who = table(spark, d, "borrowers").select(F.col("borrower_id").alias("account_id"))
+    return evaluation.coverage(s, who, F.lit(False), 0.2)
+
+
+@query(
+    SCORED
+    + "SELECT lender_id, borrower_id, count(*) AS n_contacts, round(avg(p), 9) AS p_mean, max(p) AS p_max, round(avg(y), 9) AS y_mean, CAST(max(y) AS DOUBLE) AS y_max FROM scored GROUP BY 1, 2"
+)
+def d21_account_agg(spark, d):
+    s = scored_rows(spark, d).withColumn("account_id", F.concat_ws("|", "lender_id", "borrower_id"))
+    out = evaluation.account_aggregate(s.select("account_id", "p", "y"), "none", "account_id")
+    cut = F.split("account_id", r"\|")
+    return rounded(out.select(cut[0].alias("lender_id"), cut[1].alias("borrower_id"), "n_contacts", "p_mean", "p_max", "y_mean", "y_max"))
+
+
+@query(SCORED + f"SELECT {KEYS}, p, CAST(row_number() OVER (PARTITION BY lender_id, borrower_id ORDER BY CASE WHEN p >= 0.2 THEN 0 ELSE 1 END, p DESC, contact_point_ref) AS INTEGER) AS position FROM scored")
+def e8_score_rank(spark, d):
+    s = scored_rows(spark, d)
+    return evaluation.rank_contacts(s, ["lender_id", "borrower_id"], F.col("p") >= 0.2, ["p"]).select(*CP_KEYS, "p", "position")
+
+
+@query(
+    SCALARS.replace("SELECT " + KEYS + ", any_value(lv)", ", sc AS (SELECT " + KEYS + ", any_value(lv)")
+    + """) SELECT lender_id || '|' || coalesce(last_response_type, 'none') || '|' || CASE WHEN days_since_last_answer IS NULL THEN 'never' WHEN days_since_last_answer <= 1 THEN '0-1' WHEN days_since_last_answer <= 3 THEN '2-3' WHEN days_since_last_answer <= 7 THEN '4-7' WHEN days_since_last_answer <= 14 THEN '8-14' WHEN days_since_last_answer <= 30 THEN '15-30' ELSE '30+' END AS segment, count(*) AS n FROM sc GROUP BY 1"""
+)
+def m4_segments(spark, d):
+    s = telephony.dial_scalars(seen(spark, d), as_of())
+    seg = evaluation.segment(F.col("lender_id"), F.col("last_response_type"), evaluation.recency_bucket(F.col("days_since_last_answer")))
+    return s.groupBy(seg.alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def f7_dominant_state(spark, d):
+    """The likeliest state of every line after tracking."""
+    s = hmm.score(hmm.observations(seen(spark, d), as_of()), UPTO)
+    return s.select(*CP_KEYS, evaluation.dominant_state(evaluation.normalised({n: F.col(n) for n in hmm.POSTERIOR})).alias("state"))
+
+
+@query(SCORED + "SELECT round(max(abs(p - 1.0 / 3)), 9) AS max_gap, round(avg(CASE WHEN abs(p - 1.0 / 3) <= 0.05 THEN 1.0 ELSE 0.0 END), 9) AS exact_share FROM scored")
+def d35_propensity_exact(spark, d):
+    return rounded(learned.propensity_exact_share(scored_rows(spark, d).withColumn("k", F.lit(3)), "p", "k", 0.05))
+
+
+@query(
+    """SELECT source, count(*) AS n, count(DISTINCT contact_point_ref) AS n_refs, round(avg(CASE WHEN r < 0 THEN 0.0 WHEN r > 1 THEN 1.0 ELSE coalesce(r, 0.0) END), 9) AS mean_risk FROM contact_points LEFT JOIN (SELECT contact_point_ref, count(*) / 3.0 AS r FROM dirty_contact_points GROUP BY 1) USING (contact_point_ref) GROUP BY 1"""
+)
+def c19_risk_merge(spark, d):
+    risk = table(spark, d, "dirty_contact_points").groupBy("contact_point_ref").agg((F.count(F.lit(1)) / 3.0).alias("recycled_risk"))
+    out = evaluation.merged_risk(table(spark, d, "contact_points"), risk, ["contact_point_ref"])
+    return rounded(out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("contact_point_ref").alias("n_refs"), F.avg("recycled_risk").alias("mean_risk")))
