@@ -207,3 +207,24 @@ def test_leaks_against_brute_force(spark):
 
 def test_word_counter_is_stable():
     assert Counter(leakage.hashes_of("a b a").tolist()) == Counter(leakage.hashes_of("B A\na").tolist())
+
+
+def test_clashing_and_extra_columns(spark):
+    df = spark.createDataFrame([("e", "A", "c", "b", 1), ("f", "A", None, None, 2)], ROW + ", root int")
+    out = grouped_splits(df, COLS, "event_id", Scratch(spark, "t"))
+    assert out.columns == [*df.columns, "component", "split"] and sorted(r.root for r in out.collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        grouped_splits(df.withColumn("Split", F.lit(1)), COLS, "event_id", Scratch(spark, "t"))
+    rows = [("A", "p", f"e{i}", DAY0 + dt.timedelta(minutes=i), "busy", "x") for i in range(3)] * 1
+    ev = spark.createDataFrame(rows, EV + ", ptr string").withColumn("slot", F.lit(1)).withColumn("root", F.lit("z")).withColumn("n", F.lit(9))
+    assert [(x.first_id, x.n) for x in collapse_runs(ev, ["a", "c"], Scratch(spark, "t")).collect()] == [("e0", 3)]
+    docs = spark.createDataFrame([(None, "a", "text cut he"), (1, "a", "whole text.")], "doc_id long, source string, text string").withColumn("reason", F.lit("x")).withColumn("words", F.lit("y"))
+    assert {(x.doc_id, x.truncated) for x in flag_truncated(docs, Scratch(spark, "t")).collect()} == {(None, False), (1, False)}
+
+
+def test_equal_items_and_repeated_documents(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words), (1, words), (None, words), (2, "other " * 30)], "doc_id long, text string").withColumn("id", F.lit("x"))
+    items = spark.createDataFrame([(7, words), (8, words), (None, words), (9, None)], "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id) for x in leakage.find_leaks(docs, items, Scratch(spark, "t")).collect())
+    assert got == [(1, 7), (1, 7), (1, 8), (1, 8)]

@@ -82,6 +82,8 @@ def test_redaction_keeps_the_rest(spark, detector):
         assert got[i].redacted == want
     assert got[2].kinds == ["email"] and got[5].kinds == [] and got[3].kinds == []
     assert pii.redact_text(df.limit(0), "remarks", detector).count() == 0
+    with pytest.raises(ValueError):
+        pii.redact_text(df.withColumn("PII", df.id), "remarks", detector)
 
 
 def test_boosting_learns_an_interaction():

@@ -319,7 +319,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, s: Settings
     ``agree`` are the same. ``answer_leaked`` tells whether the words after the item's last question
     mark are in the passage.
 
-    Defined cases: null and empty texts hold no leak, and an item of fewer than ``least`` words has
+    Defined cases: null and empty texts hold no leak, rows without a doc_id or item_id are left out,
+    repeated rows of a document give repeated rows, and an item of fewer than ``least`` words has
     none. Equal items each get their row. Empty tables give no rows.
     """
     s = s or Settings()
@@ -327,7 +328,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, s: Settings
     asked = [(int(r[0]), r[1]) for r in items.select("item_id", "text").where(F.col("item_id").isNotNull()).orderBy("item_id").collect()]
     known = [(i, hashes_of(t)) for i, t in asked]
     answers = {i: answer_of(t) for i, t in asked}
-    tokens, _ = scratch.cut(docs.select(F.col("doc_id").alias("id"), "text").where(F.col("text").isNotNull()).mapInPandas(_hash_words, "id long, words array<long>"))
+    tokens, _ = scratch.cut(docs.select(F.col("doc_id").alias("id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(_hash_words, "id long, words array<long>"))
     table = fit_space(tokens, [w for _, w in known], s)
 
     def search(part: list[tuple[int, np.ndarray]]) -> DataFrame:

@@ -512,8 +512,11 @@ def redact_text(df: DataFrame, text_col: str, detector: Detector | None = None)
     The detector (a few hundred KB, bounded by its training texts) is trained on the driver and
     broadcast; Arrow batches of whole texts are searched in Python workers. Null texts give a null
     redacted text and no kinds; blank ones come back unchanged. Placeholders are the kind in
-    brackets, such as [PHONE]; everything else stays as it is.
+    brackets, such as [PHONE]; everything else stays as it is. Other columns pass; where there is a
+    column ``pii`` already, ValueError is raised.
     """
+    if "pii" in {c.lower() for c in df.columns}:
+        raise ValueError("the input already has a column pii")
     shared = df.sparkSession.sparkContext.broadcast(detector or train())
 
     @F.pandas_udf(SCHEMA)

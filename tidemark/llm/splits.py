@@ -107,8 +107,11 @@ def grouped_splits(rows: DataFrame, cols: Sequence[str], id_col: str, scratch: S
 
     Null, blank and filler values relate nothing; a row without any value is a component of its own,
     keyed by ``id_col``. Rows are counted per first value before the components are joined, so the
-    hot values of the table never meet in one task.
+    hot values of the table never meet in one task. Columns ``component`` and ``split`` are added;
+    where the table has such already, ValueError is raised.
     """
+    if clash := {"component", "split", "tm_vertex"} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"the input already has {sorted(clash)}")
     labels = contract(relation_edges(rows, cols), scratch) if labels is None else labels
     labels, _ = scratch.cut(labels)
     first = F.coalesce(*[vertex(f"{i}:", F.col(c)) for i, c in enumerate(cols)], F.concat(F.lit("row:"), F.coalesce(F.col(id_col), F.lit(""))))

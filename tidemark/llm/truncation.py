@@ -93,7 +93,7 @@ def flag_truncated(
     omission are judged by the words before them.
 
     Defined cases: null, empty and blank texts are not truncated; a null source is a source of its
-    own; an empty table gives no rows.
+    own; a row without a doc_id is not truncated; an empty table gives no rows.
     """
     base = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     body = F.regexp_replace(F.regexp_replace("text", r"\s+$", ""), r"\s*(?:\.{2,}|…)$", "")
