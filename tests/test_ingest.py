@@ -142,3 +142,37 @@ def test_sources_agree_and_hide_the_future(spark, tmp_path):
     assert StoreSource(raw).contact_points(at).count() == 1
     with pytest.raises(FileNotFoundError):
         ParquetSource(spark, f"file://{tmp_path}")
+
+
+def test_loaders(spark, tmp_path):
+    from tidemark.sources.dimensions import fill_lender, load_dimension, load_history, run_ingest_plan, write_report
+
+    dim = load_dimension(spark.createDataFrame([("a", "x1", "7.5"), ("b", "", "n/a")], "acc string, lender string, amt string"), {"acc": "account_id", "lender": "lender_id", "amt": "outstanding"}, {"outstanding": "double"}, {"product": "gold"})
+    assert [(r.account_id, r.outstanding, r["product"]) for r in dim.collect()] == [("a", 7.5, "gold"), ("b", None, "gold")] and "loaded_at" in dim.columns
+    kept, bad = load_history(spark.createDataFrame([("t1", "2026-01-02", "5"), ("t1", "2026-01-01", "x"), (" ", "2026-01-01", "1"), ("t2", "soon", "1")], "trace_id string, trace_date string, cost string"), ["trace_id", "trace_date"], "trace_id", "trace_date", ["cost"])
+    assert [(r.trace_id, str(r.trace_date), r.cost) for r in kept.collect()] == [("t1", "2026-01-01", None)] and bad.count() == 2
+    with pytest.raises(ValueError):
+        load_history(kept, ["gone"], "trace_id", "trace_date")
+    ev = spark.createDataFrame([("a", None), ("a", "L9"), ("z", None)], "account_id string, lender_id string")
+    out, unmatched = fill_lender(ev, spark.createDataFrame([("a", "L1")], "account_id string, lender_id string"))
+    assert sorted((r.account_id, r.lender_id or "") for r in out.collect()) == [("a", "L1"), ("a", "L9"), ("z", "")] and unmatched.first().n_unmatched == 1
+    store = EventStore(spark, f"file://{tmp_path}/plan")
+    totals = run_ingest_plan(store, [("one", canonical(spark, [event(1)]), API_SPEC), ("two", None, API_SPEC), ("three", canonical(spark, [event(2)]), None), ("four", None, None)], only=("one", "two", "three"))
+    assert totals["one"]["inserted"] == 1 and totals["two"] == {"missing": 1} and totals["three"] == {"dead_lettered": 1} and "four" not in totals
+    assert "ref1" not in store.read("dead_letter").first().raw_json
+    write_report(str(tmp_path), "r", {"t": spark.createDataFrame([(1, 2)], "a int, b int")})
+    assert "| 1 | 2 |" in (tmp_path / "r.md").read_text() and json.loads((tmp_path / "r.json").read_text()) == {"t": [{"a": 1, "b": 2}]}
+
+
+def test_streaming_windows(spark, tmp_path):
+    from tidemark.streaming.intake import windowed_counts
+
+    folder = tmp_path / "w"
+    folder.mkdir()
+    rows = [(f"2026-01-{d:02d}T05:00:00Z", "call") for d in (1, 1, 2, 20)]
+    (folder / "a.json").write_text("\n".join(json.dumps({"occurred_at": a, "event_type": b}) for a, b in rows))
+    stream = spark.readStream.schema("occurred_at timestamp, event_type string").json(str(folder))
+    q = windowed_counts(stream).writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cw")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(r.n for r in spark.sql("SELECT n FROM windows").collect())
+    assert got == [1, 2]

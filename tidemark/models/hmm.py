@@ -252,7 +252,7 @@ def fit(obs: DataFrame, p: Tracker | None = None, rounds: int = 12, tol: float =
     data = obs.where(F.col("kind") != "pay")
     if fit_share < 1:
         data = data.where(F.pmod(F.xxhash64("borrower_id", F.lit(seed)), F.lit(10_000)) < int(fit_share * 10_000))
-    lines = data.groupBy(*LINE).agg(F.collect_list(F.struct("day", "kind", "value", "n")).alias("obs"))
+    lines = data.groupBy(*LINE).agg(F.collect_list(F.struct("day", "kind", "value", "n")).alias("obs")).select("obs").persist()
     width = sum(SIZES.values())
     history: list[float] = []
     for _ in range(rounds):
@@ -271,7 +271,7 @@ def fit(obs: DataFrame, p: Tracker | None = None, rounds: int = 12, tol: float =
             yield pd.DataFrame({"i": np.arange(width), "v": total})
 
         sums = np.zeros(width)
-        for r in lines.select("obs").mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        for r in lines.mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
             sums[r["i"]] = r["v"]
         at, c = 0, {}
         for k, n in SIZES.items():
@@ -281,6 +281,7 @@ def fit(obs: DataFrame, p: Tracker | None = None, rounds: int = 12, tol: float =
         p = _estimate({k: c[k] for k in SIZES}, prior)
         if len(history) > 1 and abs(history[-1] - history[-2]) <= tol * abs(history[-2]):
             break
+    lines.unpersist()
     return p, history
 
 

@@ -105,17 +105,16 @@ def bootstrap_interval(scored: DataFrame, value: Column, reps: int = 200, seed:
     """Percentile interval of a mean: each row draws a Poisson(1) weight per repetition.
 
     The weights are a function of the row's id hash, the repetition and the seed, so every partition
-    computes its part of all repetitions in one aggregation.
+    sums its part of all repetitions and only one row of each is shuffled.
     """
+    # Cumulative probabilities of a Poisson(1) variable: below the first the weight is 0, and so on.
     edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    sums = []
-    for r in range(reps):
-        u = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(1_000_003)) / 1_000_003.0
-        w = F.lit(0)
-        for e in edges:
-            w = w + (u >= e).cast("int")
-        sums += [F.sum(w * value).alias(f"s{r}"), F.sum(w).alias(f"w{r}")]
-    means = F.array(*[F.col(f"s{r}") / F.nullif(F.col(f"w{r}"), F.lit(0)) for r in range(reps)])
+    drawn = scored.select("id", value.cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    u = F.pmod(F.xxhash64("id", F.lit(seed), "rep"), F.lit(1_000_003)) / 1_000_003.0
+    w = F.lit(0)
+    for e in edges:
+        w = w + (u >= e).cast("int")
+    each = drawn.withColumn("w", w).groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"), F.avg("v").alias("mean"))
     lo, hi = (1 - level) / 2, (1 + level) / 2
-    at = lambda q: F.element_at("m", int(q * (reps - 1)) + 1)
-    return scored.agg(F.avg(value).alias("mean"), *sums).select("mean", F.sort_array(means).alias("m")).select("mean", at(lo).alias("low"), at(hi).alias("high"))
+    at = lambda q: F.try_element_at("m", F.lit(int(q * (reps - 1)) + 1))
+    return each.agg(F.first("mean").alias("mean"), F.sort_array(F.collect_list("m")).alias("m")).select("mean", at(lo).alias("low"), at(hi).alias("high"))

@@ -1100,3 +1100,22 @@ def c19_risk_merge(spark, d):
     risk = table(spark, d, "dirty_contact_points").groupBy("contact_point_ref").agg((F.count(F.lit(1)) / 3.0).alias("recycled_risk"))
     out = evaluation.merged_risk(table(spark, d, "contact_points"), risk, ["contact_point_ref"])
     return rounded(out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("contact_point_ref").alias("n_refs"), F.avg("recycled_risk").alias("mean_risk")))
+
+
+@query(
+    SCORED
+    + """, t AS (SELECT greatest(1, count(*) // 100) AS k, sum(y) AS pos FROM scored), r AS (SELECT y, row_number() OVER (ORDER BY p DESC, concat_ws('|', lender_id, borrower_id, contact_point_ref)) AS rank FROM scored)
+SELECT any_value(k) AS k, round(sum(y)::DOUBLE / any_value(k), 9) AS precision_at_k, round(sum(y)::DOUBLE / nullif(any_value(pos), 0), 9) AS recall_at_k FROM r, t WHERE rank <= k"""
+)
+def d37_review_metrics(spark, d):
+    """Precision and recall in the best percent of all scores: those above the k-th score all count,
+    and the rows at that score are taken in the order of their key."""
+    from pyspark.sql import Window
+
+    s = scored_rows(spark, d).withColumn("id", F.concat_ws("|", *CP_KEYS))
+    total = s.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 100)).alias("k"), F.sum("y").alias("pos"))
+    near = metrics.running_counts(s).drop("pos").crossJoin(F.broadcast(total)).where(F.col("above_n") < F.col("k")).select("p", "above_n", "k", "pos")
+    w = Window.partitionBy("p").orderBy("id")
+    top = s.join(F.broadcast(near.withColumnRenamed("pos", "all_pos")), "p").withColumn("rank", F.col("above_n") + F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
+    hits = F.sum("y").cast("double")
+    return rounded(top.agg(F.first("k").alias("k"), (hits / F.first("k")).alias("precision_at_k"), (hits / F.nullif(F.first("all_pos"), F.lit(0))).alias("recall_at_k")))
