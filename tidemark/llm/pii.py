@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -494,6 +495,7 @@ def training_texts(n: int = TRAINING_TEXTS, seed: int = 5) -> list[tuple[str, li
     return out
 
 
+@lru_cache(maxsize=4)
 def train(n: int = TRAINING_TEXTS, seed: int = 5) -> Detector:
     TOWNS_SEEN.clear()
     texts = training_texts(n, seed)

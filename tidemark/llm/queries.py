@@ -163,7 +163,15 @@ runs AS (SELECT account_id, contact_point_ref, any_value(r) AS network_response,
 """
 )
 
+_VALUE = "CASE WHEN NOT {0} THEN '{1}:' || trim({2}) END"
+GROUPS = "WITH RECURSIVE k AS (SELECT DISTINCT " + ", ".join(_VALUE.format(FILLER.format(c), i, c) + f" AS k{i}" for i, c in enumerate(RELATED)) + """ FROM contact_events),
+pairs AS (SELECT k0 AS u, k1 AS v FROM k UNION SELECT k0, k2 FROM k UNION SELECT k1, k2 FROM k),
+edges AS (SELECT u, v FROM pairs WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM pairs WHERE u IS NOT NULL AND v IS NOT NULL),
+reach AS (SELECT DISTINCT k0 AS a, k0 AS x FROM k WHERE k0 IS NOT NULL UNION SELECT r.a, e.v FROM reach r JOIN edges e ON e.u = r.x)
+SELECT substr(a, 3) AS account_id, substr(min(x), 3) AS group_id FROM reach WHERE x LIKE '0:%' GROUP BY a HAVING count(*) > 1"""
+
 SQL = {
+    "p5_found": GROUPS,
     "p3_found": RUNS + "SELECT account_id, contact_point_ref, first_event_id, n_attempts FROM runs",
     "p3_runs": RUNS + "SELECT * FROM runs",
 }
