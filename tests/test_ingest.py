@@ -99,6 +99,7 @@ def test_late_marks_once(spark, tmp_path):
     assert ingest_batch(store, canonical(spark, [event(1, "2026-01-06T00:00:00Z")]), API_SPEC)["late_marked"] == 1
     assert ingest_batch(store, canonical(spark, [event(2, "2026-01-06T00:00:00Z")]), API_SPEC)["late_marked"] == 0
     assert store.read_events(received_before=F.lit("2026-01-01").cast("timestamp")).count() == 0
+    assert store.vacuum("events", 1) == 1 and store.read_events(types=["disposition"], lender="L1", limit=1).count() == 1
 
 
 def test_streaming_intake(spark, tmp_path):

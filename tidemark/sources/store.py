@@ -95,7 +95,15 @@ class EventStore:
         new = late if have is None else late.join(have.where(F.col("reason") == reason).select(*KEYS), list(KEYS), "left_anti")
         rows = new.withColumn("reason", F.lit(reason)).withColumn("marked_at", F.current_timestamp())
         self.replace("dirty_contact_points", rows if have is None else have.unionByName(rows))
-        return self.read("dirty_contact_points").where(F.col("reason") == reason).join(new.select(*KEYS), list(KEYS), "left_semi") if have is None else new
+        return new.select(*KEYS)
+
+    def vacuum(self, table: str, keep: int = 2) -> int:
+        """Deletes all but the latest ``keep`` versions of a table; frames over older ones break."""
+        last, gone = self.version(table), 0
+        for n in range(1, last - max(keep, 1) + 1):
+            fs, p = self._fs(f"{self.root}/{table}/v{n}")
+            gone += bool(fs.exists(p) and fs.delete(p, True))
+        return gone
 
     def read_events(self, received_before: Column | None = None, types: Sequence[str] = (), lender: str | None = None, refs: Sequence[str] = (), since: Column | None = None, until: Column | None = None, limit: int | None = None) -> DataFrame | None:
         """Events by filters that reach the Parquet scan, in order of time; strictly before."""
