@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import normalize as norm
-from tidemark.functions.core import canonical_id, clean_response, instant, is_filler
+from tidemark.functions.core import canonical_id, clean_response, instant, is_filler, pack_id, unpack_id
 from tidemark.functions.text import months_switched_off
 from tidemark.operators import labels, metrics, ranking, sharing, telephony
 from tidemark.operators.deliver_once import deliver_once
@@ -40,6 +40,13 @@ def test_canonical_id(spark):
     assert [r.o for r in other] == ["call-7", None, None, None]
 
 
+def test_packed_ids(spark):
+    ids = [U, "call-7", "0123456789abcdef", "x", "ಕರೆ", None, "a" * 300]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "k int, i string").select("k", "i", pack_id(F.col("i")).alias("p"))
+    out = df.select("k", "i", "p", unpack_id(F.col("p")).alias("o")).collect()
+    assert all(r.i == r.o for r in out) and len({bytes(r.p) for r in out}) == len(ids) and [len(r.p) for r in out if r.k == 0] == [16]
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([("No Answer (408)",), ("NO_ANSWER/408",), ("noanswer",), (" ",), (None,)], "v string")
     assert [r[0] for r in df.select(clean_response(F.col("v"))).collect()] == ["noanswer"] * 3 + [None, None]

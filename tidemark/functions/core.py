@@ -49,6 +49,21 @@ def canonical_id(c: Column) -> Column:
     )
 
 
+def pack_id(c: Column) -> Column:
+    """A canonical identifier as binary: a UUID in 16 bytes, any other text after 17 zero bytes, and
+    nothing for null. Half as long to shuffle, and still one value for each identifier."""
+    uuid = c.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+    text = F.concat(F.unhex(F.lit("00" * 17)), F.encode(c, "utf-8"))
+    return F.coalesce(F.when(uuid, F.unhex(F.replace(c, F.lit("-"), F.lit("")))).otherwise(text), F.unhex(F.lit("")))
+
+
+def unpack_id(c: Column) -> Column:
+    """The identifier that ``pack_id`` made ``c`` of."""
+    h = F.lower(F.hex(c))
+    dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return F.when(F.length(c) == 16, dashed).when(F.length(c) > 17, F.decode(F.substring(c, 18, 2**30), "utf-8"))
+
+
 def instant(c: Column) -> Column:
     """An ISO-8601 text with an offset, as a timestamp; null where it cannot be read.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import canonical_id, fresh, instant, q
+from tidemark.functions.core import canonical_id, fresh, instant, pack_id, q, unpack_id
 
 
 def deliver_once(
@@ -34,15 +34,18 @@ def deliver_once(
         raise ValueError(f"the input already has a column {copies_col}")
     names = rows.columns
     n, best, key = (fresh(rows, x) for x in ("tm_n", "tm_best", "tm_key"))
-    # Rows without an identifier share the key "", whose count is 0. The key is never null, so both
-    # joins below read one and the same exchange of the rows.
-    rows = rows.withColumn(key, F.coalesce(canonical_id(q(id_col).cast("string")), F.lit("")))
-    counts = rows.groupBy(q(key)).agg(F.count_if(q(key) != "").alias(n)).where(q(n) > 1)
-    flagged = rows.join(counts.hint("shuffle_hash"), key, "left").withColumn(id_col, F.nullif(q(key), F.lit("")))
+    # Keys are binary: 16 bytes for a UUID. Rows without an identifier share the empty key, whose
+    # count is 0. The key is never null.
+    rows = rows.withColumn(key, pack_id(canonical_id(q(id_col).cast("string"))))
+    counts = rows.groupBy(q(key)).agg(F.count_if(F.length(q(key)) > 0).alias(n)).where(q(n) > 1)
+    flagged = rows.join(counts.hint("shuffle_hash"), key, "left").withColumn(id_col, unpack_id(q(key)))
     flagged = flagged.select(*[q(c) for c in names], q(n))
-    singles = flagged.where(q(n).isNull()).select(*[q(c) for c in names], F.lit(1).cast("bigint").alias(copies_col))
-    received = instant(q(received_col))
     hashable = [q(c) for c, kind in flagged.select(*[q(c) for c in names]).dtypes if "map<" not in kind and kind != "variant"]
+    # Always true. It keeps later filters and prunings above it, so that the passing branch reads the
+    # very exchange that the ranked branch needs whole; else the rows would be shuffled twice.
+    here = (F.rand(0) >= 0) | (F.xxhash64(*hashable) == 0)
+    singles = flagged.where(q(n).isNull()).where(here).select(*[q(c) for c in names], F.lit(1).cast("bigint").alias(copies_col))
+    received = instant(q(received_col))
     order = [received.isNull(), received]
     if tie_col and tie_col in names:
         order += [q(tie_col).isNull(), q(tie_col)]
