@@ -106,7 +106,7 @@ def test_late_events_brute_force(spark, seed):
         ev.append((r.choice("abc" + "a" * 5), r.choice(["L1", "L2", None]), o, r.choice([o + dt.timedelta(days=lag)] * 9 + [None]), r.choice([None, 1000, 2500])))
     marks = [(k, "L1", at(r.random() * 60), at(u)) for k in "ab" for u in range(3)] + [("c", None, at(1), at(1)), ("c", "L2", None, at(3))]
     wm = current_watermarks(spark.createDataFrame(marks, MARK))
-    out = correct_late(spark.createDataFrame(ev, EV), wm, snapshot_days=5)
+    out = correct_late(spark.createDataFrame(ev, EV), wm, Scratch(spark, "t"), snapshot_days=5)
     now = {k: max((m for m in marks if m[:2] == k), key=lambda m: m[3])[2] for k in {m[:2] for m in marks if m[1]}}
     day = defaultdict(lambda: [0, 0, 0, 0])
     for c, l, o, rec, a in ev:
@@ -134,7 +134,7 @@ def test_late_events_brute_force(spark, seed):
 
 
 def test_late_events_empty(spark):
-    out = correct_late(spark.createDataFrame([], EV), current_watermarks(spark.createDataFrame([], MARK)))
+    out = correct_late(spark.createDataFrame([], EV), current_watermarks(spark.createDataFrame([], MARK)), Scratch(spark, "t"))
     assert out["daily"].count() == 0 and out["dirty"].count() == 0
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import Scratch
+
 KEYS = ("contact_point_ref", "lender_id")
 
 
@@ -38,6 +40,7 @@ def _running(cols: dict[str, Column], w) -> list[Column]:
 def correct_late(
     events: DataFrame,
     marks: DataFrame,
+    scratch: Scratch,
     lateness_days: int = 7,
     snapshot_days: int = 16,
 ) -> dict[str, DataFrame]:
@@ -77,6 +80,8 @@ def correct_late(
         )
         .withColumn("slot", F.floor(F.datediff("event_day", F.lit("1970-01-01").cast("date")) / snapshot_days))
     )
+    # The days are the state that snapshots are taken of; they are written once and read by each part.
+    daily, _ = scratch.cut(daily)
     by_day = Window.partitionBy(*KEYS).orderBy("event_day").rowsBetween(Window.unboundedPreceding, 0)
     first = daily.withColumn("n_to_date", F.sum("n0").over(by_day)).withColumn("amount_to_date", F.sum("a0").over(by_day))
     snapshots = (

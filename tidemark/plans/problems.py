@@ -10,6 +10,7 @@ from tidemark.operators.deliver_once import deliver_once
 from tidemark.operators.entity_vectors import expand, sparse_vectors, type_vocabulary
 from tidemark.operators.late_events import correct_late, current_watermarks, new_dirty_marks
 from tidemark.operators.rolling import rolling_totals
+from tidemark.session import Scratch
 from tidemark.sources.tables import contact_events, once, table
 
 #: Ring times outside this range (seconds) are no measurement; the attempt still counts.
@@ -39,7 +40,7 @@ def payload_milli() -> Column:
 def _late(spark: SparkSession, d: str, amounts: bool) -> dict[str, DataFrame]:
     amount = (payload_milli() if amounts else F.lit(0).cast("bigint")).alias("amount")
     ev = once(spark, d, "contact_point_ref", "lender_id", "occurred_at", amount)
-    return correct_late(ev, current_watermarks(table(spark, d, "watermarks")))
+    return correct_late(ev, current_watermarks(table(spark, d, "watermarks")), Scratch(spark, "late"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
