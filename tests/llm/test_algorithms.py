@@ -205,6 +205,15 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"), Scratch(spark, "t")).count() == 0
 
 
+def test_short_leak_across_windows_is_a_candidate():
+    item = np.arange(1, 61)
+    leak = item[5:25].copy()
+    leak[[7, 13]] = [200, 201]
+    doc = np.concatenate([np.arange(70, 80), leak, np.arange(80, 110)])
+    index = leakage.Index(np.eye(256, dtype=np.float32), [(4, item)], leakage.Settings(buckets=256))
+    assert [x[:2] for x in index.search([doc])] == [(0, 4)]
+
+
 def test_word_counter_is_stable():
     assert Counter(leakage.hashes_of("a b a").tolist()) == Counter(leakage.hashes_of("B A\na").tolist())
 

@@ -38,7 +38,7 @@ class Settings:
     span: int = 3
     query: int = 24
     step: int = 6
-    cosine: float = 0.65
+    cosine: float = 0.5
     least: int = 20
     slack: int = 0
     agree: float = 0.82
