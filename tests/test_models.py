@@ -42,6 +42,25 @@ def test_payment_lowers_avoidance_and_silence_counts():
     assert len(scored([("L", "b", "", 5, "pay", "paid", 1)])) == 0
 
 
+def test_tracker_reads_dpd_and_source_and_scores_every_point(spark):
+    p = hmm.Tracker()
+    assert p.start("bureau ")[[3, 5]].sum() > p.start("KYC")[[3, 5]].sum() > p.start("borrower_on_call")[[3, 5]].sum()
+    assert p.start("skip_trace").sum() == pytest.approx(1) and np.allclose(p.start(None), p.start("KYC"))
+    assert p.step("90+")[0, 6:].sum() == pytest.approx(0.048) and p.step("current")[0, 6:].sum() == pytest.approx(0.015) and np.allclose(p.step("90+").sum(axis=1), 1)
+    columns = "event_id string, event_type string, lender_id string, borrower_id string, contact_point_ref string, received_at string, network_response string, disposition string, update_source string, contact_type string"
+    dial = lambda i, b, ref: (i, "dial_attempt", "L", b, ref, "1970-01-03", "no_answer", None, None, None)
+    moved = ("e4", "contact_point_update", "L", "low", "said", "1970-01-02", None, None, "bureau", "phone")
+    ev = spark.createDataFrame([dial("e1", "low", "x"), dial("e2", "high", "x"), dial("e3", "low", "home"), moved], columns).withColumn("received_at", F.col("received_at").cast("timestamp"))
+    contacts = spark.createDataFrame([("x", "low", "phone", "KYC"), ("x", "high", "phone", "KYC"), ("idle", "low", None, "skip_trace"), ("home", "low", "address", "bureau"), ("far", "alone", "address", None)], "contact_point_ref string, borrower_id string, type string, source string")
+    contacts = contacts.withColumn("lender_id", F.lit("L")).withColumn("value_hash", F.lit("h")).withColumn("created_at", F.lit("1970-01-01").cast("timestamp"))
+    borrowers = spark.createDataFrame([("L", "low", "1-30"), ("L", "high", "90+")], "lender_id string, borrower_id string, dpd_bucket string")
+    got = {(r.borrower_id, r.contact_point_ref): r for r in hmm.score(hmm.tracked(ev, contacts, borrowers, F.lit("1970-02-10").cast("timestamp")), 40).collect()}
+    assert set(got) == {("low", "x"), ("high", "x"), ("low", "idle"), ("low", "said"), ("low", "home"), ("alone", "far")}
+    assert got["high", "x"].valid_avoiding > got["low", "x"].valid_avoiding
+    assert got["low", "said"].recycled > got["low", "idle"].recycled > hmm.INITIAL[3] and got["low", "idle"].confidence == 0
+    assert got["low", "home"].p_rpc == pytest.approx(0.1 * 0.8 * 0.6) and got["low", "home"].recycled == pytest.approx(hmm.INITIAL[3]) and got["alone", "far"].confidence == 0
+
+
 def test_em_raises_likelihood_and_keeps_distributions(spark):
     r = np.random.default_rng(3)
     rows = [("L", f"b{i % 40}", f"c{i}", int(d), "net", r.choice(["answered", "no_answer", "busy"], p=[0.6, 0.3, 0.1]), 1) for i in range(80) for d in range(6)]

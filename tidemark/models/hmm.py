@@ -49,6 +49,11 @@ DISPOSED = (
 # Fixed values.
 SHIFT = {"does_not_exist": (0.55, 0.60), "wrong_number": (0.45, 0.45)}
 RESET = 0.95
+# Factors of the entry into avoidance by DPD bucket ("current" is the bucket X of zero days), and of the initial
+# dead mass by the record's source.
+ENTRY_BY_DPD = {"X": 0.5, "current": 0.5, "1-30": 0.8, "31-60": 1.0, "61-90": 1.3, "90+": 1.6}
+DEAD_BY_SOURCE = {"kyc": 1.0, "later_update": 0.9, "bureau": 1.4, "borrower_on_call": 0.4, "skip_trace": 1.2}
+ANSWER_ADDRESS = 0.1
 SCORE_GAP, FIT_GAP = 366, 60
 KAPPA, STRONG, WEAK, ANSWER_CALM, TAU = 3.0, 1.0, 0.5, 0.35, 30.0
 
@@ -67,11 +72,20 @@ class Tracker:
     network: np.ndarray = field(default_factory=lambda: np.array(NETWORK))
     disposed: np.ndarray = field(default_factory=lambda: np.array(DISPOSED))
 
-    def start(self) -> np.ndarray:
-        return np.concatenate([(1 - self.avoid) * self.initial, self.avoid * self.initial])
-
-    def step(self) -> np.ndarray:
-        return np.kron(self.move_avoid, self.move)
+    def start(self, source: str | None = None) -> np.ndarray:
+        """The initial distribution; recycled and invalid weigh by the record's source, unknown ones as KYC."""
+        factor = DEAD_BY_SOURCE.get((source or "").strip().lower(), 1.0)
+        states = self.initial * np.where(np.isin(np.arange(N), (3, 5)), factor, 1.0)
+        states = states / states.sum()
+        return np.concatenate([(1 - self.avoid) * states, self.avoid * states])
+
+    def step(self, dpd: str | None = None) -> np.ndarray:
+        """The daily transition; entry into avoidance weighs by the borrower's DPD bucket, unknown ones not."""
+        avoid = self.move_avoid.copy()
+        if dpd in ENTRY_BY_DPD:
+            entry = min(0.99, avoid[0, 1] * ENTRY_BY_DPD[dpd])
+            avoid[0] = 1 - entry, entry
+        return np.kron(avoid, self.move)
 
     def emission(self, kind: str, value: int) -> np.ndarray:
         table = self.network if kind == "net" else self.disposed
@@ -96,6 +110,26 @@ def observations(events: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def tracked(events: DataFrame, contacts: DataFrame, borrowers: DataFrame, as_of: Column) -> DataFrame:
+    """Observations with the ``type`` and ``source`` of their line and the ``dpd_bucket`` of their
+    borrower; a known point without any comes as one row of kind ``none``.
+
+    Known are the points of ``contacts`` and those of any visible event but payments, of borrowers
+    that are no fillers. The source is that of the latest contact_point_update that names one, else
+    the record's; the type the record's, else the latest update's. What is missing stays null.
+    """
+    point = ~is_filler(F.col("contact_point_ref")) & ~is_filler(F.col("borrower_id")) & F.col("lender_id").isNotNull()
+    when = F.struct("received_at", "event_id")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), when))
+    said = events.where((F.col("received_at") <= as_of) & (F.col("event_type") != "payment") & point).groupBy(*LINE).agg(latest("update_source").alias("said_source"), latest("contact_type").alias("said_type"))
+    made = F.struct("created_at", "value_hash", "source", "type")
+    record = contacts.where(point).groupBy(*LINE).agg(F.max_by(F.struct("source", "type"), made).alias("r"))
+    known = record.join(said, list(LINE), "full_outer").select(*LINE, F.coalesce("said_source", "r.source").alias("source"), F.lower(F.trim(F.coalesce("r.type", "said_type"))).alias("type"))
+    rows = observations(events, as_of).join(known, list(LINE), "full_outer")
+    dpd = borrowers.groupBy("lender_id", "borrower_id").agg(F.max("dpd_bucket").alias("dpd_bucket"))
+    return rows.join(dpd, ["lender_id", "borrower_id"], "left").withColumn("kind", F.coalesce("kind", F.lit("none")))
+
+
 def _shift_dead(alpha: np.ndarray, amount: float, to_invalid: float) -> np.ndarray:
     """Moves a share of the live mass to recycled and invalid."""
     a = alpha.reshape(2, N).copy()
@@ -138,9 +172,17 @@ def _powers(step: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def filter_line(days: dict[int, list[tuple[str, str, int]]], resets: set[int], upto: int, p: Tracker, powers: list[np.ndarray]) -> tuple[np.ndarray, int | None]:
+def _by_dpd(p: Tracker, most: int) -> dict[str | None, list[np.ndarray]]:
+    return {dpd: _powers(p.step(dpd), most) for dpd in (None, *ENTRY_BY_DPD)}
+
+
+def _text(value: Any) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def filter_line(days: dict[int, list[tuple[str, str, int]]], resets: set[int], upto: int, p: Tracker, powers: list[np.ndarray], source: str | None = None) -> tuple[np.ndarray, int | None]:
     """The state distribution of a line on day ``upto``, and its last day with information."""
-    alpha, last = p.start(), None
+    alpha, last = p.start(source), None
     for day in sorted({*days, *resets}):
         if last is not None:
             alpha = alpha @ powers[min(day - last, SCORE_GAP)]
@@ -154,8 +196,32 @@ def filter_line(days: dict[int, list[tuple[str, str, int]]], resets: set[int], u
     return alpha / alpha.sum(), last
 
 
-def score_borrower(pdf: pd.DataFrame, upto: int, p: Tracker, powers: list[np.ndarray]) -> pd.DataFrame:
-    """Posterior of every line of one borrower: filtered, avoidance pooled, silence weighed."""
+def _seven(joint: np.ndarray) -> np.ndarray:
+    post = np.array([joint[0, 0], joint[1, 0], *joint[:, 1:].sum(axis=0)])
+    return post / post.sum()
+
+
+def score_borrower(pdf: pd.DataFrame, upto: int, p: Tracker, powers: list[np.ndarray], by_dpd: dict[str | None, list[np.ndarray]] | None = None) -> pd.DataFrame:
+    """Posterior of every point of one borrower: filtered, avoidance pooled, silence weighed.
+
+    A point without observations gets the prior of its source, an address the plain prior and an
+    answer probability of its own, both without confidence; the observations of an address still
+    count in the pool. ``by_dpd``: powers by DPD bucket, in place of ``powers``.
+    """
+    keys = (pdf["lender_id"].iloc[0], pdf["borrower_id"].iloc[0])
+    sources: dict[str, str | None] = {}
+    addresses: set[str] = set()
+    idle: list[str] = []
+    if "source" in pdf:
+        for ref, kind, source, of in zip(pdf["contact_point_ref"], pdf["kind"], pdf["source"], pdf["type"], strict=True):
+            sources[ref] = _text(source)
+            if of == "address":
+                addresses.add(ref)
+            elif kind == "none":
+                idle.append(ref)
+        if by_dpd:
+            powers = by_dpd.get(next(filter(None, map(_text, pdf["dpd_bucket"])), None), by_dpd[None])
+        pdf = pdf[pdf["kind"] != "none"]
     lines: dict[str, dict[int, list]] = {}
     resets: set[int] = set()
     answered: set[int] = set()
@@ -166,15 +232,20 @@ def score_borrower(pdf: pd.DataFrame, upto: int, p: Tracker, powers: list[np.nda
             lines.setdefault(ref, {}).setdefault(int(day), []).append((kind, value, int(n)))
         if value == "answered":
             answered.add(int(day))
+    out = []
+    for ref in (*idle, *sorted(addresses)):
+        post = _seven(p.start(None if ref in addresses else sources[ref]).reshape(2, N))
+        out.append((*keys, ref, *post, post[0] * (ANSWER_ADDRESS if ref in addresses else ANSWER_CALM), post[4], 0.0))
     if not lines:
-        return pd.DataFrame(columns=list(SCORE_COLUMNS))
-    found = {ref: filter_line(days, resets, upto, p, powers) for ref, days in lines.items()}
+        return pd.DataFrame(out, columns=list(SCORE_COLUMNS))
+    found = {ref: filter_line(days, resets, upto, p, powers, sources.get(ref)) for ref, days in lines.items()}
     prior = np.array([1 - p.avoid, p.avoid])
     logs = np.sum([np.log(np.maximum(a.reshape(2, N).sum(axis=1), 1e-12)) for a, _ in found.values()], axis=0) - (len(found) - 1) * np.log(prior)
     pooled = np.exp(logs - logs.max())
     pooled /= pooled.sum()
-    out = []
     for ref, (alpha, last) in found.items():
+        if ref in addresses:
+            continue
         a = alpha.reshape(2, N)
         own = a.sum(axis=1, keepdims=True)
         a = np.where(own > 0, a / np.maximum(own, 1e-300), 0) * pooled[:, None]
@@ -185,12 +256,11 @@ def score_borrower(pdf: pd.DataFrame, upto: int, p: Tracker, powers: list[np.nda
             pull = a[:, 1:] + 0.1 * p.initial[None, 1:] * a.sum(axis=1, keepdims=True)
             a[:, 0] -= gone
             a[:, 1:] += gone[:, None] * pull / np.maximum(pull.sum(axis=1, keepdims=True), 1e-300)
-        post = np.array([a[0, 0], a[1, 0], *a[:, 1:].sum(axis=0)])
-        post /= post.sum()
+        post = _seven(a)
         entropy = -np.sum(post * np.log(np.maximum(post, 1e-300)))
         gap = max(upto - max([last, *[r for r in resets if r <= upto]]), 0)
         sure = (1 - entropy / np.log(len(post))) * np.exp(-gap / TAU)
-        out.append((pdf["lender_id"].iloc[0], pdf["borrower_id"].iloc[0], ref, *post, post[0] * ANSWER_CALM, post[4], sure))
+        out.append((*keys, ref, *post, post[0] * ANSWER_CALM, post[4], sure))
     return pd.DataFrame(out, columns=list(SCORE_COLUMNS))
 
 
@@ -199,13 +269,16 @@ SCORE_SCHEMA = ", ".join([*(f"{c} string" for c in LINE), *(f"{c} double" for c
 
 
 def score(obs: DataFrame, upto: int, p: Tracker | None = None) -> DataFrame:
-    """One row per line: seven-state posterior, answer probability, recycled risk and confidence."""
+    """One row per point: seven-state posterior, answer probability, recycled risk and confidence.
+
+    ``obs``: rows of ``tracked``, or of ``observations`` where neither sources nor DPD are known."""
     p = p or Tracker()
-    shared = obs.sparkSession.sparkContext.broadcast((p, _powers(p.step(), SCORE_GAP)))
+    by_dpd = _by_dpd(p, SCORE_GAP)
+    shared = obs.sparkSession.sparkContext.broadcast((p, by_dpd[None], by_dpd))
     return obs.groupBy("lender_id", "borrower_id").applyInPandas(lambda pdf: score_borrower(pdf, upto, *shared.value), SCORE_SCHEMA)
 
 
-def expected_counts(days: dict[int, list[tuple[str, str, int]]], p: Tracker, powers: list[np.ndarray]) -> dict[str, np.ndarray]:
+def expected_counts(days: dict[int, list[tuple[str, str, int]]], p: Tracker, powers: list[np.ndarray], source: str | None = None) -> dict[str, np.ndarray]:
     """Expected transition, emission and initial counts of one line (scaled forward-backward)."""
     order = sorted(days)
     like = []
@@ -215,7 +288,7 @@ def expected_counts(days: dict[int, list[tuple[str, str, int]]], p: Tracker, pow
             e = e * p.emission(kind, (NETWORK_RESPONSES if kind == "net" else DISPOSITIONS).index(value)) ** min(n, 50)
         like.append(np.maximum(e, 1e-300))
     steps = [powers[min(b - a, FIT_GAP)] for a, b in zip(order, order[1:], strict=False)]
-    fw, scale = [p.start() * like[0]], []
+    fw, scale = [p.start(source) * like[0]], []
     scale.append(fw[0].sum())
     fw[0] = fw[0] / scale[0]
     for s, e in zip(steps, like[1:], strict=True):
@@ -244,29 +317,33 @@ SIZES = {"net": 2 * N * 7, "disp": 2 * N * 8, "move": 4 * N * N, "start": 2 * N,
 def fit(obs: DataFrame, p: Tracker | None = None, rounds: int = 12, tol: float = 1e-4, fit_share: float = 1.0, seed: int = 7) -> tuple[Tracker, list[float]]:
     """EM over all lines: each round broadcasts the parameters, sums expected counts per partition and
     then over partitions, and re-estimates on the driver with Dirichlet priors. Only sums of a fixed
-    size reach the driver. ``fit_share`` below 1 fits on a hash sample of borrowers, a documented
+    size reach the driver. Addresses are left out, as in the reference. ``fit_share`` below 1 fits on a hash sample of borrowers, a documented
     bound; the default uses all."""
     p = p or Tracker()
     prior = p
     spark = obs.sparkSession
-    data = obs.where(F.col("kind") != "pay")
+    data = obs.where(F.col("kind").isin("net", "disp"))
+    if "source" in data.columns:
+        data = data.where(F.coalesce("type", F.lit("phone")) == "phone")
+    else:
+        data = data.withColumns({c: F.lit(None).cast("string") for c in ("source", "dpd_bucket")})
     if fit_share < 1:
         data = data.where(F.pmod(F.xxhash64("borrower_id", F.lit(seed)), F.lit(10_000)) < int(fit_share * 10_000))
-    lines = data.groupBy(*LINE).agg(F.collect_list(F.struct("day", "kind", "value", "n")).alias("obs")).select("obs").persist()
+    lines = data.groupBy(*LINE).agg(F.collect_list(F.struct("day", "kind", "value", "n")).alias("obs"), F.first("source").alias("source"), F.first("dpd_bucket").alias("dpd")).select("obs", "source", "dpd").persist()
     width = sum(SIZES.values())
     history: list[float] = []
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((p, _powers(p.step(), FIT_GAP)))
+        shared = spark.sparkContext.broadcast((p, _by_dpd(p, FIT_GAP)))
 
         def part(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             p, powers = shared.value
             total = np.zeros(width)
             for b in batches:
-                for rows in b["obs"]:
+                for rows, source, dpd in zip(b["obs"], b["source"], b["dpd"], strict=True):
                     days: dict[int, list] = {}
                     for r in rows:
                         days.setdefault(int(r["day"]), []).append((r["kind"], r["value"], int(r["n"])))
-                    c = expected_counts(days, p, powers)
+                    c = expected_counts(days, p, powers.get(_text(dpd), powers[None]), _text(source))
                     total += np.concatenate([c[k].ravel() for k in SIZES])
             yield pd.DataFrame({"i": np.arange(width), "v": total})
 

@@ -954,10 +954,17 @@ from tidemark.models import hmm, learned  # noqa: E402
 UPTO = 20638  # days from 1970-01-01 to AS_OF
 
 
+def _tracked(spark, d) -> DataFrame:
+    src = ParquetSource(spark, d)
+    slim = ("event_id", "event_type", *CP_KEYS, "received_at", "network_response", "disposition", "update_source", "contact_type")
+    ev, _ = Scratch(spark, "track").cut(src.visible(as_of()).select(*slim))
+    return hmm.tracked(ev, src.contact_points(as_of()), src.borrowers(), as_of())
+
+
 @query()
 def k4_hmm_score(spark, d):
-    """Filtered, pooled posterior of every line."""
-    return rounded(hmm.score(hmm.observations(seen(spark, d), as_of()), UPTO), 6)
+    """Filtered, pooled posterior of every known contact point."""
+    return rounded(hmm.score(_tracked(spark, d), UPTO), 6)
 
 
 @query(
@@ -974,7 +981,7 @@ def k1_hmm_observations(spark, d):
 @query()
 def k5_hmm_em(spark, d):
     """Log likelihood by EM round, over all lines."""
-    obs, _ = Scratch(spark, "em").cut(hmm.observations(seen(spark, d), as_of()))
+    obs, _ = Scratch(spark, "em").cut(_tracked(spark, d))
     _, history = hmm.fit(obs, rounds=3)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(history)], "round int, loglik double")
 
@@ -1083,8 +1090,8 @@ def m4_segments(spark, d):
 
 @query()
 def f7_dominant_state(spark, d):
-    """The likeliest state of every line after tracking."""
-    s = hmm.score(hmm.observations(seen(spark, d), as_of()), UPTO)
+    """The likeliest state of every known contact point after tracking."""
+    s = hmm.score(_tracked(spark, d), UPTO)
     return s.select(*CP_KEYS, evaluation.dominant_state(evaluation.normalised({n: F.col(n) for n in hmm.POSTERIOR})).alias("state"))
 
 
