@@ -42,6 +42,21 @@ def test_payment_lowers_avoidance_and_silence_counts():
     assert len(scored([("L", "b", "", 5, "pay", "paid", 1)])) == 0
 
 
+def test_equal_observations_all_count():
+    p = hmm.Tracker()
+    powers = hmm._powers(p.step(), hmm.FIT_GAP)
+    for kind, value in (("net", "no_answer"), ("net", "does_not_exist"), ("disp", "rpc"), ("disp", "wrong_number")):
+        one = hmm._observe(p.start(), p, kind, value, 1)
+        for _ in range(299):
+            one = hmm._observe(one, p, kind, value, 1)
+        assert np.allclose(hmm._observe(p.start(), p, kind, value, 300), one, rtol=1e-9, atol=1e-250)
+    many = hmm.expected_counts({0: [("net", "no_answer", 3000)], 1: [("net", "answered", 2000)]}, p, powers)
+    assert many["net"].sum() == pytest.approx(5000) and many["loglik"][0] < -3000 * np.log(1 / 0.55)
+    e, f = p.emission("net", 1), p.emission("net", 0)
+    some = hmm.expected_counts({0: [("net", "no_answer", 60)], 1: [("net", "answered", 70)]}, p, powers)
+    assert some["loglik"][0] == pytest.approx(np.log((p.start() * e**60) @ p.step() @ f**70))
+
+
 def test_tracker_reads_dpd_and_source_and_scores_every_point(spark):
     p = hmm.Tracker()
     assert p.start("bureau ")[[3, 5]].sum() > p.start("KYC")[[3, 5]].sum() > p.start("borrower_on_call")[[3, 5]].sum()

@@ -54,6 +54,7 @@ RESET = 0.95
 ENTRY_BY_DPD = {"X": 0.5, "current": 0.5, "1-30": 0.8, "31-60": 1.0, "61-90": 1.3, "90+": 1.6}
 DEAD_BY_SOURCE = {"kyc": 1.0, "later_update": 0.9, "bureau": 1.4, "borrower_on_call": 0.4, "skip_trace": 1.2}
 ANSWER_ADDRESS = 0.1
+BLOCK = 16  # equal observations taken at once
 SCORE_GAP, FIT_GAP = 366, 60
 KAPPA, STRONG, WEAK, ANSWER_CALM, TAU = 3.0, 1.0, 0.5, 0.35, 30.0
 
@@ -151,16 +152,32 @@ def _reset_avoidance(alpha: np.ndarray, share: float = RESET) -> np.ndarray:
 
 
 def _observe(alpha: np.ndarray, p: Tracker, kind: str, value: str, n: int) -> np.ndarray:
-    for _ in range(min(n, 50)):
+    """``n`` equal observations; many go by the power of their linear map, until nothing changes."""
+    emission = p.emission(kind, (NETWORK_RESPONSES if kind == "net" else DISPOSITIONS).index(value))
+
+    def once(a: np.ndarray) -> np.ndarray:
         if value in SHIFT:
-            alpha = _shift_dead(alpha, *SHIFT[value])
+            a = _shift_dead(a, *SHIFT[value])
         if value in ("rpc", "promise_to_pay"):
-            a = alpha.reshape(2, N)
-            alpha = np.zeros((2, N))
-            alpha[:, 0] = a.sum(axis=1)
-            alpha = alpha.ravel()
-        code = (NETWORK_RESPONSES if kind == "net" else DISPOSITIONS).index(value)
-        alpha = alpha * p.emission(kind, code)
+            own = a.reshape(2, N)
+            a = np.zeros((2, N))
+            a[:, 0] = own.sum(axis=1)
+            a = a.ravel()
+        return a * emission
+
+    left = n
+    if n > BLOCK:
+        each = np.array([once(row) for row in np.eye(2 * N)])
+        block = np.linalg.matrix_power(each / each.max(), BLOCK)
+        while left >= BLOCK:
+            new = alpha @ block
+            new = new / max(new.sum(), 1e-300)
+            left -= BLOCK
+            if np.array_equal(new, alpha):
+                left %= BLOCK
+            alpha = new
+    for _ in range(left):
+        alpha = once(alpha)
         alpha = alpha / max(alpha.sum(), 1e-300)
     return alpha
 
@@ -279,36 +296,37 @@ def score(obs: DataFrame, upto: int, p: Tracker | None = None) -> DataFrame:
 
 
 def expected_counts(days: dict[int, list[tuple[str, str, int]]], p: Tracker, powers: list[np.ndarray], source: str | None = None) -> dict[str, np.ndarray]:
-    """Expected transition, emission and initial counts of one line (scaled forward-backward)."""
+    """Expected transition, emission and initial counts of one line (forward-backward in logarithms,
+    which no number of equal observations takes out of range)."""
     order = sorted(days)
-    like = []
-    for d in order:
-        e = np.ones(2 * N)
-        for kind, value, n in days[d]:
-            e = e * p.emission(kind, (NETWORK_RESPONSES if kind == "net" else DISPOSITIONS).index(value)) ** min(n, 50)
-        like.append(np.maximum(e, 1e-300))
-    steps = [powers[min(b - a, FIT_GAP)] for a, b in zip(order, order[1:], strict=False)]
-    fw, scale = [p.start(source) * like[0]], []
-    scale.append(fw[0].sum())
-    fw[0] = fw[0] / scale[0]
+    logs = lambda x: np.log(np.maximum(x, 1e-300))
+    like = [sum((n * logs(p.emission(kind, (NETWORK_RESPONSES if kind == "net" else DISPOSITIONS).index(value))) for kind, value, n in days[d]), np.zeros(2 * N)) for d in order]
+    with np.errstate(divide="ignore"):
+        steps = [np.log(powers[min(b - a, FIT_GAP)]) for a, b in zip(order, order[1:], strict=False)]
+    fw = [logs(p.start(source)) + like[0]]
     for s, e in zip(steps, like[1:], strict=True):
-        f = (fw[-1] @ s) * e
-        scale.append(f.sum())
-        fw.append(f / scale[-1])
-    bw = [np.ones(2 * N)]
-    for s, e, c in zip(reversed(steps), reversed(like[1:]), reversed(scale[1:]), strict=True):
-        bw.append(s @ (e * bw[-1]) / c)
+        fw.append(_log_sum(fw[-1][:, None] + s, 0) + e)
+    bw = [np.zeros(2 * N)]
+    for s, e in zip(reversed(steps), reversed(like[1:]), strict=True):
+        bw.append(_log_sum(s + (e + bw[-1])[None, :], 1))
     bw.reverse()
-    gamma = [f * b / max((f * b).sum(), 1e-300) for f, b in zip(fw, bw, strict=True)]
+    total = _log_sum(fw[-1], 0)
+    gamma = [np.exp(f + b - total) for f, b in zip(fw, bw, strict=True)]
     net, disp, move = np.zeros((2 * N, 7)), np.zeros((2 * N, 8)), np.zeros((2 * N, 2 * N))
     for d, g in zip(order, gamma, strict=True):
         for kind, value, n in days[d]:
-            (net if kind == "net" else disp)[:, (NETWORK_RESPONSES if kind == "net" else DISPOSITIONS).index(value)] += g * min(n, 50)
+            (net if kind == "net" else disp)[:, (NETWORK_RESPONSES if kind == "net" else DISPOSITIONS).index(value)] += g * n
     for i, s in enumerate(steps):
         if order[i + 1] - order[i] == 1:
-            xi = fw[i][:, None] * s * (like[i + 1] * bw[i + 1])[None, :]
-            move += xi / max(xi.sum(), 1e-300)
-    return {"net": net, "disp": disp, "move": move, "start": gamma[0], "loglik": np.array([np.log(np.maximum(scale, 1e-300)).sum()])}
+            move += np.exp(fw[i][:, None] + s + (like[i + 1] + bw[i + 1])[None, :] - total)
+    return {"net": net, "disp": disp, "move": move, "start": gamma[0], "loglik": np.array([total])}
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """log(sum(exp(x))) along ``axis``."""
+    top = np.maximum(x.max(axis=axis, keepdims=True), -1e300)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
 SIZES = {"net": 2 * N * 7, "disp": 2 * N * 8, "move": 4 * N * N, "start": 2 * N, "loglik": 1}
