@@ -1,5 +1,7 @@
 """Tracker, learned models, feature frame and evaluation views on small fixtures."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -86,6 +88,17 @@ def test_em_raises_likelihood_and_keeps_distributions(spark):
     assert np.allclose(again.move, p.move) and again.avoid == p.avoid
 
 
+def test_em_query_runs_the_operators_rounds(monkeypatch):
+    from tidemark.plans import reference
+
+    asked = []
+    spark = SimpleNamespace(createDataFrame=lambda rows, schema: rows)
+    monkeypatch.setattr(reference, "Scratch", lambda *_: SimpleNamespace(cut=lambda df: (df, "")))
+    monkeypatch.setattr(reference, "_tracked", lambda *_: "rows")
+    monkeypatch.setattr(reference.hmm, "fit", lambda obs, **more: (asked.append((obs, more)), (None, [-2.0, -1.0]))[1])
+    assert reference.QUERIES["k5_hmm_em"](spark, "d") == [(0, -2.0), (1, -1.0)] and asked == [("rows", {})]
+
+
 def test_calibrator_is_monotone_with_fallback(spark):
     r = np.random.default_rng(5)
     f = r.random(600)

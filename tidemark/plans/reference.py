@@ -980,9 +980,9 @@ def k1_hmm_observations(spark, d):
 
 @query()
 def k5_hmm_em(spark, d):
-    """Log likelihood by EM round, over all lines."""
+    """Log likelihood by EM round, over all lines, with the operator's rounds and tolerance."""
     obs, _ = Scratch(spark, "em").cut(_tracked(spark, d))
-    _, history = hmm.fit(obs, rounds=3)
+    _, history = hmm.fit(obs)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(history)], "round int, loglik double")
 
 
