@@ -214,6 +214,20 @@ def test_short_leak_across_windows_is_a_candidate():
     assert [x[:2] for x in index.search([doc])] == [(0, 4)]
 
 
+def test_changed_words_at_the_ends_of_a_leak():
+    item, s = np.arange(1, 61), leakage.Settings()
+    host = lambda piece: np.concatenate([np.arange(100, 140), piece, np.arange(140, 180)])
+    for n in (20, 21):
+        for changed in ([0], [1], [n - 1], [n - 2], [0, n - 1], [1, n - 2], [1, 3], [n - 4, n - 2]):
+            piece = item[10 : 10 + n].copy()
+            piece[changed] = 900 + np.arange(len(changed))
+            same, a, b = leakage.leaks(host(piece), item, s)
+            assert b - a >= 20 and same >= 18
+        assert leakage.leaks(host(np.delete(item[10 : 10 + n], 1)), item, s) and leakage.leaks(host(np.insert(item[10 : 10 + n], n - 1, 900)), item, s)
+    for n in (8, 12, 17):
+        assert leakage.leaks(host(item[10 : 10 + n]), item, s) is None
+
+
 def test_word_counter_is_stable():
     assert Counter(leakage.hashes_of("a b a").tolist()) == Counter(leakage.hashes_of("B A\na").tolist())
 

@@ -28,7 +28,9 @@ class Settings:
     length and distance of the query windows of an item. ``cosine``: least similarity of a candidate.
     ``least``: words of the item that make a leak; ``slack``: how many of them may be missing at the
     ends, where a changed word cannot be told from the passage's end. ``agree``: least share of these
-    words that are the same.
+    words that are the same. ``edits``: words changed, dropped or added that an alignment short of
+    ``least`` may be widened over at its ends, and most words not the same in what it is widened to:
+    one in ten of ``least``.
     """
 
     buckets: int = 8192
@@ -42,6 +44,7 @@ class Settings:
     least: int = 20
     slack: int = 0
     agree: float = 0.82
+    edits: int = 2
     query_block: int = 20_000
     seed: int = 7
 
@@ -160,20 +163,48 @@ def _best_end(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def aligned(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
-    """Matches, and start and end in the item, of the best local alignment."""
+def aligned(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Matches, start and end in the item, and in the document, of the best local alignment."""
     score, i, j = _best_end(doc, item)
     if not score:
-        return 0, 0, 0
+        return 0, 0, 0, 0, 0
     _, di, dj = _best_end(doc[:i][::-1], item[:j][::-1])
     part, seg = doc[i - di : i], item[j - dj : j]
-    return common_words(part, places(seg), len(seg)), j - dj, j
+    return common_words(part, places(seg), len(seg)), j - dj, j, i - di, i
+
+
+def past_edits(doc: np.ndarray, item: np.ndarray, edits: int) -> list[tuple[int, int]]:
+    """For 0 to ``edits`` words changed, dropped or added, the most words of the item that follow on
+    from the start of both, and how many of them are the same. A word dropped or added counts only
+    before an equal word."""
+
+    def run(i: int, j: int, same: int) -> tuple[int, int, int]:
+        while i < len(doc) and j < len(item) and doc[i] == item[j]:
+            i, j, same = i + 1, j + 1, same + 1
+        return i, j, same
+
+    level, out = {run(0, 0, 0)}, []
+    for k in range(edits + 1):
+        out.append(max(((j, same) for _, j, same in level), default=(0, 0)))
+        made = [(x, y, run(i + x, j + y, same), same) for i, j, same in level for x, y in ((1, 1), (0, 1), (1, 0)) if i + x <= len(doc) and j + y <= len(item)]
+        level = {to for x, y, to, same in made if (x, y) == (1, 1) or to[2] > same}
+    return out
 
 
 def leaks(doc: np.ndarray, item: np.ndarray, s: Settings) -> tuple[int, int, int] | None:
-    matches, a, b = aligned(doc, item)
-    if b - a >= s.least - s.slack and matches >= s.agree * (b - a):
-        return matches, a, b
+    matches, a, b, c, d = aligned(doc, item)
+    least = s.least - s.slack
+    if b - a >= least:
+        return (matches, a, b) if matches >= s.agree * (b - a) else None
+    if b - a < least // 2:
+        return None
+    before, after = past_edits(doc[:c][::-1], item[:a][::-1], s.edits), past_edits(doc[d:], item[b:], s.edits)
+    for used in range(s.edits + 1):
+        for k in range(used + 1):
+            (x, left), (y, right) = before[k], after[used - k]
+            same, words = matches + left + right, b + y - (a - x)
+            if words >= least and words - same <= s.edits:
+                return same, a - x, b + y
     return None
 
 
@@ -315,7 +346,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, s: Settings
     the query set, and asked in blocks of windows, so its size bounds no broadcast. Passages of every
     document are compared with the items' windows by cosine in the latent space; a candidate's words
     around the near passages are then aligned with the item (local alignment; longest common
-    subsequence first, to spare it). A leak holds ``least`` consecutive words of the item of which
+    subsequence first, to spare it). The alignment ends before a changed word near its end; one that is
+    short by such words is widened over them. A leak holds ``least`` consecutive words of the item of which
     ``agree`` are the same. ``answer_leaked`` tells whether the words after the item's last question
     mark are in the passage.
 
