@@ -99,6 +99,18 @@ def test_em_query_runs_the_operators_rounds(monkeypatch):
     assert reference.QUERIES["k5_hmm_em"](spark, "d") == [(0, -2.0), (1, -1.0)] and asked == [("rows", {})]
 
 
+def test_gbm_query_fits_the_operators_trees(monkeypatch):
+    from tidemark.plans import reference
+
+    asked = []
+    scored = SimpleNamespace(select=lambda *_: "rows")
+    monkeypatch.setattr(reference, "_fitted", lambda *_: ("data", ["a"]))
+    monkeypatch.setattr(reference, "rounded", lambda df, digits: df)
+    monkeypatch.setattr(reference.learned, "fit_classifier", lambda *a, **more: asked.append((a, more)))
+    monkeypatch.setattr(reference.learned, "predict", lambda *_: scored)
+    assert reference.QUERIES["k7_gbm"](None, "d") == "rows" and asked == [(("data", "y", ["a"]), {})]
+
+
 def test_calibrator_is_monotone_with_fallback(spark):
     r = np.random.default_rng(5)
     f = r.random(600)

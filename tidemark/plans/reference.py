@@ -1002,7 +1002,7 @@ def _fitted(spark, d) -> tuple[DataFrame, list[str]]:
 @query()
 def k7_gbm(spark, d):
     data, names = _fitted(spark, d)
-    return rounded(learned.predict(learned.fit_classifier(data, "y", names, maxIter=10, maxDepth=3), data, names).select(*CP_KEYS, "y", "p"), 6)
+    return rounded(learned.predict(learned.fit_classifier(data, "y", names), data, names).select(*CP_KEYS, "y", "p"), 6)
 
 
 @query()
