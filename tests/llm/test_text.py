@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 
+from tests.llm.pii_remarks import FRESH, REMARKS
 from tidemark.llm import pii, tokenize
 from tidemark.llm.boosting import best_threshold, calibrate, fit_boosted
+from tidemark.llm.pii_training import training_texts
 
 CASES = [
     "", "plain words, don't WE'LL stop", "  two  spaces\t\tand\n\nlines \r\n", "नमस्ते ಕನ್ನಡ 😀👩‍👩‍👧", "<|endoftext|> is text", "x" * 5000, " " * 3000, "१२३ 123456 3.14", "​﻿\u0000 odd", "áé",
@@ -49,20 +51,51 @@ def test_byte_letters_are_distinct():
 
 @pytest.fixture(scope="module")
 def detector():
-    return pii.train(n=6000)
-
-
-def test_held_out_accuracy(detector):
-    held = pii.training_texts(1500, seed=77)
-    hit = {k: [0, 0, 0] for k in pii.KINDS}
-    for (_text, true), spans in zip(held, detector.find([t for t, _ in held]), strict=True):
-        want, got = {k for _, _, k in true}, {s.kind for s in spans}
-        for k in pii.KINDS:
-            hit[k][0] += k in want and k in got
-            hit[k][1] += k in got and k not in want
-            hit[k][2] += k in want and k not in got
-    for k, (tp, fp, fn) in hit.items():
-        assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.95, (k, tp, fp, fn)
+    return pii.train()
+
+
+def scores(detector, rows):
+    """Precision and recall by kind of (text, kinds) rows."""
+    out = {}
+    found = [{s.kind for s in spans} for spans in detector.find([t for t, _ in rows])]
+    for k in pii.KINDS:
+        both = sum(k in want and k in got for (_, want), got in zip(rows, found, strict=True))
+        out[k] = both / max(1, sum(k in got for got in found)), both / max(1, sum(k in want for _, want in rows))
+    return out
+
+
+def test_composed_texts_held_out(detector):
+    held = [(t, {k for _, _, k in true}) for t, true in training_texts(1500, seed=77)]
+    for k, (p, r) in scores(detector, held).items():
+        assert p > 0.93 and r > 0.93, (k, p, r)
+
+
+def test_remarks_written_apart_from_the_training_texts(detector):
+    """The figures of README. The first set guided the detector; the second was run when it seemed done, and its
+    errors led to one more round of general changes, so it is no longer quite apart."""
+    for rows, name_p, name_r in ((REMARKS, 0.9, 0.9), (FRESH, 0.75, 0.7)):
+        got = scores(detector, [(t, set(kinds.split())) for t, kinds in rows])
+        assert all(p >= 0.95 and r >= 0.95 for k, (p, r) in got.items() if k in ("email", "phone", "id_number")), got
+        assert got["address"][0] >= 0.95 and got["address"][1] >= 0.7, got
+        assert got["name"][0] >= name_p and got["name"][1] >= name_r, got
+
+
+def test_training_texts_are_not_those_of_the_tests():
+    composed = {t for t, _ in training_texts(3000)}
+    assert not composed & {t for t, _ in (*REMARKS, *FRESH)}
+
+
+def test_ordinary_remarks(detector):
+    rows = [
+        ("his mobile is 98765-43210", "his mobile is [PHONE]"),
+        ("Her Aadhaar is 1234 5678 9012", "Her Aadhaar is [ID_NUMBER]"),
+        ("Mohammed Irfan Sheikh answered the door", "[NAME] answered the door"),
+        ("Amit said he will pay", "[NAME] said he will pay"),
+        ("12-B, Sunrise Apartments, Linking Road", "[ADDRESS]"),
+        ("Discussed restructuring options", "Discussed restructuring options"),
+        ("complained about service quality", "complained about service quality"),
+    ]
+    assert [detector.redact(t, s) for (t, _), s in zip(rows, detector.find([t for t, _ in rows]), strict=True)] == [w for _, w in rows]
 
 
 def test_redaction_keeps_the_rest(spark, detector):

@@ -93,13 +93,14 @@ def calibrate(score: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float
     return float(a), float(b)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability above which F1 on held-out rows is greatest; halfway into its gap."""
+def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = 1.0) -> float:
+    """The probability above which F-beta on held-out rows is greatest; halfway into its gap. A
+    ``beta`` over 1 weighs what is missed more than what is taken too much."""
     if not len(p) or y.sum() == 0:
         return 0.5
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
-    k = int(f1.argmax())
+    f = (1 + beta**2) * hit / (np.arange(1, len(p) + 1) + beta**2 * y.sum())
+    k = int(f.argmax())
     below = p[order][k + 1] if k + 1 < len(p) else 0.0
     return float(np.clip((p[order][k] + below) / 2, 0.05, 0.95))

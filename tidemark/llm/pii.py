@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import random
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -15,50 +15,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.boosting import Boosted, best_threshold, calibrate, fit_boosted
+from tidemark.llm.pii_training import TRAINING_TEXTS, training_texts
+from tidemark.llm.pii_words import CLASSES, DIGIT_WORDS, PLACE_ENDS, REPEATS, is_common, vocabulary, word_class
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Labelled texts composed for training; a fixed bound, whatever the corpus.
-TRAINING_TEXTS = 9000
-
-NUMBER_WORDS = "zero oh one two three four five six seven eight nine double triple ek do teen char paanch chhe saat aath nau shunya".split()
-ROLES = "branch manager field supervisor settlement desk recovery team officer agent telecaller watchman security guard collector lender bank customer borrower owner tenant landlord neighbour co-applicant party driver receptionist".split()
-KIN = "wife husband brother sister father mother son daughter uncle aunt bhai behen patni pita mata beta beti thamma anna akka amma padosi mama chacha guarantor".split()
-FIRMS = "medicals stores store agency traders enterprises electronics hotel bakery motors textiles clinic hospital pharmacy finance bank jewellers provision tailors mart bazar industries garage travels services limited ltd pvt company shop".split()
-PRODUCTS = "gold loan home top up two wheeler consumer durable personal group upi emi noc kyc otp".split()
-STREETS = "street st road rd lane marg galli gali chowk nagar colony cross main veedhi layout circle avenue extension block phase bazaar path puram mohalla".split()
-HOUSES = "flat plot makaan house h.no hno door quarter qtr room shop no bungalow villa d.no gharkul".split()
-
-_NAMEY = r"[^\W\d_](?:[^\W\d_]|[्ः-ःा-ौँंಾ-್ಂಃ])*"
-_TOKEN = re.compile(rf"{_NAMEY}|\d+")
-_EMAIL = re.compile(
-    r"[\w.+-]+\s?(?:@|\(at\)|\[at\]|\{at\})\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+",
-    re.I,
-)
-_SPELLED = re.compile(rf"\b(?:{'|'.join(NUMBER_WORDS)})(?:[ ,-]+(?:{'|'.join(NUMBER_WORDS)})){{5,}}\b", re.I)
+#: A span missed costs more than one redacted too much; the thresholds maximise F-beta.
+BETA = 1.5
+#: How far a cue word may stand before or after a span, in words.
+REACH = 5
+
+_LETTERS = r"[^\W\d_](?:[^\W\d_]|[ऀ-ःऺ-ॏಂಃ಼-್])*"
+_TOKEN = re.compile(rf"{_LETTERS}|\d+")
+_EMAIL = re.compile(r"[\w.+-]+\s?(?:@|\(at\)|\[at\]|\{at\})\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)
+_WORDS = "|".join(DIGIT_WORDS)
+_SPELLED = re.compile(rf"\b(?:(?:{'|'.join(REPEATS)}) )?(?:{_WORDS})(?:[ ,-]+(?:(?:{'|'.join(REPEATS)}) )?(?:{_WORDS})){{5,}}\b", re.I)
 _DIGITS = re.compile(r"(?<![\w@])(?:\+\d{1,3}[ -]?)?(?:\(\d{2,5}\)[ -]?)?\d+(?:[ .-]\d+)*(?!\w)")
-_ID = re.compile(
-    r"(?<!\w)(?:[A-Z]{5} ?\d{4} ?[A-Z]|[A-Z]{3} ?\d{7}|[A-Z] ?\d{7}|[A-Z]{2}[- ]?\d{2}[- ]?\d{4}[- ]?\d{7}|[A-Z]{2}\d{13})(?!\w)", re.I
-)
-_HOUSE = (
-    r"(?:#\s?\d+[\w/-]*|(?:h\.? ?no\.?|d\.? ?no\.?|(?:flat|plot|house|door|quarter|qtr|room|shop)(?: no\.?)?|makaan(?: no\.?| number)?)\s*[:#-]?\s*(?:[a-z][/-])?\d+[\w/-]*|\d{1,4}(?:[/-]\d+)*[a-z]?(?=,? +(?:\w+ ){1,3}?(?:"
-    + "|".join(STREETS)
-    + r")\b))"
+_ID = re.compile(r"(?<!\w)(?:[A-Z]{5}[ -]?\d{4}[ -]?[A-Z]|[A-Z]{3} ?\d{7}|[A-Z] ?\d{7}|[A-Z]{2}[- ]?\d{2}[- ]?(?:19|20)\d{2}[- ]?\d{7})(?!\w)", re.I)
+_HOUSE = re.compile(
+    r"(?<![\w.,/+-])(?:#\s?\d+[\w/-]*|(?:h\.? ?no\.?|d\.? ?no\.?|(?:flat|plot|house|door|quarters?|qtr|room|shop|unit|villa|bungalow|survey)(?: ?no\.?| number)?|makaa?n(?: no\.?| number)?|gharkul|no\.?)"
+    r"\s*[:#-]?\s*(?:[a-z][ /-]?)?\d+[\w/-]*|(?:[a-z][/-])?\d{1,4}(?:[/-]\d{1,4})*(?:[/-]?[a-z])?)(?![\w%:]|[.]\d)",
+    re.I,
 )
-_ADDRESS = re.compile(rf"(?<!\w)(?<!\d[ )-]){_HOUSE}(?!\w)", re.I)
-#: Words of streets, landmarks and parts of buildings: an address goes on over them.
-PLACE_WORDS = {*STREETS, *HOUSES, *"sector ward floor wing a b c d near opp behind ke peeche paas st nd rd th old mill station canal bund temple tank market lotus peepal lake view school".split()}
-_STREET = re.compile(r"\b(?:" + "|".join(STREETS) + r"|sector ?\d+|ward ?\d+)\b", re.I)
+_BREAK = re.compile(r"[\n;|?!]|\s/\s|[.]\s|\s[-–—]\s")
+#: Classes of words no name has.
+_NEVER = frozenset("func prep post pron honorific digitword naming".split())
+_CUES = {c: frozenset(CLASSES[c].split()) for c in ("phoneword", "idword", "refword", "mailword", "addrword", "comm", "motion", "honorific", "naming", "role", "kin", "firm", "product", "street", "building", "house")}
+_PLACE_ENDS = tuple(PLACE_ENDS)
 
 
-@dataclass
+@dataclass(slots=True)
 class Span:
     start: int
     end: int
     kind: str
     how: int
+    lo: int = 0
+    hi: int = 0
+    extra: tuple[float, ...] = (0.0, 0.0, 0.0)
     x: list[float] = field(default_factory=list)
 
 
+class Text:
+    """A text with its digits made plain, its words, their classes and where clauses break."""
+
+    __slots__ = ("t", "words", "starts", "ends", "raw", "cls", "broken", "caseless")
+
+    def __init__(self, text: str, det: Detector):
+        self.t = t = plain_digits(text)
+        found = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(t)]
+        self.starts = [a for a, _, _ in found]
+        self.ends = [b for _, b, _ in found]
+        self.raw = [w for _, _, w in found]
+        self.words = [w.lower() for w in self.raw]
+        self.cls = [det.class_of(w) for w in self.words]
+        self.broken = [False] + [bool(_BREAK.search(t[self.ends[i - 1] : self.starts[i]])) and not (len(self.words[i - 1]) <= 1 or self.cls[i - 1] == "honorific" or self.words[i - 1] == "no") for i in range(1, len(found))]
+        letters = [w for w in self.raw if w[0].isascii() and not w[0].isdigit() and len(w) > 1]
+        upper = sum(w[0].isupper() for w in letters)
+        self.caseless = not upper or all(w.isupper() for w in letters)
+
+    def at(self, i: int, of: int) -> tuple[str, str]:
+        """Word and class at ``i`` as seen from the span's edge word ``of``; a mark where a clause ends."""
+        if not 0 <= i < len(self.words):
+            return "<e>", "<e>"
+        a, b = (i, of) if i < of else (of, i)
+        for k in range(a + 1, b + 1):
+            if self.broken[k]:
+                return "<b>", "<b>"
+        w = self.words[i]
+        return ("0", "number") if w[0].isdigit() else (w, self.cls[i])
+
+
 def plain_digits(text: str) -> str:
     """Decimal digits of any script as ASCII; every other character stays where it is."""
     if text.isascii():
@@ -69,38 +95,56 @@ def plain_digits(text: str) -> str:
 class Detector:
     """Generators, features, trees and thresholds. Built from training texts, then only read."""
 
-    def __init__(self) -> None:
-        self.known: set[str] = set()
+    def __init__(self, words: dict[str, float] | None = None) -> None:
+        self.vocabulary = vocabulary() if words is None else words
         self.odds: dict[tuple, float] = {}
+        self.endings: dict[str, float] = {}
         self.trees: dict[str, Boosted] = {}
         self.platt: dict[str, tuple[float, float]] = {}
         self.threshold: dict[str, float] = {}
+        self._classes: dict[str, str] = {}
+
+    def class_of(self, w: str) -> str:
+        found = self._classes.get(w)
+        if found is None:
+            if len(self._classes) > 200_000:
+                self._classes.clear()
+            listed = word_class().get(w)
+            if w[0].isdigit():
+                found = "number"
+            elif len(w) == 1:
+                found = "letter"
+            elif listed:
+                found = listed
+            elif is_common(w, self.vocabulary):
+                found = "common"
+            else:
+                found = "proper" if w in self.vocabulary else "unknown"
+            self._classes[w] = found
+        return found
 
     # candidates
 
-    def candidates(self, text: str) -> tuple[list[Span], list[tuple[int, int, str]]]:
-        """High-recall spans of every kind, which may overlap, and the text's tokens."""
-        t = plain_digits(text)
-        tokens = [(m.start(), m.end(), m.group().lower()) for m in _TOKEN.finditer(t)]
+    def candidates(self, x: Text) -> list[Span]:
+        """High-recall spans of every kind, which may overlap."""
+        t = x.t
         out = [Span(m.start(), m.end(), "email", 0) for m in _EMAIL.finditer(t)]
         out += [Span(m.start(), m.end(), "phone", 1) for m in _SPELLED.finditer(t)]
         for m in _DIGITS.finditer(t):
-            for a, b in self._numbers(m):
-                n = sum(c.isdigit() for c in t[a:b])
+            for a, b, n in self._numbers(m):
                 out.append(Span(a, b, "phone", 2))
                 if n == 12:
                     out.append(Span(a, b, "id_number", 3))
         out += [Span(m.start(), m.end(), "id_number", 4) for m in _ID.finditer(t)]
-        out += [Span(m.start(), e, "address", 5) for m in _ADDRESS.finditer(t) for e in self._address_ends(t, m, tokens)]
-        out += self._names(t, tokens)
-        return out, tokens
-
-    def _numbers(self, m: re.Match) -> list[tuple[int, int]]:
-        """The match if it has 8 to 13 digits, else the runs of its groups that have."""
-        if sum(c.isdigit() for c in m.group()) < 8:
-            return []
-        if sum(c.isdigit() for c in m.group()) <= 13:
-            return [(m.start(), m.end())]
+        for m in _HOUSE.finditer(t):
+            out += self._addresses(x, m)
+        out += self._names(x)
+        for s in out:
+            s.lo, s.hi = bisect_left(x.starts, s.start), bisect_left(x.starts, s.end)
+        return out
+
+    def _numbers(self, m: re.Match) -> list[tuple[int, int, int]]:
+        """Every run of the match's groups with 8 to 13 digits."""
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"\d+", m.group())]
         out = []
         for i in range(len(groups)):
@@ -110,81 +154,126 @@ class Detector:
                 if n > 13:
                     break
                 if n >= 8:
-                    out.append((groups[i][0], groups[j][1]))
+                    out.append((m.start() if i == 0 else groups[i][0], groups[j][1], n))
         return out
 
-    def _address_ends(self, t: str, m: re.Match, tokens: list[tuple[int, int, str]]) -> list[int]:
-        """Where an address that begins with ``m`` may end: at each of its commas, and at its last
-        word. It goes on over place words, unknown words and numbers of up to three digits, and ends
-        with a postal code."""
-        ends, at, n = [], m.end(), 0
-        for i in range(int(np.searchsorted([a for a, _, _ in tokens], m.end())), len(tokens)):
-            a, b, w = tokens[i]
+    def _addresses(self, x: Text, m: re.Match) -> list[Span]:
+        """An address from the house number ``m`` on may end after each of its streets, sectors,
+        buildings, postal codes and comma parts, and with its last word."""
+        t, at, seen, ends = x.t, m.end(), 0, []
+        keyed = not m.group()[0].isdigit()
+        commas = 0
+        first = bisect_left(x.starts, m.end())
+        marks: list[tuple[int, tuple[float, ...]]] = []
+        for n, i in enumerate(range(first, min(first + 18, len(x.words)))):
+            a, b, w, c = x.starts[i], x.ends[i], x.words[i], x.cls[i]
             gap = t[at:a]
-            if gap.strip(" ,-/") or len(gap) > 3 or "\n" in gap or "/" in gap and gap != "/" or (gap == "" and at != m.end() and w not in ("st", "nd", "rd", "th")):
+            if len(gap) > 3 or "\n" in gap or gap.strip(" ,-/#.") or (gap.strip() == "/" and gap != "/"):
                 break
-            if w in NUMBER_WORDS:
+            if "." in gap and len(x.words[i - 1]) > 3 and gap != ".":
                 break
-            code = w.isdigit() and len(w) == 6
-            if w.isdigit() and not code and len(w) > 3 or not w.isdigit() and w not in PLACE_WORDS and w in self.known:
-                break
-            if n and "," in gap:
-                ends.append(at)
-            at, n = b, n + 1
-            if code or n >= 14:
+            if w[0].isdigit():
+                if len(w) > 4 and len(w) != 6:
+                    break
+                place = len(w) == 6 or (i > first and x.cls[i - 1] in ("street", "building"))
+            else:
+                ahead = x.cls[i + 1 : i + 4]
+                leads = bool(ahead) and ahead[0] in ("street", "building") and t[b : x.starts[i + 1]] in (" ", "-")
+                named = x.raw[i][0].isupper() and not x.caseless
+                beside = "relative_place" in x.cls[max(first, i - 2) : i]
+                if w == "a" and (leads or i > first and x.cls[i - 1] in ("street", "building")):
+                    c = "letter"
+                if w in ("to", "no", "of", "ke") and n and (w != "to" or x.words[i - 1] == "next"):
+                    c = "letter"
+                if c in ("func", "pron", "digitword", "naming", "prep", "post", "comm", "motion"):
+                    break
+                if not leads and c in ("honorific", "phoneword", "idword", "mailword", "time", "product", "hinglish") and not (named and c in ("hinglish", "time", "product", "honorific")):
+                    break
+                if c in ("common", "role", "kin", "refword", "addrword", "firm") and not named and not beside and not {"street", "building"} & set(ahead):
+                    break
+                place = c in ("street", "building")
+            seen += place
+            if "," in gap:
+                commas += 1
+                if n:
+                    marks.append((at, (float(seen), float(n), float(commas))))
+            at = b
+            if place:
+                marks.append((at, (float(seen), float(n + 1), float(commas))))
+            if w[0].isdigit() and len(w) == 6:
                 break
-        while at > m.end() and t[m.end() : at].rstrip().lower().endswith((" ke", " a", " b", " c", " d")):
-            at = m.end() + len(t[m.end() : at].rstrip()) - 2
-            at = m.end() + len(t[m.end() : at].rstrip())
-        return sorted({*ends, at}) if n else []
-
-    def _names(self, t: str, tokens: list[tuple[int, int, str]]) -> list[Span]:
-        """Runs of words that the training texts know from nowhere else, with initials."""
-        out, i, n = [], 0, len(tokens)
+        last = bisect_left(x.starts, at)
+        if last > first:
+            marks.append((at, (float(seen), float(last - first), float(commas))))
+        best = {e: k for e, k in marks if k[0] or (keyed and k[1])}
+        ends = sorted(best.items())
+        return [Span(m.start(), e, "address", 5 + keyed, extra=k) for e, k in ends]
+
+    def _names(self, x: Text) -> list[Span]:
+        """All runs of up to four words that may be a name, with initials."""
+        n = len(x.words)
+        fits = [self._fits(x, i) for i in range(n)]
+        out, i = [], 0
         while i < n:
-            a, b, w = tokens[i]
-            if w in self.known or w[0].isdigit() or (len(w) == 1 and not self._initial(t, tokens, i)):
+            if not fits[i]:
                 i += 1
                 continue
             j = i
-            while j + 1 < n:
-                gap = t[tokens[j][1] : tokens[j + 1][0]]
-                nw = tokens[j + 1][2]
-                if gap not in (" ", ". ", ".") or nw[0].isdigit() or (gap != " " and len(tokens[j][2]) > 1):
-                    break
-                if nw in self.known and not (len(nw) == 1 and gap == " "):
-                    break
-                if j - i >= 3:
+            while j + 1 < n and fits[j + 1]:
+                gap = x.t[x.ends[j] : x.starts[j + 1]]
+                if gap != " " and not (gap in (". ", ".") and len(x.words[j]) <= 2):
                     break
                 j += 1
-            if j > i or len(w) > 1:
-                out.append(Span(a, tokens[j][1], "name", 6))
+            for a in range(i, j + 1):
+                for b in range(a, min(a + 4, j + 1)):
+                    if any(len(x.words[k]) > 1 for k in range(a, b + 1)):
+                        out.append(Span(x.starts[a], x.ends[b], "name", 7, extra=(float(a > i), float(b < j), float(j - i + 1))))
             i = j + 1
         return out
 
-    def _initial(self, t: str, tokens: list[tuple[int, int, str]], i: int) -> bool:
-        a, b, _ = tokens[i]
-        return i + 1 < len(tokens) and tokens[i + 1][2] not in self.known and t[b : tokens[i + 1][0]] in (". ", ".", " ") and not tokens[i + 1][2][0].isdigit()
+    def _fits(self, x: Text, i: int) -> bool:
+        c, w = x.cls[i], x.raw[i]
+        if c == "number" or c in _NEVER or x.t[x.starts[i] - 1 : x.starts[i]] in ("@", "#", "_"):
+            return False
+        if c == "letter":
+            return w.isupper() or x.caseless
+        if c in ("unknown", "proper"):
+            return True
+        if c not in ("common", "hinglish", "time"):
+            return False
+        if i and x.cls[i - 1] in ("honorific", "naming"):
+            return True
+        return w[0].isupper() and not x.caseless
 
     # features
 
-    def describe(self, text: str, spans: list[Span], tokens: list[tuple[int, int, str]]) -> None:
-        t = plain_digits(text)
-        starts = [a for a, _, _ in tokens]
+    def context(self, x: Text, s: Span) -> list[tuple]:
+        """The keys under which the training texts count what stands around a span."""
+        (p1, c1), (p2, c2) = x.at(s.lo - 1, s.lo), x.at(s.lo - 2, s.lo)
+        (n1, d1), (n2, d2) = (x.at(s.hi, s.hi - 1), x.at(s.hi + 1, s.hi - 1)) if s.hi > s.lo else (("<e>", "<e>"), ("<e>", "<e>"))
+        k = s.kind
+        return [(k, "p", p1), (k, "pc", c1), (k, "pp", c2, p1), (k, "ppc", c2, c1), (k, "n", n1), (k, "nc", d1), (k, "nn", n1, d2), (k, "nnc", d1, d2), (k, "pn", c1, d1)]
+
+    def describe(self, x: Text, spans: list[Span]) -> None:
+        t = x.t
+        holders = sorted((a.start, a.end) for a in spans if a.kind in ("email", "address"))
+        reach, most = [], 0
+        for _, e in holders:
+            most = max(most, e)
+            reach.append(most)
         for s in spans:
             body = t[s.start : s.end]
-            lo = int(np.searchsorted(starts, s.start))
-            hi = int(np.searchsorted(starts, s.end))
-            at = lambda k: tokens[k][2] if 0 <= k < len(tokens) else ""
-            word = lambda k: "0" if at(k)[:1].isdigit() else at(k)
-            p1, p2, n1, n2 = word(lo - 1), word(lo - 2), word(hi), word(hi + 1)
-            inner = [w for _, _, w in tokens[lo:hi]]
-            digits = re.sub(r"\D", "", body)
-            groups = [len(g) for g in re.findall(r"\d+", body)]
-            letters = sum(c.isalpha() for c in body)
-            tail = t[s.end : s.end + 2]
+            inner = range(s.lo, s.hi)
+            kinds = [x.cls[i] for i in inner]
+            groups = [len(x.words[i]) for i in inner if x.cls[i] == "number"]
+            digits = "".join(x.words[i] for i in inner if x.cls[i] == "number")
+            held = bisect_left(holders, (s.start + 1, 0)) - 1
+            before = t[max(0, s.start - 2) : s.start]
+            raw = [x.raw[i] for i in inner]
+            odds = [self.odds.get(key, 0.0) for key in self.context(x, s)]
             s.x = [
                 float(s.how),
+                *s.extra,
                 len(body),
                 len(digits),
                 len(groups),
@@ -192,76 +281,113 @@ class Detector:
                 groups[-1] if groups else 0,
                 float(body.startswith("+")),
                 float(digits[:1] or -1),
-                float(bool(digits) and set(groups) == {4}),
-                letters,
+                float(digits[:2] or -1),
+                float(bool(groups) and set(groups) == {4}),
+                sum(c.isalpha() for c in body),
                 len(inner),
-                float(body.islower()),
-                float(body.isupper()),
-                float(body[:1].isupper() and not body.isupper()),
+                float(x.caseless),
+                sum(w[0].isupper() for w in raw) / (len(raw) or 1),
                 float(not body.isascii()),
-                float(any(len(w) == 1 for w in inner)),
-                float(any(w in FIRMS for w in inner) or n1 in FIRMS),
-                float(any(w in ROLES or w in PRODUCTS for w in inner) or p1 in ROLES or n1 in PRODUCTS),
-                float(any(w in KIN for w in inner) or p1 in KIN),
-                float(any(w in STREETS for w in inner) or n1 in STREETS),
-                float(bool(_STREET.search(body))),
-                float(any(w in HOUSES for w in inner)),
-                float("#" in body),
+                kinds.count("unknown"),
+                kinds.count("proper"),
+                kinds.count("common") + kinds.count("hinglish") + kinds.count("time"),
+                kinds.count("letter"),
+                kinds.count("street"),
+                kinds.count("building"),
+                float("firm" in kinds),
+                float(kinds[0] == "firm" or kinds[-1] == "firm") if kinds else 0.0,
                 float("@" in body),
-                float(p1 in ("mr", "mrs", "ms", "smt", "shri", "sri", "dr", "miss")),
-                self.odds.get((s.kind, "p1", p1), 0.0),
-                self.odds.get((s.kind, "p2", p2 + " " + p1), 0.0),
-                self.odds.get((s.kind, "n1", n1), 0.0),
-                self.odds.get((s.kind, "n2", n1 + " " + n2), 0.0),
-                self.odds.get((s.kind, "pn", p1 + " " + n1), 0.0),
-                float(tail[:1] in "@" if tail else 0.0),
-                float(lo == 0),
-                float(hi >= len(tokens)),
-                float(any(a.start <= s.start and s.end <= a.end and a is not s and a.kind in ("email", "address") for a in spans)),
+                float(bool(before) and before[-1] in "-/#_:" and before[0].isalnum()),
+                float(t[s.end : s.end + 1] in ("/", "-", "%", "@") and s.end < len(t)),
+                self._near(x, s, "phoneword"),
+                self._near(x, s, "idword"),
+                self._near(x, s, "refword"),
+                self._near(x, s, "addrword"),
+                self._near(x, s, "mailword"),
+                self._near(x, s, "motion"),
+                self._near(x, s, "comm"),
+                *[float(x.at(s.lo - 1, s.lo)[1] == c) for c in ("honorific", "kin", "role", "prep", "firm", "<e>", "<b>")],
+                *[float(s.hi > s.lo and x.at(s.hi, s.hi - 1)[1] == c) for c in ("firm", "street", "building", "product", "role", "<e>", "<b>")],
+                *odds,
+                *self._shape(x, s),
+                float(s.kind not in ("email", "address") and held >= 0 and reach[held] >= s.end),
             ]
 
+    def _near(self, x: Text, s: Span, cue: str) -> float:
+        """How many words before the span the nearest cue stands, negative after it; 9 for none."""
+        cues = _CUES[cue]
+        for k in range(1, REACH + 1):
+            w, c = x.at(s.lo - k, s.lo)
+            if c in ("<b>", "<e>"):
+                break
+            if w in cues:
+                return float(k)
+        for k in range(REACH - 2):
+            if s.hi == s.lo:
+                break
+            w, c = x.at(s.hi + k, s.hi - 1)
+            if c in ("<b>", "<e>"):
+                break
+            if w in cues:
+                return float(-1 - k)
+        return 9.0
+
+    def _shape(self, x: Text, s: Span) -> list[float]:
+        """For names: how the words end, against those of other unknown words, and as towns do."""
+        if s.kind != "name":
+            return [0.0, 0.0, 0.0, 0.0]
+        words = [x.words[i] for i in range(s.lo, s.hi) if len(x.words[i]) > 1]
+        scores = [self.endings.get(w[-3:], 0.0) + self.endings.get(w[-2:], 0.0) + self.endings.get("^" + w[:2], 0.0) for w in words]
+        places = sum(w.endswith(_PLACE_ENDS) and len(w) > 4 for w in words)
+        return [sum(scores) / len(scores), min(scores), float(places), sum(self.vocabulary.get(w, -3.0) for w in words) / len(words)]
+
     # training
 
-    def fit(self, labelled: list[tuple[str, list[tuple[int, int, str]]]], seed: int = 11) -> Detector:
-        """``labelled``: texts with their true spans. A third of the texts calibrates, the rest trains."""
-        cut = len(labelled) * 2 // 3
-        third = cut // 2
-        for text, true in labelled:
-            for m in _TOKEN.finditer(plain_digits(text)):
-                if not any(a <= m.start() < b for a, b, _ in true):
-                    self.known.add(m.group().lower())
-        self.known -= TOWNS_SEEN
+    def fit(self, labelled: list[tuple[str, list[tuple[int, int, str]]]]) -> Detector:
+        """``labelled``: texts with their true spans. A third each gives the odds of contexts, trains
+        the trees, and calibrates them and sets the thresholds."""
+        third = len(labelled) // 3
         counts: dict[tuple, list[int]] = {}
+        ends: dict[str, list[int]] = {}
+        sets: dict[str, list[list]] = {k: [[], [], [], []] for k in KINDS}
         for text, true in labelled[:third]:
-            spans, tokens = self.candidates(text)
-            starts = [a for a, _, _ in tokens]
-            for s in spans:
+            x = Text(text, self)
+            for s in self.candidates(x):
                 y = _is_true(s, true)
-                lo, hi = int(np.searchsorted(starts, s.start)), int(np.searchsorted(starts, s.end))
-                word = lambda k: ("0" if tokens[k][2][0].isdigit() else tokens[k][2]) if 0 <= k < len(tokens) else ""  # noqa: B023, E731
-                p1, p2, n1, n2 = word(lo - 1), word(lo - 2), word(hi), word(hi + 1)
-                for key in (("p1", p1), ("p2", p2 + " " + p1), ("n1", n1), ("n2", n1 + " " + n2), ("pn", p1 + " " + n1)):
-                    cell = counts.setdefault((s.kind, *key), [0, 0])
-                    cell[y] += 1
-        self.odds = {k: float(np.log((b + 0.5) / (a + 0.5))) for k, (a, b) in counts.items()}
+                for key in self.context(x, s):
+                    counts.setdefault(key, [0, 0])[y] += 1
+                if s.kind == "name":
+                    for i in range(s.lo, s.hi):
+                        w = x.words[i]
+                        if len(w) > 2 and w.isascii():
+                            for e in (w[-3:], w[-2:], "^" + w[:2]):
+                                ends.setdefault(e, [0, 0])[y] += 1
+        # Odds are relative to those of the kind, so that a context never seen says nothing.
+        share = {}
+        for kind in KINDS:
+            a, b = (sum(c[y] for key, c in counts.items() if key[:2] == (kind, "pc")) for y in (0, 1))
+            share[kind] = (b + 1.0) / (a + b + 2.0)
+
+        def lift(c: list[int], p: float, weight: float) -> float:
+            return float(np.clip(np.log((c[1] + weight * p) / (c[0] + weight * (1 - p))) - np.log(p / (1 - p)), -4, 4))
+
+        self.odds = {k: lift(c, share[k[0]], 4.0) for k, c in counts.items() if sum(c) > 2}
+        self.endings = {k: lift(c, share["name"], 8.0) for k, c in ends.items()}
+        for n, (text, true) in enumerate(labelled[third:]):
+            part = 2 * int(n >= third)
+            x = Text(text, self)
+            spans = self.candidates(x)
+            self.describe(x, spans)
+            for s in spans:
+                sets[s.kind][part].append(s.x)
+                sets[s.kind][part + 1].append(_is_true(s, true))
         for kind in KINDS:
-            xs: list[list] = [[], []]
-            ys: list[list] = [[], []]
-            for i, (text, true) in enumerate(labelled[third:]):
-                part = int(i >= cut - third)
-                spans, tokens = self.candidates(text)
-                spans = [s for s in spans]
-                self.describe(text, spans, tokens)
-                for s in spans:
-                    if s.kind == kind:
-                        xs[part].append(s.x)
-                        ys[part].append(_is_true(s, true))
-            x, y = np.array(xs[0]), np.array(ys[0], dtype=float)
-            self.trees[kind] = fit_boosted(x, y, rounds=40, depth=4)
-            score, held = self.trees[kind].score(np.array(xs[1])), np.array(ys[1], dtype=float)
-            self.platt[kind] = calibrate(score, held)
+            x, y, hx, hy = (np.array(v, dtype=float) for v in sets[kind])
+            self.trees[kind] = fit_boosted(x, y, rounds=80, depth=5, rate=0.15)
+            score = self.trees[kind].score(hx)
+            self.platt[kind] = calibrate(score, hy)
             a, b = self.platt[kind]
-            self.threshold[kind] = best_threshold(_probability(a * score + b), held)
+            self.threshold[kind] = best_threshold(_probability(a * score + b), hy, BETA)
         return self
 
     # use
@@ -269,28 +395,33 @@ class Detector:
     def find(self, texts: list[str | None]) -> list[list[Span]]:
         """The spans to redact in each text, without overlaps, in order."""
         per: list[list[Span]] = []
-        for t in texts:
-            if not t or not t.strip():
+        for text in texts:
+            if not text or not text.strip():
                 per.append([])
                 continue
-            spans, tokens = self.candidates(t)
-            self.describe(t, spans, tokens)
+            x = Text(text, self)
+            spans = self.candidates(x)
+            self.describe(x, spans)
             per.append(spans)
-        score: dict[int, float] = {}
+        chance: dict[int, float] = {}
         for kind in KINDS:
             own = [s for spans in per for s in spans if s.kind == kind]
             if own:
                 a, b = self.platt[kind]
                 p = _probability(a * self.trees[kind].score(np.array([s.x for s in own])) + b)
-                score.update({id(s): float(v) for s, v in zip(own, p, strict=True)})
+                chance.update({id(s): float(v) for s, v in zip(own, p, strict=True)})
         out = []
         for spans in per:
+            good = [s for s in spans if chance[id(s)] >= self.threshold[s.kind]]
+            starts: list[int] = []
             taken: list[Span] = []
-            good = [s for s in spans if score[id(s)] >= self.threshold[s.kind]]
-            for s in sorted(good, key=lambda s: (s.kind != "email", s.kind != "address", -score[id(s)], s.start - s.end)):
-                if all(s.end <= o.start or o.end <= s.start for o in taken):
-                    taken.append(s)
-            out.append(sorted(taken, key=lambda s: s.start))
+            for s in sorted(good, key=lambda s: (s.kind != "email", s.kind != "address", -chance[id(s)], s.start - s.end)):
+                k = bisect_left(starts, s.end)
+                if not k or taken[k - 1].end <= s.start:
+                    k = bisect_left(starts, s.start)
+                    starts.insert(k, s.start)
+                    taken.insert(k, s)
+            out.append(taken)
         return out
 
     def redact(self, text: str, spans: list[Span]) -> str:
@@ -306,201 +437,17 @@ def _probability(log_odds: np.ndarray) -> np.ndarray:
 
 
 def _is_true(s: Span, true: list[tuple[int, int, str]]) -> int:
-    """A candidate is right if it covers half of a true span of its kind, and is half covered; an
-    address, three quarters."""
+    """A candidate is right if what it shares with a true span of its kind is most of both."""
     for a, b, kind in true:
         both = min(b, s.end) - max(a, s.start)
-        part = 0.75 if kind == "address" else 0.5
-        if kind == s.kind and both > 0 and both >= part * (b - a) and both >= part * (s.end - s.start):
+        if kind == s.kind and both > 0 and both >= 0.75 * (b - a) and both >= 0.75 * (s.end - s.start):
             return 1
     return 0
 
 
-# Training texts ------------------------------------------------------------------------------
-
-#: Towns made up for the training texts; they must stay unknown words, as real ones are.
-TOWNS_SEEN: set[str] = set()
-
-_ON = "b bh ch d dh g gh h j k kh l m n p pr r s sh t th v y z el us".split()
-_MID = "a e i o u aa ee ai".split()
-_END = "l n r sh m v d t k".split()
-_DEVA = "क ख ग च ज त द न प ब म र ल व श स ह".split()
-_DEVA_V = ["ा", "ि", "ी", "ु", "े", "ो", ""]
-
-
-def _word(r: random.Random, least: int = 2, most: int = 3) -> str:
-    return "".join(r.choice(_ON) + r.choice(_MID) for _ in range(r.randint(least, most))) + (r.choice(_END) if r.random() < 0.5 else "")
-
-
-def _person(r: random.Random) -> str:
-    if r.random() < 0.08:
-        return " ".join("".join(r.choice(_DEVA) + r.choice(_DEVA_V) for _ in range(r.randint(2, 4))) for _ in range(r.randint(1, 2)))
-    first, last = _word(r), _word(r, 2, 4)
-    form = r.random()
-    name = (
-        first if form < 0.25 else f"{first} {last}" if form < 0.7 else f"{first} {last} {_word(r)}" if form < 0.8 else f"{first[0]}. {last}" if form < 0.9 else f"{first} {last[0]}"
-    )
-    return name.title() if r.random() < 0.8 else name
-
-
-def _town(r: random.Random) -> str:
-    t = _word(r, 2, 4)
-    TOWNS_SEEN.add(t)
-    return t.title() if r.random() < 0.8 else t
-
-
-def _street(r: random.Random) -> str:
-    if r.random() < 0.2:
-        return f"{r.randint(1, 12)}{r.choice(['st', 'nd', 'rd', 'th'])} {r.choice(['Cross', 'Main', 'main', 'Phase'])}"
-    if r.random() < 0.3:
-        return f"{r.choice(['Station', 'Old Mill', 'Canal Bund', 'Temple Tank', 'Bazaar', 'Market', 'Lotus', 'Peepal', 'Lake View', 'School'])} {r.choice(STREETS[:18]).title()}"
-    return f"{_word(r).title()} {r.choice(STREETS).title()}"
-
-
-def _address(r: random.Random) -> str:
-    n = r.randint(1, 999)
-    house = r.choice(
-        [f"#{n}", f"flat {n}", f"Flat No {n}", f"plot no {n}", f"H.No {n}-{r.randint(1, 99)}/{r.randint(1, 9)}", f"makaan {n}", f"door no {n}", f"quarter no {r.choice('ABCD')}/{n}", f"{n}", f"{n}/{r.randint(1, 20)}", f"house no {n}"]
-    )
-    street = _street(r) if r.random() < 0.8 or not house[0].isalpha() else f"sector {r.randint(1, 60)}"
-    sep = r.choice([", ", ", ", " "])
-    parts = [house] + ([r.choice(["d wing", "2nd floor", f"{r.randint(2, 9)}th main"])] if r.random() < 0.2 else []) + [street]
-    parts += [_town(r)] if r.random() < 0.8 else []
-    out = sep.join(parts)
-    return out + (r.choice([" ", ", ", " - "]) + f"{r.randint(0, 999999):06d}" if r.random() < 0.3 else "")
-
-
-def _email(r: random.Random) -> str:
-    user = r.choice([f"{_word(r)}.{_word(r)}", f"{_word(r)}{r.randint(1, 99)}", f"{_word(r)}_{_word(r)}{r.randint(1, 99)}", f"{_word(r)}+loan"])
-    host = f"{_word(r)}{r.choice(['', '-mail'])}"
-    top = r.choice(["example", "test", "invalid", "net.example", "com", "co.in", "org"])
-    form = r.random()
-    if form < 0.7:
-        return f"{user}@{host}.{top}"
-    if form < 0.8:
-        return f"{user} @ {host}.{top}"
-    if form < 0.9:
-        return f"{user}(at){host}.{top}"
-    return f"{user} at {host} dot {top.replace('.', ' dot ')}"
-
-
-def _digits(r: random.Random, n: int) -> str:
-    return "".join(r.choice("0123456789") for _ in range(n))
-
-
-def _phone(r: random.Random) -> str:
-    d = r.choice("56789") + _digits(r, 9)
-    form = r.randint(0, 9)
-    if form == 0:
-        return " ".join(NUMBER_WORDS[0 if c == "0" else int(c) + 1] for c in d)
-    if form == 1:
-        return d.translate(str.maketrans("0123456789", "०१२३४५६७८९"))
-    return [d, d, "0" + d, f"+91-{d}", f"+91 {d[:5]} {d[5:]}", f"{d[:5]} {d[5:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"({d[:4]}) {d[4:7]} {d[7:]}", f"{d[:4]}.{d[4:7]}.{d[7:]}", f"91{d}"][form]
-
-
-def _identity(r: random.Random) -> tuple[str, str]:
-    """The words before an identity number, and the number."""
-    up = lambda n: "".join(r.choice("ABCDEFGHJKLMNPRSTVXZ") for _ in range(n))
-    d = _digits(r, 12)
-    kind = r.randint(0, 4)
-    if kind == 0:
-        body = r.choice([d, f"{d[:4]} {d[4:8]} {d[8:]}", f"{d[:4]}-{d[4:8]}-{d[8:]}"])
-        lead = r.choice(["aadhaar ", "aadhar ", "UID ", "adhar no ", "aadhaar no "]) if body == d or r.random() < 0.6 else ""
-        return lead, body
-    if kind == 1:
-        pan = f"{up(5)}{_digits(r, 4)}{up(1)}"
-        if r.random() < 0.3:
-            return r.choice(["", "pan "]), pan.lower()
-        return r.choice([("PAN ", pan), ("pan card ", f"{pan[:5]} {pan[5:9]} {pan[9:]}"), ("", pan)])
-    if kind == 2:
-        return r.choice(["passport ", "passport no "]), up(1) + _digits(r, 7)
-    if kind == 3:
-        return r.choice(["voter id ", "voter card ", "EPIC "]), up(3) + _digits(r, 7)
-    return r.choice(["DL ", "licence ", "DL no "]), f"{up(2)}-{_digits(r, 2)} {r.randint(1990, 2024)} {_digits(r, 7)}"
-
-
-NAME_SLOTS = (
-    "{} ne phone uthaya|{} answered|met {} at gate|spoke to {}|spoke with {}|this is {}|Mr {} says he is the tenant|Mrs {} picked the call|Smt. {} at home|Shri {} asked for time|"
-    "naam {} bataya|{} ji ne bola kal aana|call {} instead|neighbour {} confirmed|{} confirmed|ask for {}|contact person {}|{} next door confirms|{} ka no|{} se baat hui"
-).split("|")
-PLACE_SLOTS = "shifted to {}|neighbour says shifted to {}|found at tea stall in {}|gone to {} for work|{} branch visited|native place {}|works in {}|transferred to {}|{} me rehta hai|{} me hai|visit {} next week|new addr {}|ab {} me rehta hai".split("|")
-ADDRESS_SLOTS = "new addr {}|shifted to {}|visit {} next week|ab {} me rehta hai|found at {}|address is {}|{} - occupied by tenant|lives at {}|{} ke peeche|ab {} me|naya pata {}".split("|")
-EMAIL_SLOTS = "email id {} diya|send NOC on {}|write at {} for docs|statement bhejo {} pe|mail to {}|{} is the new mail id|mail id {}".split("|")
-PHONE_SLOTS = "alternate {} of brother|new no {}|office landline {}|wife ka no. {} hai|naya number {} note karo|call on {} after 12:00|{} pe try karo|whatsapp {}|mobile {}|call {} instead".split("|")
-ID_SLOTS = "copy of {} collected|document seen: {}|{} shown|gave {} for check|{} mismatch with file|KYC {} verified".split("|")
-#: Texts without personal information, @ for digits; D stands for 10, T for 12, R for a role, firm or relative.
-NEUTRAL = (
-    "pls check|urgent|UTR T shared|@teamlead pls review CS-@@@@@@@@|case CS-@@@@@@@@ raised with desk@|scheme CS-@@@@@@@@ explained|ref TX@@@@@@@|receipt T given|txn T failed yesterday|"
-    "loan a/c D verified|loan a/c LND verified|batch D uploaded|batch LND uploaded|outstanding @@@@@|outstanding Rs.@@@@|outstanding @@,@@@|paid @@@@@ in cash|paid @,@@@ in cash|ptp @/@ amt @@@@@|ptp @@/@ amt Rs.@@@@|"
-    "emi @@@@@ bounced on @@/@/2026|customer disputes penalty of @@@@|call on @@/@ after 12:00|asked for settlement at @@%|callback requested 10:00 to 14:00|ring @ sec then cut|number band hai @ mahine se|gate locked since @@ weeks|"
-    "said salary credited on @@|promised half by @@ tarikh|customer ne bola @@ tarikh tak kar dunga|out of station till @@|lat/long @@.@@,@@.@@ checked|payment link pay.example/p/@@ sent|Gold Loan band karna hai|customer ne kaha Gold Loan band karna hai|"
-    "Home Top Up offered|not the borrower|house locked|will pay by UPI|shop closed|wife answered|ringing no response|try evening|met security guard|entry refused|visited twice this week|nobody home|evening call madi|avara thamma matadidru|"
-    "phone switch off aa raha hai|wrong number bol raha hai|language issue|new no nahi diya|needs Kannada agent|says lawyer will reply|alternate number of brother not given|refuses to talk|customer angry|hung up|customer not at home|"
-    "mail bhejo bola par id nahi di|KYC pending|docs nahi mile|owner abroad|met tenant|bhai ne phone uthaya|left notice|naam nahi bataya|met watchman at gate|customer bahar gaya hai|this is wrong party|asked to call after 13:00|"
-    "call cut ho gaya beech me|kaam pe hai|baad me karo|occupied by tenant|wife ka no|R ne phone uthaya|R answered|met R at gate|spoke to R|this is R|call R instead|neighbour R confirmed|R next door confirms|R ji ne bola kal aana|R asked for callback|order id D|invoice T raised|pincode @@@@@@|"
-    "ticket no D closed|amount @@,@@,@@@ due|cheque no @@@@@@ bounced|DPD @@ days|visit on @@/@@/2026|OTP @@@@@@ shared|agent id AG@@@@@|settlement letter SL@@@@@@@@ sent|loan D closed|mandate D registered|ref no T noted"
-).split("|")
-
-
-def _other_party(r: random.Random) -> str:
-    form = r.randint(0, 3)
-    if form == 0:
-        return r.choice(["Branch Manager", "Field Supervisor", "Settlement Desk", "Recovery Team", "Area Officer", "Security Guard", "Watchman", "Team Lead"])
-    if form == 1:
-        return r.choice(KIN)
-    if form == 2:
-        return f"{r.choice(['Amber', 'Lotus', 'Kaveri', _word(r).title(), _word(r).title()])} {r.choice(FIRMS[:22]).title()}"
-    return r.choice(["tenant", "owner", "wrong party", "neighbour", "customer"])
-
-
-def training_texts(n: int = TRAINING_TEXTS, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Remarks composed of made-up people, numbers and places, with their true spans."""
-    r, out = random.Random(seed), []
-    for _ in range(n):
-        text, true = "", []
-        for k in range(r.choice([1, 1, 2, 2, 3])):
-            if k:
-                text += r.choice([" / ", ". ", ", ", "; ", " - ", "\n"])
-            pick = r.random()
-            lead, body, kind = "", "", ""
-            if pick < 0.16:
-                slot, body, kind = r.choice(NAME_SLOTS), _person(r), "name"
-            elif pick < 0.28:
-                slot, body, kind = r.choice(ADDRESS_SLOTS), _address(r), "address"
-            elif pick < 0.36:
-                slot, body = r.choice(PLACE_SLOTS), _town(r) if r.random() < 0.7 else _street(r)
-            elif pick < 0.43:
-                slot, body, kind = r.choice(EMAIL_SLOTS), _email(r), "email"
-            elif pick < 0.55:
-                slot, body, kind = r.choice(PHONE_SLOTS), _phone(r), "phone"
-            elif pick < 0.66:
-                slot, kind = r.choice(ID_SLOTS), "id_number"
-                lead, body = _identity(r)
-            else:
-                slot = r.choice(NEUTRAL)
-                slot = re.sub("@", lambda _: r.choice("123456789"), slot).replace("LND", "LN" + _digits(r, 10))
-                slot = re.sub(r"\bD\b", lambda _: r.choice("123456789") + _digits(r, 9), slot)
-                slot = re.sub(r"\bT\b", lambda _: r.choice("123456789") + _digits(r, 11), slot)
-                slot = re.sub(r"\bR\b", lambda _: _other_party(r), slot)
-            head, _, tail = slot.partition("{}")
-            start = len(text) + len(head) + len(lead)
-            text += head + lead + body + tail
-            if kind:
-                true.append((start, start + len(body), kind))
-        if r.random() < 0.12:
-            text = text.upper() if len(text.upper()) == len(text) else text
-        elif r.random() < 0.12:
-            text = text.lower() if len(text.lower()) == len(text) else text
-        out.append((text, true))
-    return out
-
-
 @lru_cache(maxsize=4)
 def train(n: int = TRAINING_TEXTS, seed: int = 5) -> Detector:
-    TOWNS_SEEN.clear()
-    texts = training_texts(n, seed)
-    TOWNS_SEEN.update({t.lower() for t in TOWNS_SEEN})
-    return Detector().fit(texts)
+    return Detector().fit(training_texts(n, seed))
 
 
 # Spark ---------------------------------------------------------------------------------------
@@ -511,9 +458,9 @@ SCHEMA = "redacted string, kinds array<string>, found array<struct<start:int,end
 def redact_text(df: DataFrame, text_col: str, detector: Detector | None = None) -> DataFrame:
     """``df`` with a column ``pii``: redacted text, the kinds found, and the spans.
 
-    The detector (a few hundred KB, bounded by its training texts) is trained on the driver and
-    broadcast; Arrow batches of whole texts are searched in Python workers. Null texts give a null
-    redacted text and no kinds; blank ones come back unchanged. Placeholders are the kind in
+    The detector (a few MB, bounded by its training texts and the public vocabulary) is trained on the
+    driver and broadcast; Arrow batches of whole texts are searched in Python workers. Null texts give
+    a null redacted text and no kinds; blank ones come back unchanged. Placeholders are the kind in
     brackets, such as [PHONE]; everything else stays as it is. Other columns pass; where there is a
     column ``pii`` already, ValueError is raised.
     """
