@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import mapping
 from tidemark.plans.reference import API_SPEC
 from tidemark.sources.pit import FrameSource, ParquetSource, StoreSource
-from tidemark.sources.readers import UnsupportedInput, load_input
+from tidemark.sources.buckets import BucketTable
+from tidemark.sources.dimensions import write_output, write_report
+from tidemark.sources.readers import UnsupportedInput, load_input, split_corrupt
 from tidemark.sources.store import EventStore
 from tidemark.streaming.intake import fast_path, ingest_batch, start_intake, suppression_log
 
@@ -80,7 +82,7 @@ def event(i, received="2026-01-02T00:00:00Z", disposition="RPC", occurred="2026-
 
 
 def test_store_is_idempotent_and_order_free(spark, tmp_path):
-    one, two = EventStore(spark, f"file://{tmp_path}/one"), EventStore(spark, f"file://{tmp_path}/two")
+    one, two = EventStore(spark, f"file://{tmp_path}/one", 4), EventStore(spark, f"file://{tmp_path}/two", 4)
     early, late = canonical(spark, [event(1), event(2)]), canonical(spark, [event(1, "2026-01-03T00:00:00Z", "dispute"), event(3)])
     bad = canonical(spark, [("", *event(4)[1:])])
     assert ingest_batch(one, early.unionByName(bad), API_SPEC) == {"inserted": 2, "duplicates": 0, "dead_lettered": 1, "late_marked": 0}
@@ -94,12 +96,13 @@ def test_store_is_idempotent_and_order_free(spark, tmp_path):
 
 
 def test_late_marks_once(spark, tmp_path):
-    store = EventStore(spark, f"file://{tmp_path}/s")
+    store = EventStore(spark, f"file://{tmp_path}/s", 4)
     store.upsert_watermark(spark.sql("SELECT 'ref1' AS contact_point_ref, 'L1' AS lender_id, TIMESTAMP '2026-01-05' AS watermark_ts, TIMESTAMP '2026-01-05' AS updated_at"))
     assert ingest_batch(store, canonical(spark, [event(1, "2026-01-06T00:00:00Z")]), API_SPEC)["late_marked"] == 1
     assert ingest_batch(store, canonical(spark, [event(2, "2026-01-06T00:00:00Z")]), API_SPEC)["late_marked"] == 0
     assert store.read_events(received_before=F.lit("2026-01-01").cast("timestamp")).count() == 0
-    assert store.vacuum("events", 1) == 1 and store.read_events(types=["disposition"], lender="L1", limit=1).count() == 1
+    ingest_batch(store, canonical(spark, [event(2, "2026-01-06T00:00:00Z")]), API_SPEC)
+    assert store.vacuum("events") >= 1 and store.read_events(types=["disposition"], lender="L1", limit=1).count() == 1
 
 
 def test_streaming_intake(spark, tmp_path):
@@ -107,7 +110,7 @@ def test_streaming_intake(spark, tmp_path):
     folder.mkdir()
     raw = canonical(spark, [event(1), event(2), event(1)])
     (folder / "a.json").write_text("\n".join(raw.toJSON().collect()))
-    store = EventStore(spark, f"file://{tmp_path}/store")
+    store = EventStore(spark, f"file://{tmp_path}/store", 4)
     for _ in range(2):
         start_intake(spark, str(folder), raw.schema, store, API_SPEC, str(tmp_path / "ck")).awaitTermination(120)
     assert store.counts()["events"] == 2
@@ -120,6 +123,61 @@ def test_fast_path_and_suppression(spark):
     assert [(x.contact_point_ref, x.reason, x.evidence, x.version) for x in log] == [("r", "recycled", ["e1", "e2"], 1)]
 
 
+def test_one_bad_line_loses_no_other(spark, tmp_path):
+    lines = [f'{{"x": {i}}}' for i in range(100)]
+    (tmp_path / "a.json").write_text("\n".join([*lines[:50], "{oops", *lines[50:]]))
+    good, bad = split_corrupt(load_input(spark, str(tmp_path / "a.json")))
+    assert good.count() == 100 and [tuple(r) for r in bad.collect()] == [("{oops", "unreadable")]
+    (tmp_path / "b.json").write_text('{"x": 1,\n"y": 2}')
+    assert tuple(load_input(spark, str(tmp_path / "b.json")).select("x", "y").first()) == (1, 2)
+    (tmp_path / "c.json").write_text("")
+    assert load_input(spark, str(tmp_path / "c.json")).count() == 0
+
+
+def test_reports_keep_all_rows(spark, tmp_path):
+    write_report(f"file://{tmp_path}", "r", {"few": spark.range(3), "many": spark.range(25)}, most=10)
+    out = json.loads((tmp_path / "r.json").read_text())
+    assert len(out["few"]) == 3 and out["many"]["rows"] == 25 and spark.read.parquet(out["many"]["parquet"]).count() == 25
+    write_output(spark.range(50).selectExpr("id % 7 AS b", "id AS a"), f"file://{tmp_path}/o", ["b", "a"])
+    rows = [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/o").collect()]
+    assert sorted(rows) == sorted((i % 7, i) for i in range(50)) and spark.read.parquet(f"file://{tmp_path}/o").columns == ["b", "a"]
+
+
+def test_bucket_table_rewrites_only_what_it_touches(spark, tmp_path):
+    t = BucketTable(spark, f"file://{tmp_path}/t", ["k"], 8)
+    rows = spark.range(200).selectExpr("concat('k', id) AS k", "id AS v")
+    assert t.read() is None
+    t.append(rows)
+    before = t._manifest()["folders"]
+    one = rows.where("k = 'k7'")
+    where = t.touched(one)
+    assert len(where) == 1 and t.read(where).count() < 60
+    t.rewrite(where, t.read(where).where("k != 'k7'"), "batch-1")
+    after = t._manifest()["folders"]
+    assert sum(before[b] != after[b] for b in before) == 1 and t.read().count() == 199 and t.tags() == ["batch-1"]
+    assert t.vacuum() == 1 and t.read().count() == 199
+    t.append(one.withColumn("w", F.lit(1)))
+    assert t.read().count() == 200 and t.read().where("w = 1").count() == 1
+    assert BucketTable(spark, f"file://{tmp_path}/t", ["k"], 99).buckets == 8
+
+
+def test_nameless_events_are_not_folded(spark, tmp_path):
+    store = EventStore(spark, f"file://{tmp_path}/n", 4)
+    rows = spark.sql("SELECT * FROM VALUES (NULL, TIMESTAMP '2026-01-01', 'a'), (NULL, TIMESTAMP '2026-01-01', 'a'), ('x', TIMESTAMP '2026-01-02', 'b'), ('x', TIMESTAMP '2026-01-01', 'c') t(event_id, received_at, payload)")
+    assert store.merge_events(rows) == {"inserted": 3, "duplicates": 0}
+    assert store.merge_events(rows.where("event_id = 'x'")) == {"inserted": 0, "duplicates": 1}
+    assert sorted((r.event_id or "", r.payload) for r in store.read("events").collect()) == [("", "a"), ("", "a"), ("x", "c")]
+
+
+def test_totals_of_the_store_follow_its_batches(spark, tmp_path):
+    store = EventStore(spark, f"file://{tmp_path}/s", 4)
+    a, b = canonical(spark, [event(1), event(2)]), canonical(spark, [event(1), event(3)])
+    for _ in range(2):
+        ingest_batch(store, a, API_SPEC, totals=True)
+        ingest_batch(store, b, API_SPEC, totals=True)
+    assert store.late_state().daily().agg(F.sum("n_events")).first()[0] == 3 == store.counts()["events"]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,NA\n,b\n")
     assert [tuple(r) for r in load_input(spark, str(tmp_path / "a.csv")).collect()] == [("1", None), (None, "b")]
@@ -157,7 +215,7 @@ def test_loaders(spark, tmp_path):
     ev = spark.createDataFrame([("a", None), ("a", "L9"), ("z", None)], "account_id string, lender_id string")
     out, unmatched = fill_lender(ev, spark.createDataFrame([("a", "L1")], "account_id string, lender_id string"))
     assert sorted((r.account_id, r.lender_id or "") for r in out.collect()) == [("a", "L1"), ("a", "L9"), ("z", "")] and unmatched.first().n_unmatched == 1
-    store = EventStore(spark, f"file://{tmp_path}/plan")
+    store = EventStore(spark, f"file://{tmp_path}/plan", 4)
     totals = run_ingest_plan(store, [("one", canonical(spark, [event(1)]), API_SPEC), ("two", None, API_SPEC), ("three", canonical(spark, [event(2)]), None), ("four", None, None)], only=("one", "two", "three"))
     assert totals["one"]["inserted"] == 1 and totals["two"] == {"missing": 1} and totals["three"] == {"dead_lettered": 1} and "four" not in totals
     assert "ref1" not in store.read("dead_letter").first().raw_json

@@ -16,8 +16,8 @@ from tidemark.functions.core import canonical_id, clean_response, instant, is_fi
 from tidemark.functions.text import months_switched_off
 from tidemark.operators import labels, metrics, ranking, sharing, telephony
 from tidemark.operators.deliver_once import deliver_once
-from tidemark.operators.entity_vectors import expand, merge_vectors, sparse_vectors, type_vocabulary
-from tidemark.operators.late_events import correct_late, current_watermarks, new_dirty_marks
+from tidemark.operators.entity_vectors import sparse_cells, expand, merge_vectors, sparse_vectors, type_vocabulary
+from tidemark.operators.late_events import LateState, classify, correct_late, current_watermarks, hot_keys, new_dirty_marks
 from tidemark.operators.rolling import rolling_totals
 from tidemark.session import Scratch
 from tidemark.sources.pit import CP_KEYS
@@ -138,6 +138,67 @@ def test_late_events_empty(spark):
     assert out["daily"].count() == 0 and out["dirty"].count() == 0
 
 
+def _days(df):
+    return sorted(tuple(r) for r in df.select("contact_point_ref", "lender_id", "event_day", "n_events", "amount", "n_to_date", "amount_to_date", "n_late", "n_too_late").collect())
+
+
+def test_late_state_by_batches_equals_the_whole(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    ev = []
+    for _ in range(500):
+        o = at(r.random() * 50)
+        ev.append((r.choice([f"c{i}" for i in range(20)]), "L1", o, o + dt.timedelta(days=r.choice([0.1, 2, 6, 9])), r.choice([None, 1000])))
+    ev.sort(key=lambda e: e[3])
+    wm = spark.createDataFrame([(f"c{i}", "L1", at(r.random() * 50)) for i in range(15)], "contact_point_ref string, lender_id string, watermark_ts timestamp")
+    whole = correct_late(spark.createDataFrame(ev, EV), wm, Scratch(spark, "t"), snapshot_days=5)["daily"]
+    state = LateState(spark, f"file://{tmp_path}/late", buckets=16, snapshot_days=5)
+    state.apply(spark.createDataFrame(ev[:300], EV), wm, "b0")
+    state.apply(spark.createDataFrame(ev[300:], EV), wm, "b1")
+    assert state.apply(spark.createDataFrame(ev[300:], EV), wm, "b1") == []
+    assert _days(state.daily()) == _days(whole)
+    # One late event reads and rewrites the bucket of its key only.
+    read = []
+    real = state.table.read
+    monkeypatch.setattr(state.table, "read", lambda buckets=None: read.append(buckets) or real(buckets))
+    before = state.table._manifest()["folders"]
+    late = [("c3", "L1", at(2), at(3), 500)]
+    where = state.apply(spark.createDataFrame(late, EV), wm, "b2")
+    assert len(where) == 1 and read == [where]
+    assert sum(before[b] != f for b, f in state.table._manifest()["folders"].items()) == 1
+    monkeypatch.undo()
+    assert _days(state.daily()) == _days(correct_late(spark.createDataFrame(ev + late, EV), wm, Scratch(spark, "t"), snapshot_days=5)["daily"])
+
+
+def test_hot_keys_without_the_engines_skew_join(spark, monkeypatch):
+    """A key with a third of all rows, and a tenth of the rows without an identifier."""
+    for m in ("late_events", "deliver_once"):
+        monkeypatch.setattr(f"tidemark.operators.{m}.LEAST_HOT", 50)
+        monkeypatch.setattr(f"tidemark.operators.{m}.PARTS", 8)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 3000
+        rows = [(None if i % 10 == 1 else "hot" if i % 3 == 0 else f"x{i}", f"2026-01-{1 + (i * 7) % 28:02d}T00:00:00Z", at(i), "p" * 50, i) for i in range(n)]
+        out = deliver_once(spark.createDataFrame(rows, MSG))
+        got = defaultdict(list)
+        for x in out.collect():
+            got[x.event_id].append(x.n_copies)
+        hot = sum(x[0] == "hot" for x in rows)
+        assert got["hot"] == [hot] and len(got[None]) == sum(x[0] is None for x in rows) and set(got[None]) == {1}
+        ev = [("hot" if i % 3 == 0 else f"c{i}", "L1", at(i % 40), at(i % 40 + (i % 5)), 1000) for i in range(n)]
+        frame = spark.createDataFrame(ev, EV)
+        assert [tuple(r) for r in hot_keys(frame).collect()] == [("hot", "L1")]
+        wm = spark.createDataFrame([("hot", "L1", at(20)), ("c1", "L1", at(3))], "contact_point_ref string, lender_id string, watermark_ts timestamp")
+        kinds = classify(frame, wm, 7)
+        sizes = [r["count"] for r in kinds.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) < 0.45 * n
+        want = sum(c == "hot" and o < at(20) < r for c, _, o, r, _ in ev)
+        assert kinds.where("contact_point_ref = 'hot' and kind = 1").count() == want > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_rolling_brute_force(spark):
     r = random.Random(4)
     rows = [(r.choice("aab"), at(r.choice([0, 1, 2, 9, 40, 41, 90]) + r.random()), r.choice([None, 1.5, 2.25, 0.1])) for _ in range(200)] + [(None, at(1), 1.0), ("c", None, 1.0), ("d", at(5), None)]
@@ -169,6 +230,8 @@ def test_entity_vectors(spark):
     assert key(whole) == key(merged)
     x = whole.where("contact_point_ref = 'x'").first()
     assert (x.call_n, x.call_days, x.call_total, x.sms_sent_n, x.sms_sent_days, x.sms_sent_total, x.untyped_n) == (3, 7, 1.5, 0, None, 0.0, 1)
+    cells = {(r.entity, r.event_type): (r.n, r.total) for r in sparse_cells(a.unionByName(b)).collect()}
+    assert cells == {("x", "call"): (3, 1500), ("x", "untyped"): (1, 5), ("y", "SMS sent"): (1, 0)}
     none = spark.createDataFrame([], kind)
     assert expand(sparse_vectors(none, types), types, F.lit(at(1)).cast("timestamp")).count() == 0 and type_vocabulary(none) == []
 

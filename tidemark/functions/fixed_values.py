@@ -67,6 +67,7 @@ AVOIDANCE_CUE = (
     r"avoid.*call",
 )
 THIRD_PARTY_CUE = (
+    r"phone\s*u[dt]hay[ae]\s*(bhai|didi|papa|mummy|pati|patni|beta|beti|dost|padosi|rishtedar|boss|bhabhi|uncle|aunty)",
     r"(bhai|didi|papa|mummy|pati|patni|beta|beti|dost|padosi|rishtedar|bhabhi)\s*ne\s*(phone\s*)?u[dt]hay[ae]",
     r"(bhai|didi|papa|mummy|pati|patni)\s*ne\s*baat\s*k[ai]",
     r"avara\s*(thamma|hendathi|appa|amma|anna|tangi|ganda|henthi)",
@@ -78,7 +79,34 @@ THIRD_PARTY_CUE = (
     r"bahar\s*gaye(\s*hain)?",
     r"borrower\s*ghar\s*par\s*nahi",
     r"ghar\s*wale\s*ne\s*(uthaya|uthay|baat)",
+    r"family\s*member.*(answered|picked| baat)",
+    r"saheb\s*nahi\s*hain.*(beta|bhai|patni)",
 )
+WHO_IS_THIS_CUE = (
+    r"kaun\s*bol\s*rah[ae]\s*(hai|he)",
+    r"kon\s*bol\s*r[ae]h[ae]",
+    r"kaun\s*hai",
+    r"aap\s*kaun",
+    r"who\s*is\s*this",
+    r"who\s*is\s*speaking",
+    r"kis\s*se\s*baat.*chahte",
+)
+NAME_MISMATCH_CUE = (
+    r"naam\s*(galat|alag|sahi\s*nahi)",
+    r"wrong\s*name",
+    r"name\s*(mismatch|wrong|different)",
+    r"is\s*naam\s*ka\s*koi\s*nahi",
+    r"yeh\s*naam.*nahi\s*(hai|suna)",
+)
+LANGUAGE_MISMATCH_CUE = (
+    r"hindi\s*nahi\s*(aati|samajh)",
+    r"bhasha\s*(nahi\s*)?samajh",
+    r"language\s*(problem|mismatch|issue|barrier)",
+    r"english\s*me\s*(baat|bolo|boliye)",
+    r"samajh\s*nahi\s*aa\s*rah[ai]",
+)
+#: Cues of what a voice bot heard.
+TRANSCRIPT_CUES = {"who_is_this": WHO_IS_THIS_CUE, "name_mismatch": NAME_MISMATCH_CUE, "language_mismatch": LANGUAGE_MISMATCH_CUE}
 CUES = {"switched_off": SWITCHED_OFF_CUE, "wrong_number": WRONG_NUMBER_CUE, "avoidance": AVOIDANCE_CUE, "third_party": THIRD_PARTY_CUE}
 
 # Fixed values.

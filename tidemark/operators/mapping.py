@@ -251,7 +251,7 @@ def dead_letters(mapped: DataFrame, source: str) -> DataFrame:
     """row_hash, raw_json, reason, source of every rejected row, one per hash."""
     bad = mapped.where(F.col("reason").isNotNull())
     digest = F.substring(F.sha2(F.concat(F.lit(f"{source}|"), F.col("raw_json")), 256), 1, 32)
-    return bad.groupBy(digest.alias("row_hash")).agg(F.first("raw_json").alias("raw_json"), F.min("reason").alias("reason")).withColumn("source", F.lit(source))
+    return bad.groupBy(digest.alias("row_hash")).agg(F.min("raw_json").alias("raw_json"), F.min("reason").alias("reason")).withColumn("source", F.lit(source))
 
 
 def schema_problems(events: DataFrame) -> DataFrame:

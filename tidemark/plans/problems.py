@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import instant, is_filler, micros, plausible
 from tidemark.operators.deliver_once import deliver_once
-from tidemark.operators.entity_vectors import expand, sparse_vectors, type_vocabulary
-from tidemark.operators.late_events import correct_late, current_watermarks, new_dirty_marks
+from tidemark.operators.entity_vectors import column_stems, expand, sparse_cells, sparse_vectors, type_vocabulary
+from tidemark.operators.late_events import correct_late, current_watermarks, hot_keys, new_dirty_marks
 from tidemark.operators.rolling import rolling_totals
 from tidemark.session import Scratch
 from tidemark.sources.tables import contact_events, once, table
@@ -40,7 +40,8 @@ def payload_milli() -> Column:
 def _late(spark: SparkSession, d: str, amounts: bool) -> dict[str, DataFrame]:
     amount = (payload_milli() if amounts else F.lit(0).cast("bigint")).alias("amount")
     ev = once(spark, d, "contact_point_ref", "lender_id", "occurred_at", amount)
-    return correct_late(ev, current_watermarks(table(spark, d, "watermarks")), Scratch(spark, "late"))
+    hot = hot_keys(contact_events(spark, d, "contact_point_ref", "lender_id"))
+    return correct_late(ev, current_watermarks(table(spark, d, "watermarks")), Scratch(spark, "late"), hot=hot)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +100,13 @@ def p6_features(spark: SparkSession, d: str, as_of=None) -> DataFrame:
     return expand(sparse_vectors(ev, types), types, when)
 
 
+def p6_cells(spark: SparkSession, d: str, as_of=None) -> DataFrame:
+    """The same in the long form, which has no bound on the number of types."""
+    when = F.lit(as_of if as_of is not None else contact_events(spark, d, "ingested_at").agg(F.max("ingested_at")).first()[0]).cast("timestamp")
+    cells = sparse_cells(entity_events(spark, d).where(F.col("received_at") <= when))
+    return cells.select(F.col("entity").alias("contact_point_ref"), "event_type", "n", F.datediff(F.to_date(when), F.to_date("last")).alias("days"), (F.col("total") / F.lit(1000.0)).alias("total"))
+
+
 # p7 ------------------------------------------------------------------------------------------
 
 
@@ -115,6 +123,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_once": p2_once,
     "p6_features": p6_features,
+    "p6_cells": p6_cells,
     "p7_rolling": p7_rolling,
 }
 
@@ -150,6 +159,37 @@ KINDS = f"""kinds AS (
   WHERE e.contact_point_ref IS NOT NULL AND e.lender_id IS NOT NULL AND e.occurred_at IS NOT NULL
 )"""
 
+CELLS = f"""WITH {ONCE}, cut AS (SELECT max(ingested_at) AS as_of FROM contact_events),
+ev AS (SELECT contact_point_ref, coalesce(nullif(trim(event_type), ''), 'untyped') AS kind, occurred_at, as_of,
+    CAST(round(({NUMBER}) * 1000) AS BIGINT) AS v
+  FROM once, cut WHERE received_at <= as_of AND NOT {FILLER.format('contact_point_ref')}),
+cells AS (SELECT contact_point_ref, kind, count(*) AS n, CAST(coalesce(sum(v), 0) AS BIGINT) AS v,
+    CAST(datediff('day', CAST(max(occurred_at) AT TIME ZONE 'UTC' AS DATE), CAST(max(as_of) AT TIME ZONE 'UTC' AS DATE)) AS INTEGER) AS days
+  FROM ev GROUP BY 1, 2) """
+
+
+def features_sql(types: list[str]) -> str:
+    """The wide table by one conditional aggregate for each column of a list of types."""
+    cols = []
+    for t, stem in zip(types, column_stems(types), strict=True):
+        own = "FILTER (WHERE kind = '" + t.replace("'", "''") + "')"
+        cols += [f"coalesce(max(n) {own}, 0) AS {stem}_n", f"max(days) {own} AS {stem}_days", f"coalesce(max(v) {own}, 0) / 1000.0 AS {stem}_total"]
+    return CELLS + "SELECT contact_point_ref, " + ", ".join(cols) + " FROM cells GROUP BY 1"
+
+
+def sql_for(folder: str) -> dict[str, str]:
+    """``SQL`` and the statement of p6_features, whose columns are the event types of the table in ``folder``."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    try:
+        column = pq.read_table(f"{folder}/contact_events.parquet", columns=["event_type"])["event_type"]
+    except OSError:
+        return dict(SQL)
+    types = sorted({(t or "").strip(" ") or "untyped" for t in pc.unique(column).to_pylist()})
+    return SQL | {"p6_features": features_sql(types)}
+
+
 SQL = {
     "p1_found": f"WITH {ONCE}, {MARKS}, {KINDS} SELECT DISTINCT contact_point_ref, lender_id, event_day FROM kinds WHERE kind = 1",
     "p1_daily": f"""WITH {ONCE}, {MARKS}, {KINDS},
@@ -170,15 +210,7 @@ GROUP BY 1, 2""",
 SELECT r.event_id, event_type, account_id, contact_point_ref, epoch_us(received_at) AS received_us, payload, coalesce(n_copies, 1) AS n_copies
 FROM raw r LEFT JOIN c USING (event_id)
 QUALIFY r.event_id IS NULL OR row_number() OVER (PARTITION BY r.event_id ORDER BY received_at NULLS LAST, ingested_at) = 1""",
-    "p6_features": f"""WITH {ONCE}, cut AS (SELECT max(ingested_at) AS as_of FROM contact_events),
-ev AS (SELECT contact_point_ref, coalesce(nullif(trim(event_type), ''), 'untyped') AS kind, occurred_at, as_of,
-    CAST(round(({NUMBER}) * 1000) AS BIGINT) AS v
-  FROM once, cut WHERE received_at <= as_of AND NOT {FILLER.format('contact_point_ref')}),
-cells AS (SELECT contact_point_ref, kind, count(*) AS n, coalesce(sum(v), 0) AS v,
-    datediff('day', CAST(max(occurred_at) AT TIME ZONE 'UTC' AS DATE), CAST(max(as_of) AT TIME ZONE 'UTC' AS DATE)) AS days
-  FROM ev GROUP BY 1, 2)
-SELECT * FROM (PIVOT (FROM cells UNION ALL SELECT DISTINCT NULL, coalesce(nullif(trim(event_type), ''), 'untyped'), 0, 0, NULL FROM contact_events) ON kind USING coalesce(CAST(any_value(n) AS BIGINT), 0) AS n, CAST(any_value(days) AS INTEGER) AS days,
-  coalesce(CAST(any_value(v) AS BIGINT), 0) / 1000.0 AS total GROUP BY contact_point_ref) WHERE contact_point_ref IS NOT NULL""",
+    "p6_cells": CELLS + "SELECT contact_point_ref, kind AS event_type, n, days, v / 1000.0 AS total FROM cells",
     "p7_rolling": f"""WITH {ONCE},
 dials AS (SELECT contact_point_ref, CAST(occurred_at AT TIME ZONE 'UTC' AS DATE) AS d, CAST(round(({NUMBER}) * 1000) AS BIGINT) AS v
   FROM once WHERE event_type = 'dial_attempt' AND occurred_at IS NOT NULL AND NOT {FILLER.format('contact_point_ref')}),

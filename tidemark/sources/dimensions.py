@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import present, q
@@ -44,18 +44,50 @@ def fill_lender(events: DataFrame, accounts: DataFrame) -> tuple[DataFrame, Data
     return out, out.agg(F.count_if(F.col("lender_id").isNull()).alias("n_unmatched"))
 
 
-def write_report(folder: str, name: str, tables: Mapping[str, DataFrame]) -> None:
-    """Markdown and JSON of small result tables; the frames must be aggregates."""
-    out: dict[str, list[dict]] = {}
+def write_report(folder: str, name: str, tables: Mapping[str, DataFrame], most: int = 10_000) -> None:
+    """Markdown and JSON of small result tables, and every table as Parquet beside them.
+
+    Files are written through the cluster's file system, so ``folder`` may be any of its addresses. A
+    table of more than ``most`` rows is no report: its text says so and names the Parquet folder, which
+    always holds all rows.
+    """
+    out: dict[str, Any] = {}
     text = [f"# {name}", ""]
+    spark = None
     for title, df in tables.items():
-        rows = [r.asDict() for r in df.limit(10_000).collect()]
+        spark = df.sparkSession
+        stem = re.sub(r"[^0-9A-Za-z_-]+", "_", title)
+        at = f"{folder.rstrip('/')}/{name}.tables/{stem}"
+        df.write.mode("overwrite").parquet(at)
+        whole = spark.read.schema(df.schema).parquet(at)
+        text += [f"## {title}", ""]
+        if (n := whole.count()) > most:
+            out[title] = {"rows": n, "parquet": at}
+            text += [f"{n} rows, in {at}", ""]
+            continue
+        rows = [r.asDict() for r in whole.collect()]
         out[title] = rows
-        text += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+        text += ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
         text += ["| " + " | ".join(str(r[c]) for c in df.columns) + " |" for r in rows] + [""]
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, f"{name}.md").write_text("\n".join(text))
-    Path(folder, f"{name}.json").write_text(json.dumps(out, default=str, indent=1))
+    if spark is not None:
+        write_text(spark, f"{folder.rstrip('/')}/{name}.md", "\n".join(text))
+        write_text(spark, f"{folder.rstrip('/')}/{name}.json", json.dumps(out, default=str, indent=1))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def write_output(df: DataFrame, path: str, order: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+    """The Parquet sink: rows sorted by ``order`` over all files and inside each, in the frame's column order."""
+    out = df.repartitionByRange(*[q(c) for c in (*partition_by, *order)]).sortWithinPartitions(*[q(c) for c in (*partition_by, *order)])
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def run_ingest_plan(store: EventStore, steps: Sequence[tuple[str, DataFrame | None, dict[str, Any] | None]], only: Sequence[str] = ()) -> dict[str, dict[str, int]]:

@@ -24,12 +24,40 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.when(~q(c).isin(*MISSING_TEXTS), q(c)).alias(c) for c in df.columns])
 
 
+#: The column that keeps what could not be parsed.
+CORRUPT = "_corrupt_record"
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON object a line. A line that does not parse stays as a row whose text is in ``CORRUPT``."""
+    schema = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(path).schema
+    if CORRUPT not in schema.fieldNames():
+        return spark.read.schema(schema).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    row = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(row.alias("r")).select("r.*")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Line JSON where the lines parse, else one document."""
-    lines = spark.read.json(path)
-    if "_corrupt_record" in lines.columns:
-        return spark.read.option("multiLine", True).json(path)
-    return lines
+    """Line JSON, or one document; what the first byte that is not blank and its line say decides.
+
+    An array, or an object that goes on over its line, is one document, which is read whole; anything
+    else is read by lines, split over tasks, whatever single lines look like.
+    """
+    head = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").alias("v")).head(2)
+    if not head:
+        return read_lines(spark, path)
+    first = head[0].v
+    document = first.startswith("[") or (first.startswith("{") and len(head) > 1 and not first.endswith("}") and not head[1].v.startswith("{"))
+    return spark.read.option("multiLine", True).json(path) if document else read_lines(spark, path)
+
+
+def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that parsed, without ``CORRUPT``, and the texts of those that did not (raw_json, reason)."""
+    if CORRUPT not in df.columns:
+        return df, df.select(F.lit("").alias("raw_json"), F.lit("unreadable").alias("reason")).limit(0)
+    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good, df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("raw_json"), F.lit("unreadable").alias("reason"))
 
 
 def load_input(spark: SparkSession, source: Any) -> DataFrame:
@@ -44,7 +72,7 @@ def load_input(spark: SparkSession, source: Any) -> DataFrame:
     if suffix == ".parquet":
         return spark.read.parquet(str(source))
     if suffix in (".ndjson", ".jsonl", ".ndj"):
-        return spark.read.json(str(source))
+        return read_lines(spark, str(source))
     if suffix == ".json":
         return read_json(spark, str(source))
     raise UnsupportedInput(f"cannot read {source!r}")

@@ -8,16 +8,27 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.late_events import current_watermarks
 from tidemark.operators.mapping import apply_mapping, dead_letters
 from tidemark.sources.store import EventStore
 
 
-def ingest_batch(store: EventStore, raw: DataFrame, spec: dict[str, Any], pepper: str | None = None) -> dict[str, int]:
-    """One batch: map, split, dead-letter, merge, mark late. A replay changes nothing."""
+def ingest_batch(store: EventStore, raw: DataFrame, spec: dict[str, Any], pepper: str | None = None, totals: bool = False, tag: str | None = None) -> dict[str, int]:
+    """One batch: map, split, dead-letter, merge, mark late. A replay changes nothing.
+
+    With ``totals`` the daily totals of the store are corrected by the rows that are new in it, from the
+    checkpoints of their contact points on.
+    """
     mapped = apply_mapping(raw, spec, pepper, keep_raw=True).cache()
     try:
         dead = store.insert_or_ignore("dead_letter", dead_letters(mapped, spec["source"]), ["row_hash"])
         good = mapped.where(F.col("reason").isNull()).drop("reason", "raw_json")
+        if totals:
+            # Before the merge, by what it will add: if the batch fails in between and is repeated, its
+            # tag keeps it from being counted twice.
+            new = store.unseen(good).select("contact_point_ref", "lender_id", "occurred_at", "received_at", F.lit(0).cast("bigint").alias("amount"))
+            log = store.read("watermarks")
+            store.late_state().apply(new, None if log is None else current_watermarks(log), tag)
         counts = store.merge_events(good)
         late = store.mark_late(good).count()
         return counts | {"dead_lettered": dead, "late_marked": late}
@@ -25,10 +36,10 @@ def ingest_batch(store: EventStore, raw: DataFrame, spec: dict[str, Any], pepper
         mapped.unpersist()
 
 
-def start_intake(spark: SparkSession, folder: str, schema, store: EventStore, spec: dict[str, Any], checkpoint: str, fmt: str = "json"):
+def start_intake(spark: SparkSession, folder: str, schema, store: EventStore, spec: dict[str, Any], checkpoint: str, fmt: str = "json", totals: bool = False):
     """A file stream into the store; each micro-batch goes through ``ingest_batch``."""
     stream = spark.readStream.format(fmt).schema(schema).load(folder)
-    return stream.writeStream.foreachBatch(lambda df, _: ingest_batch(store, df, spec)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, n: ingest_batch(store, df, spec, totals=totals, tag=f"{checkpoint}#{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, delay: str = "7 days", width: str = "1 day") -> DataFrame:
