@@ -19,6 +19,7 @@ from tidemark.operators.deliver_once import deliver_once
 from tidemark.operators.entity_vectors import sparse_cells, expand, merge_vectors, sparse_vectors, type_vocabulary
 from tidemark.operators.late_events import LateState, classify, correct_late, current_watermarks, hot_keys, new_dirty_marks
 from tidemark.operators.rolling import rolling_totals
+from tidemark.operators.skew import spread_join
 from tidemark.session import Scratch
 from tidemark.sources.pit import CP_KEYS
 
@@ -199,6 +200,28 @@ def test_hot_keys_without_the_engines_skew_join(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_spread_join_with_one_hot_value(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.operators.skew.LEAST_HOT", 50)
+    monkeypatch.setattr("tidemark.operators.skew.PARTS", 8)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 40}", i) for i in range(3000)]
+        table = [("hot", "H"), ("k1", "one"), ("k2", None), ("unused", "u")]
+        df = spark.createDataFrame(rows, "k string, v int")
+        out = spread_join(df, spark.createDataFrame(table, "k string, w string"), "k")
+        known = dict(table)
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(((k, v, known[k]) for k, v in rows if k in known), key=repr)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 0.6 * sum(sizes)
+        assert spread_join(df.limit(0), spark.createDataFrame(table, "k string, w string"), "k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_rolling_brute_force(spark):
     r = random.Random(4)
     rows = [(r.choice("aab"), at(r.choice([0, 1, 2, 9, 40, 41, 90]) + r.random()), r.choice([None, 1.5, 2.25, 0.1])) for _ in range(200)] + [(None, at(1), 1.0), ("c", None, 1.0), ("d", at(5), None)]
