@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.deliver_once import LEAST_HOT, PARTS
+from tidemark.operators.skew import salted
 from tidemark.session import Scratch
 
 KEYS = ("contact_point_ref", "lender_id")
@@ -42,10 +43,11 @@ def classify(events: DataFrame, marks: DataFrame, lateness_days: int, hot: DataF
     within = F.col("received_at") <= F.col("occurred_at") + F.expr(f"INTERVAL '{lateness_days}' DAY")
     hot = hot_keys(events) if hot is None else hot
     near = hot.join(marks, list(KEYS), "left").select(*KEYS, F.lit(True).alias("tm_hot"), F.col("watermark_ts").alias("tm_hot_ts"))
-    salted = events.join(F.broadcast(near), list(KEYS), "left").withColumn("tm_salt", F.when(F.col("tm_hot"), 1 + F.floor(F.rand(5) * 2**20)).otherwise(0).cast("int"))
-    joined = salted.join(marks.withColumn("tm_salt", F.lit(0)), [*KEYS, "tm_salt"], "left")
-    marked = joined.withColumn("watermark_ts", F.coalesce("tm_hot_ts", "watermark_ts"))
-    return marked.withColumn("kind", F.when(late & within, 1).when(late, 2).otherwise(0)).drop("tm_hot", "tm_hot_ts", "tm_salt")
+    ref, lender = KEYS
+    spread = events.join(F.broadcast(near), list(KEYS), "left").withColumn("tm_ref", salted(F.col(ref), F.col("tm_hot").isNotNull()))
+    joined = spread.join(marks.withColumnRenamed(ref, "tm_ref"), ["tm_ref", lender], "left")
+    marked = joined.withColumn("watermark_ts", F.when(F.col("tm_hot").isNotNull(), F.col("tm_hot_ts")).otherwise(F.col("watermark_ts"))).select(*events.columns, "watermark_ts")
+    return marked.withColumn("kind", F.when(late & within, 1).when(late, 2).otherwise(0))
 
 
 def usable_events(events: DataFrame) -> DataFrame:

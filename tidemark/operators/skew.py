@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import fresh, q
@@ -18,6 +18,12 @@ def hot_values(rows: DataFrame, key: str, weight: str | None = None) -> DataFram
     return counts.where(F.col("tm_rows") > LEAST_HOT).crossJoin(F.broadcast(total)).where(F.col("tm_rows") > F.col("tm_share")).select(q(key))
 
 
+def salted(key: Column, hot: Column) -> Column:
+    """``key`` as text, and where ``hot`` with a random number after it, which sends such rows to all tasks
+    of an exchange alike."""
+    return F.when(hot, F.concat_ws("\u0000", key.cast("string"), F.floor(F.rand(11) * 2**30).cast("string"))).otherwise(key.cast("string"))
+
+
 def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """The inner join of ``rows`` with ``table``, which has one row for each value of ``key``.
 
@@ -31,7 +37,9 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | No
     near = f"{found}_near"
     hot = hot_values(rows, key) if hot is None else hot
     top = table.join(F.broadcast(hot), key, "left_semi").select(q(key), F.struct(F.lit(True).alias("tm_hit"), *[q(c) for c in values]).alias(near))
-    mixed = rows.join(F.broadcast(top), key, "left").withColumn(salt, F.when(q(near).isNotNull(), 1 + F.floor(F.rand(11) * 2**20)).otherwise(0).cast("int"))
-    cold = table.select(q(key), F.lit(0).alias(salt), F.struct(F.lit(True).alias("tm_hit"), *[q(c) for c in values]).alias(found))
-    joined = mixed.join(cold, [key, salt], "left").withColumn(found, F.coalesce(q(near), q(found))).where(q(found).isNotNull())
+    # The salt is part of the one join key: a key column of its own, constant on one side, would be
+    # taken out of the join by the optimiser. Hot rows have their match already, whatever theirs meets.
+    mixed = rows.join(F.broadcast(top), key, "left").withColumn(salt, salted(q(key), q(near).isNotNull()))
+    cold = table.select(q(key).cast("string").alias(salt), F.struct(F.lit(True).alias("tm_hit"), *[q(c) for c in values]).alias(found))
+    joined = mixed.join(cold, salt, "left").withColumn(found, F.coalesce(q(near), q(found))).where(q(found).isNotNull())
     return joined.select(*[q(c) for c in rows.columns], *[q(found)[c].alias(c) for c in values])
