@@ -36,17 +36,17 @@ def test_pointer_cycles_are_refused(spark, monkeypatch):
 def brute_runs(rows):
     out, by = [], defaultdict(list)
     for r in rows:
-        if None not in (r[0], r[1], r[2], r[3]):
+        if None not in (r[0], r[1], r[3]):
             by[r[:2]].append(r)
     for k, ev in by.items():
-        ev.sort(key=lambda e: (e[3], e[2]))
+        ev.sort(key=lambda e: (e[3], e[2] or ""))
         run = []
         for e in [*ev, None]:
-            if run and (e is None or e[4] is None or e[4] != run[-1][4] or (e[3] - run[-1][3]).total_seconds() > 1800):
+            if run and (e is None or e[4] is None or e[2] is None or e[4] != run[-1][4] or (e[3] - run[-1][3]).total_seconds() > 1800):
                 if len(run) > 1:
                     out.append((*k, run[0][4], run[0][2], len(run), (run[-1][3] - run[0][3]).total_seconds()))
                 run = []
-            if e is not None and e[4] is not None:
+            if e is not None and e[4] is not None and e[2] is not None:
                 run.append(e)
     return sorted(out)
 
@@ -57,7 +57,7 @@ def test_runs_brute_force(spark, seed):
     t, rows = DAY0, []
     for i in range(900):
         t += dt.timedelta(seconds=r.choice([0, 60, 600, 1799, 1800, 1801, 7200]))
-        rows.append((r.choice("AAAB"), r.choice("ppq"), f"e{r.randint(0, 10**6):07d}-{i}", t, r.choice(["busy", "busy", "busy", "none", None])))
+        rows.append((r.choice("AAAB"), r.choice("ppq"), f"e{r.randint(0, 10**6):07d}-{i}" if i % 50 else None, t, r.choice(["busy", "busy", "busy", "none", None])))
     rows += [(None, "p", "x", t, "busy"), ("A", "p", "y", None, "busy"), ("A", None, "z", t, "busy")]
     got = collapse_runs(spark.createDataFrame(rows, EV), ["a", "c"], Scratch(spark, "t")).select("a", "c", "value", "first_id", "n", "seconds").collect()
     assert sorted(map(tuple, got)) == brute_runs(rows)
@@ -159,6 +159,28 @@ def test_truncation_fixture(spark):
     assert flag_truncated(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_endings_of_any_length(spark):
+    whole = ["the borrower will pay on monday.", "the branch was closed today.", "he said he will come to the branch office tomorrow."] * 20
+    long_word = "internationalisationwithoutend"
+    rows = [(i, "a", t) for i, t in enumerate(whole)]
+    rows += [(100, "a", "visit noted (customer said he will come to the branch office tomorrow")]
+    rows += [(101, "a", "the borrower will p\ufffd" + " " * 40), (102, "a", "the branch was closed today (as said). he will pay."), (103, "b", "x" * 3000)]
+    rows += [(200 + i, "a", f"we speak of {long_word} again.") for i in range(20)] + [(300, "a", f"we speak of {long_word[:27]}")]
+    got = {x.doc_id: x.reason for x in flag_truncated(spark.createDataFrame(rows, "doc_id long, source string, text string"), Scratch(spark, "t")).collect()}
+    assert got[100] == "unclosed bracket" and got[101] == "broken character" and got[102] is None
+    assert got[300] in ("cut inside a sentence", "cut inside a word") and not any(got[i] for i in range(60))
+
+
+def test_lengths_without_texts_count_as_neighbours(spark):
+    """A limit of a sparse source: nothing but the cut texts lies near it."""
+    rows = [("s", 400)] * 8 + [("s", n) for n in range(30, 330, 3)] + [("s", 900)]
+    got = [tuple(r) for r in length_hazards(spark.createDataFrame(rows, "source string, n_chars int")).where("significant").select("source", "n_chars", "n").collect()]
+    assert got == [("s", 400, 8)]
+    one = length_hazards(spark.createDataFrame([("s", 5), ("s", 7), ("s", 7), ("s", 200)], "source string, n_chars int"), band=3).where("n_chars = 7").first()
+    # At risk beside length 7, within 3: 4, 5, 6, 8, 9, 10 with 4, 4, 3, 1, 1, 1 texts; one of them has its length there.
+    assert one.neighbour_hazard == pytest.approx((1 + 0.5) / (14 + 1.0))
+
+
 def test_words_of_forms():
     assert leakage.words_of("“Naïve” bro-\nthers paid 42,801­ now…") == ["naïve", "brothers", "paid", "42801", "now"]
     assert leakage.words_of(None) == [] and leakage.words_of(" … ") == []
@@ -228,6 +250,59 @@ def test_changed_words_at_the_ends_of_a_leak():
         assert leakage.leaks(host(item[10 : 10 + n]), item, s) is None
 
 
+def test_a_leak_beside_a_better_alignment():
+    """24 words of which four are changed, after 17 words of the same item to the letter."""
+    item, s = np.arange(1, 121), leakage.Settings()
+    piece = item[60:84].copy()
+    piece[[5, 10, 15, 20]] = [900, 901, 902, 903]
+    doc = np.concatenate([np.arange(500, 520), item[20:37], np.arange(520, 530), piece, np.arange(530, 550)])
+    same, a, b = leakage.leaks(doc, item, s)
+    assert (a, b) == (60, 84) and same == 20
+    assert leakage.leaks(np.concatenate([item[20:37], np.arange(520, 530), item[60:75]]), item, s) is None
+
+
+def test_the_answer_decides_a_paraphrase():
+    item, answer, s = np.arange(1, 61), np.arange(200, 206), leakage.Settings()
+    piece = item[10:50].copy()
+    piece[3::5] = 900 + np.arange(8)
+    told, untold = np.concatenate([piece, answer]), np.concatenate([piece, np.arange(300, 306)])
+    assert leakage.leaks(told, item, s, answer) and leakage.leaks(untold, item, s, answer) is None
+
+
+def test_batched_alignment_equals_a_plain_table():
+    r = random.Random(8)
+    docs, items = [], []
+    for _ in range(60):
+        docs.append(np.array([r.randint(0, 6) for _ in range(r.randint(1, 40))]))
+        items.append(np.array([r.randint(0, 6) for _ in range(r.randint(1, 30))]))
+    for d, i, got in zip(docs, items, leakage.best_ends(docs, items), strict=True):
+        m = np.zeros((len(d) + 1, len(i) + 1), int)
+        for x in range(len(d)):
+            for y in range(len(i)):
+                m[x + 1, y + 1] = max(0, m[x, y] + (1 if d[x] == i[y] else -1), m[x, y + 1] - 1, m[x + 1, y] - 1)
+        assert got[0] == m.max() and m[got[1], got[2]] == m.max()
+
+
+def test_lists_of_the_index_lose_no_candidate():
+    """Against the comparison with all windows: the words of a made corpus with 300 spliced leaks."""
+    r = np.random.default_rng(4)
+    s = leakage.Settings(buckets=512)
+    table = r.standard_normal((512, 64)).astype(np.float32)
+    items = [(i, r.integers(1, 10**9, r.integers(60, 140))) for i in range(120)]
+    docs, want = [], set()
+    for d in range(300):
+        i = int(r.integers(0, 120))
+        at = int(r.integers(0, len(items[i][1]) - 26))
+        piece = items[i][1][at : at + 26].copy()
+        piece[[7, 17]] = r.integers(1, 10**9, 2)
+        docs.append(np.concatenate([r.integers(1, 10**9, 60), piece, r.integers(1, 10**9, 60)]))
+        want.add((d, i))
+    index = leakage.Index(table, items, s)
+    whole = leakage.Index(table, items, leakage.Settings(buckets=512, probes=10**6, floor=-9.0))
+    ask = lambda x: {(t, i) for t, i, *_ in x.search(docs)} & want
+    assert len(ask(whole)) >= 0.97 * len(want) and len(ask(index)) >= 0.99 * len(ask(whole))
+
+
 def test_word_counter_is_stable():
     assert Counter(leakage.hashes_of("a b a").tolist()) == Counter(leakage.hashes_of("B A\na").tolist())
 

@@ -30,7 +30,9 @@ class Settings:
     ends, where a changed word cannot be told from the passage's end. ``agree``: least share of these
     words that are the same. ``edits``: words changed, dropped or added that an alignment short of
     ``least`` may be widened over at its ends, and most words not the same in what it is widened to:
-    one in ten of ``least``.
+    one in ten of ``least``. ``near``: least share of the words that are the same in a passage that is
+    a leak only because the item's answer stands in it, too. ``lists``, ``probes``, ``floor``: inverted
+    lists of the index, how many of them a passage asks, and how near it must be to their centres.
     """
 
     buckets: int = 8192
@@ -45,6 +47,10 @@ class Settings:
     slack: int = 0
     agree: float = 0.82
     edits: int = 2
+    near: float = 0.75
+    lists: int = 96
+    probes: int = 8
+    floor: float = 0.1
     query_block: int = 20_000
     seed: int = 7
 
@@ -146,31 +152,49 @@ def places(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def _best_end(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Score and end, in ``a`` and ``b``, of the best local alignment (match 1, all else -1)."""
-    ramp = np.arange(len(b) + 1)
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    best = (0, 0, 0)
-    for i, w in enumerate(a.tolist(), 1):
+def best_ends(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """Score and end, in document and item, of the best local alignment (match 1, all else -1) of each
+    pair. All pairs go through the rows of their tables together."""
+    n, most = max(len(d) for d in docs), max(len(i) for i in items)
+    a = np.full((n, len(docs)), -1, dtype=np.int64)
+    b = np.full((len(docs), most), -2, dtype=np.int64)
+    for k, (d, i) in enumerate(zip(docs, items, strict=True)):
+        a[: len(d), k] = d
+        b[k, : len(i)] = i
+    ramp = np.arange(most + 1, dtype=np.int32)
+    row = np.zeros((len(docs), most + 1), dtype=np.int32)
+    best = np.zeros((len(docs), 3), dtype=np.int64)
+    every = np.arange(len(docs))
+    for i in range(n):
         new = np.zeros_like(row)
-        np.maximum(row[:-1] + np.where(b == w, 1, -1), row[1:] - 1, out=new[1:])
+        np.maximum(row[:, :-1] + np.where(b == a[i][:, None], 1, -1).astype(np.int32), row[:, 1:] - 1, out=new[:, 1:])
         np.maximum(new, 0, out=new)
-        new = np.maximum.accumulate(new + ramp) - ramp
-        j = int(new.argmax())
-        if new[j] > best[0]:
-            best = (int(new[j]), i, j)
+        new = np.maximum.accumulate(new + ramp, axis=1) - ramp
+        j = new.argmax(axis=1)
+        top = new[every, j]
+        up = top > best[:, 0]
+        best[up, 0], best[up, 1], best[up, 2] = top[up], i + 1, j[up]
         row = new
     return best
 
 
+def aligned_all(docs: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+    """Matches, start and end in the item, and in the document, of the best local alignment of each pair."""
+    out = [(0, 0, 0, 0, 0)] * len(docs)
+    ends = best_ends(docs, items)
+    live = [k for k in range(len(docs)) if ends[k, 0]]
+    if not live:
+        return out
+    back = best_ends([docs[k][: ends[k, 1]][::-1] for k in live], [items[k][: ends[k, 2]][::-1] for k in live])
+    for k, (_, di, dj) in zip(live, back.tolist(), strict=True):
+        i, j = int(ends[k, 1]), int(ends[k, 2])
+        part, seg = docs[k][i - di : i], items[k][j - dj : j]
+        out[k] = common_words(part, places(seg), len(seg)), j - dj, j, i - di, i
+    return out
+
+
 def aligned(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Matches, start and end in the item, and in the document, of the best local alignment."""
-    score, i, j = _best_end(doc, item)
-    if not score:
-        return 0, 0, 0, 0, 0
-    _, di, dj = _best_end(doc[:i][::-1], item[:j][::-1])
-    part, seg = doc[i - di : i], item[j - dj : j]
-    return common_words(part, places(seg), len(seg)), j - dj, j, i - di, i
+    return aligned_all([doc], [item])[0]
 
 
 def past_edits(doc: np.ndarray, item: np.ndarray, edits: int) -> list[tuple[int, int]]:
@@ -191,11 +215,15 @@ def past_edits(doc: np.ndarray, item: np.ndarray, edits: int) -> list[tuple[int,
     return out
 
 
-def leaks(doc: np.ndarray, item: np.ndarray, s: Settings) -> tuple[int, int, int] | None:
-    matches, a, b, c, d = aligned(doc, item)
+def judge(doc: np.ndarray, item: np.ndarray, found: tuple[int, int, int, int, int], answer: np.ndarray, s: Settings) -> tuple[int, int, int] | None:
+    """Matches, start and end in the item, if the alignment is a leak."""
+    matches, a, b, c, d = found
     least = s.least - s.slack
     if b - a >= least:
-        return (matches, a, b) if matches >= s.agree * (b - a) else None
+        if matches >= s.agree * (b - a):
+            return matches, a, b
+        # A paraphrase is told by the item's answer.
+        return (matches, a, b) if matches >= s.near * (b - a) and has_answer(doc, answer, s) else None
     if b - a < least // 2:
         return None
     before, after = past_edits(doc[:c][::-1], item[:a][::-1], s.edits), past_edits(doc[d:], item[b:], s.edits)
@@ -208,6 +236,54 @@ def leaks(doc: np.ndarray, item: np.ndarray, s: Settings) -> tuple[int, int, int
     return None
 
 
+def has_answer(doc: np.ndarray, answer: np.ndarray, s: Settings) -> bool:
+    return len(answer) > 0 and common_words(doc, places(answer), len(answer)) >= s.agree * len(answer)
+
+
+def leaks_all(docs: list[np.ndarray], items: list[np.ndarray], answers: list[np.ndarray], s: Settings, batch: int = 256) -> list[tuple[int, int, int] | None]:
+    """For each pair the longest leak among all its local alignments.
+
+    After an alignment that is none, the stretch of the document it took is cut out, and what stands
+    before it and after it is aligned anew; so a better alignment beside it hides no leak. A stretch
+    shorter than the words a leak must share is dropped.
+    """
+    out: list[tuple[int, int, int] | None] = [None] * len(docs)
+    enough = s.least - s.slack - s.edits
+    todo = sorted(((k, d) for k, d in enumerate(docs) if len(d) >= enough), key=lambda x: len(x[1]))
+    while todo:
+        more = []
+        for at in range(0, len(todo), batch):
+            part = todo[at : at + batch]
+            for (k, doc), found in zip(part, aligned_all([d for _, d in part], [items[k] for k, _ in part]), strict=True):
+                hit = judge(doc, items[k], found, answers[k], s)
+                if hit is not None:
+                    if out[k] is None or hit[2] - hit[1] > out[k][2] - out[k][1]:
+                        out[k] = hit
+                    continue
+                if found[0] * 2 < enough:
+                    continue
+                more += [(k, rest) for rest in (doc[: found[3]], doc[found[4] :]) if len(rest) >= enough]
+        todo = sorted(more, key=lambda x: len(x[1]))
+    return out
+
+
+def leaks(doc: np.ndarray, item: np.ndarray, s: Settings, answer: np.ndarray | None = None) -> tuple[int, int, int] | None:
+    return leaks_all([doc], [item], [np.zeros(0, dtype=np.int64) if answer is None else answer], s)[0]
+
+
+def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centres of unit rows, and the centre of each row."""
+    draw = np.random.default_rng(seed)
+    centre = x[draw.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        own = (x @ centre.T).argmax(axis=1)
+        for j in range(len(centre)):
+            if (own == j).any():
+                centre[j] = x[own == j].sum(axis=0)
+        centre = _unit(centre)
+    return centre, (x @ centre.T).argmax(axis=1)
+
+
 class Index:
     """The latent space, and the windows of the items in it."""
 
@@ -219,6 +295,11 @@ class Index:
         self.start = np.array([a for _, a, _ in windows])
         vec = [table[w % s.buckets].sum(axis=0) for _, _, w in windows]
         self.vec = _unit(np.array(vec, dtype=np.float32)) if vec else np.zeros((0, table.shape[1]), np.float32)
+        #: A scratch bitmap of word hashes, and the items' words as places in it.
+        self.mark = np.zeros(1 << 16, dtype=bool)
+        self.low_bits = {i: w & 0xFFFF for i, w in items}
+        self.centre, own = k_means(self.vec, s.lists, s.seed) if vec else (np.zeros((0, table.shape[1]), np.float32), np.zeros(0, int))
+        self.members = [np.nonzero(own == j)[0] for j in range(len(self.centre))]
 
     def search(self, texts: list[np.ndarray]) -> list[tuple[int, ...]]:
         """text, item, first and last block of the passages near windows of the item, and the first
@@ -228,10 +309,19 @@ class Index:
         vec, text, first = passages(block_sums(self.table, words % s.buckets, starts), per, s.span)
         vec = _unit(vec)
         out = []
-        for a in range(0, len(vec), 512):
-            p, w = np.nonzero(vec[a : a + 512] @ self.vec.T >= s.cosine)
-            if len(p):
-                out.append(np.stack([text[a + p], self.owner[w], first[a + p], self.start[w]], axis=1))
+        near = vec @ self.centre.T
+        if near.shape[1] > s.probes:
+            least = np.partition(near, near.shape[1] - s.probes, axis=1)[:, near.shape[1] - s.probes]
+            asked = near >= np.maximum(least, s.floor)[:, None]
+        else:
+            asked = np.ones(near.shape, dtype=bool)
+        for j, own in enumerate(self.members):
+            rows = np.nonzero(asked[:, j])[0]
+            if len(rows) and len(own):
+                p, w = np.nonzero(vec[rows] @ self.vec[own].T >= s.cosine)
+                if len(p):
+                    p, w = rows[p], own[w]
+                    out.append(np.stack([text[p], self.owner[w], first[p], self.start[w]], axis=1))
         if not out:
             return []
         rows = np.concatenate(out)
@@ -244,11 +334,21 @@ class Index:
 
     def may_leak(self, region: np.ndarray, item: int, low: int, high: int) -> bool:
         """A leak has ``least`` consecutive words of the item inside a stretch that begins at some
-        multiple of ``step`` and is ``least + step`` long; its words must be there in order."""
+        multiple of ``step`` and is ``least + step`` long; its words must be there, and in order."""
         s, words = self.s, self.items[item]
-        enough = int(s.agree * (s.least - s.slack))
-        for a in range(max(0, low - s.step), high + s.step + 1, s.step):
-            part = words[a : a + s.least + s.step]
+        enough = int(min(s.agree, s.near) * (s.least - s.slack))
+        span = s.least + s.step
+        mark = self.mark
+        mark[region & 0xFFFF] = True
+        there = np.concatenate([[0], np.cumsum(mark[self.low_bits[item]])])
+        mark[region & 0xFFFF] = False
+        starts = np.arange(max(0, low - s.step), high + s.step + 1, s.step)
+        starts = starts[starts < len(words)]
+        if not len(starts):
+            return False
+        held = there[np.minimum(starts + span, len(words))] - there[starts]
+        for a in starts[held >= enough].tolist():
+            part = words[a : a + span]
             if common_words(region, places(part), len(part)) >= enough:
                 return True
         return False
@@ -370,17 +470,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, s: Settings
             table, part, answers = shared.value
             index = Index(table, part, s)
             for ids, texts in _chunks(batches):
-                best: dict[tuple[int, int], tuple] = {}
+                near = []
                 for x, item, first, last, low, high in index.search(texts):
-                    words = index.items[item]
                     region = texts[x][max(0, first - 2) * s.block : (last + s.span + 2) * s.block]
-                    if not index.may_leak(region, item, low, high):
-                        continue
-                    hit = leaks(region, words, s)
+                    if index.may_leak(region, item, low, high):
+                        near.append((x, item, region))
+                hits = leaks_all([r for _, _, r in near], [index.items[i] for _, i, _ in near], [answers[i] for _, i, _ in near], s)
+                best: dict[tuple[int, int], tuple] = {}
+                for (x, item, region), hit in zip(near, hits, strict=True):
                     if hit and hit[2] - hit[1] > best.get((x, item), (0,))[0]:
-                        answer = answers[item]
-                        told = len(answer) > 0 and common_words(region, places(answer), len(answer)) >= s.agree * len(answer)
-                        best[(x, item)] = (hit[2] - hit[1], hit[0], hit[1], told)
+                        best[(x, item)] = (hit[2] - hit[1], hit[0], hit[1], has_answer(region, answers[item], s))
                 if best:
                     yield pd.DataFrame([(ids[x], i, *v) for (x, i), v in best.items()], columns=["doc_id", "item_id", "n_words", "n_same", "item_from", "answer_leaked"])
 

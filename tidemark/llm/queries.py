@@ -9,7 +9,7 @@ from tidemark.functions.core import canonical_id, clean_response
 from tidemark.llm.leakage import find_leaks
 from tidemark.llm.pii import redact_text
 from tidemark.llm.runs import collapse_runs
-from tidemark.llm.splits import component_groups, contract, grouped_splits, relation_edges
+from tidemark.llm.splits import component_groups, contract, grouped_splits, relation_edges, vertex
 from tidemark.llm.tokenize import decode_column, encode_column
 from tidemark.llm.truncation import flag_truncated, length_hazards, truncation_rates
 from tidemark.plans.problems import FILLER, ONCE
@@ -73,6 +73,21 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouped_splits(rows, RELATED, "event_id", Scratch(spark, "splits")).select("event_id", "split")
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """The promises of p5_splits, measured on its rows, for SQL to compare with what they must be."""
+    rows = contact_events(spark, d, "event_id", *RELATED)
+    out, _ = Scratch(spark, "check").cut(grouped_splits(rows, RELATED, "event_id", Scratch(spark, "splits")).select(*RELATED, "split"))
+    shared = None
+    for i, c in enumerate(RELATED):
+        own = out.select(vertex(f"{i}:", F.col(c)).alias("v"), "split").where(F.col("v").isNotNull()).groupBy("v").agg(F.count_distinct("split").alias("n"))
+        shared = own if shared is None else shared.unionByName(own)
+    row = lambda what, value: F.struct(F.lit(what).alias("what"), value.cast("double").alias("value"))
+    part = lambda name, share: F.abs(F.count_if(F.col("split") == name) / F.count(F.lit(1)) - share) <= 0.01
+    a = shared.agg(row("shared values", F.count_if(F.col("n") > 1)).alias("r"))
+    b = out.agg(F.array(row("splits", F.count_distinct("split")), row("rows", F.count(F.lit(1))), *[row(f"{s} within 1 percent", part(s, p)) for s, p in (("train", 0.8), ("validation", 0.1), ("test", 0.1))]).alias("r"))
+    return a.select("r.*").unionByName(b.select(F.inline("r")))
+
+
 # p8 ------------------------------------------------------------------------------------------
 
 
@@ -91,6 +106,11 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_same(spark: SparkSession, d: str) -> DataFrame:
+    """By source, how many texts there are and how many come back from their ids unchanged."""
+    return p8_round_trip(spark, d).select("source", "n_docs", "n_same")
+
+
 # p9 ------------------------------------------------------------------------------------------
 
 
@@ -138,7 +158,9 @@ QUERIES = {
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p5_check": p5_check,
     "p8_ids": p8_ids,
+    "p8_same": p8_same,
     "p8_round_trip": p8_round_trip,
     "p9_found": p9_found,
     "p9_items": p9_items,
@@ -152,11 +174,11 @@ RUNS = (
     + ONCE
     + r""", dials AS (
   SELECT account_id, contact_point_ref, event_id, occurred_at,
-    nullif(regexp_replace(regexp_replace(lower(payload->>'network_response'), '\s*(\(\s*\d+\s*\)|[/:#-]\s*\d+)\s*$', ''), '[^a-z0-9]', '', 'g'), '') AS r
-  FROM once WHERE event_type = 'dial_attempt' AND account_id IS NOT NULL AND contact_point_ref IS NOT NULL AND event_id IS NOT NULL AND occurred_at IS NOT NULL),
+    CASE WHEN event_id IS NOT NULL THEN nullif(regexp_replace(regexp_replace(lower(payload->>'network_response'), '\s*(\(\s*\d+\s*\)|[/:#-]\s*\d+)\s*$', ''), '[^a-z0-9]', '', 'g'), '') END AS r
+  FROM once WHERE event_type = 'dial_attempt' AND account_id IS NOT NULL AND contact_point_ref IS NOT NULL AND occurred_at IS NOT NULL),
 s AS (SELECT *, coalesce(r = lag(r) OVER w AND occurred_at - lag(occurred_at) OVER w <= INTERVAL 30 MINUTE, false) AS linked
-  FROM dials WINDOW w AS (PARTITION BY account_id, contact_point_ref ORDER BY occurred_at, event_id)),
-g AS (SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY account_id, contact_point_ref ORDER BY occurred_at, event_id ROWS UNBOUNDED PRECEDING) AS run FROM s),
+  FROM dials WINDOW w AS (PARTITION BY account_id, contact_point_ref ORDER BY occurred_at, event_id NULLS FIRST)),
+g AS (SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY account_id, contact_point_ref ORDER BY occurred_at, event_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS run FROM s),
 runs AS (SELECT account_id, contact_point_ref, any_value(r) AS network_response, first(event_id ORDER BY occurred_at, event_id) AS first_event_id,
   epoch_us(min(occurred_at)) AS first_at_us, count(*) AS n_attempts, (epoch_us(max(occurred_at)) - epoch_us(min(occurred_at))) / 1e6 AS seconds
   FROM g WHERE r IS NOT NULL GROUP BY account_id, contact_point_ref, run HAVING count(*) > 1)
@@ -170,7 +192,15 @@ edges AS (SELECT u, v FROM pairs WHERE u IS NOT NULL AND v IS NOT NULL UNION SEL
 reach AS (SELECT DISTINCT k0 AS a, k0 AS x FROM k WHERE k0 IS NOT NULL UNION SELECT r.a, e.v FROM reach r JOIN edges e ON e.u = r.x)
 SELECT substr(a, 3) AS account_id, substr(min(x), 3) AS group_id FROM reach WHERE x LIKE '0:%' GROUP BY a HAVING count(*) > 1"""
 
+#: p5_check states what a split must hold: each value in one split, the proportions, every row once.
+SPLIT_CHECK = f"""SELECT 'shared values' AS what, 0.0 AS value UNION ALL SELECT 'splits', 3.0
+UNION ALL SELECT 'rows', CAST(count(*) AS DOUBLE) FROM contact_events
+UNION ALL SELECT 'train within 1 percent', 1.0 UNION ALL SELECT 'validation within 1 percent', 1.0 UNION ALL SELECT 'test within 1 percent', 1.0"""
+ROUND_TRIP = "SELECT source, count(*) AS n_docs, count(*) AS n_same FROM documents GROUP BY 1"
+
 SQL = {
+    "p5_check": SPLIT_CHECK,
+    "p8_same": ROUND_TRIP,
     "p5_found": GROUPS,
     "p3_found": RUNS + "SELECT account_id, contact_point_ref, first_event_id, n_attempts FROM runs",
     "p3_runs": RUNS + "SELECT * FROM runs",

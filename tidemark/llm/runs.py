@@ -53,10 +53,11 @@ def collapse_runs(events: DataFrame, keys: Sequence[str], scratch: Scratch, max_
     then aggregated by start with map-side combine.
 
     Returns the keys, value, first_id, first_at, last_at, n, seconds. Defined cases: an event with a
-    null value belongs to no run and ends one; rows with a null key, id or time are left out; equal
-    times are ordered by id; an empty table gives no rows.
+    null value or id belongs to no run and ends one; rows with a null key or time are left out; equal
+    times are ordered by id, null first; an empty table gives no rows.
     """
-    usable = events.dropna(subset=[*keys, "id", "occurred_at"])
+    # An event without an id keeps its place in the order, where it ends a run.
+    usable = events.dropna(subset=[*keys, "occurred_at"]).withColumn("value", F.when(F.col("id").isNotNull(), F.col("value")))
     links, path = scratch.cut(link_predecessors(usable, keys, max_gap_s))
     chained = links.where(F.col("id") != F.col("ptr")).select("id", "ptr")
     starts = resolve_pointers(chained, scratch)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import is_filler
 from tidemark.llm.pointers import resolve_pointers
+from tidemark.operators.skew import hot_values, spread_join
 from tidemark.session import Scratch
 
 MAX_ROUNDS = 200
@@ -73,7 +74,7 @@ def component_groups(labels: DataFrame, prefix: str = "0:") -> DataFrame:
     """Members of one kind in components with at least two of them, and the smallest member."""
     own = labels.where(F.col("id").startswith(prefix)).withColumn("member", F.substring("id", len(prefix) + 1, 2**30))
     groups = own.groupBy("root").agg(F.min("member").alias("group_id"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return own.join(groups, "root").select("member", "group_id", "n")
+    return spread_join(own, groups, "root").select("member", "group_id", "n")
 
 
 def assign_splits(weights: DataFrame, proportions: Sequence[tuple[str, float]] = (("train", 0.8), ("validation", 0.1), ("test", 0.1))) -> DataFrame:
@@ -106,8 +107,8 @@ def grouped_splits(rows: DataFrame, cols: Sequence[str], id_col: str, scratch: S
     """Every row with a split such that no value of ``cols`` is shared between two.
 
     Null, blank and filler values relate nothing; a row without any value is a component of its own,
-    keyed by ``id_col``. Rows are counted per first value before the components are joined, so the
-    hot values of the table never meet in one task. Columns ``component`` and ``split`` are added;
+    keyed by ``id_col``. Rows are counted per first value before the components are joined, and the
+    joins spread hot values and giant components, so that none meets in one task. Columns ``component`` and ``split`` are added;
     where the table has such already, ValueError is raised.
     """
     if clash := {"component", "split", "tm_vertex"} & {c.lower() for c in rows.columns}:
@@ -120,5 +121,5 @@ def grouped_splits(rows: DataFrame, cols: Sequence[str], id_col: str, scratch: S
     named = counts.join(labels.withColumnRenamed("id", "tm_vertex"), "tm_vertex", "left").withColumn("component", F.coalesce("root", "tm_vertex"))
     named, _ = scratch.cut(named.select("tm_vertex", "n", "component"))
     splits = assign_splits(named.groupBy("component").agg(F.sum("n").alias("weight")))
-    by_vertex = named.join(splits.select("component", "split"), "component").select("tm_vertex", "component", "split")
-    return keyed.join(by_vertex, "tm_vertex").drop("tm_vertex")
+    by_vertex = spread_join(named, splits.select("component", "split"), "component").select("tm_vertex", "component", "split")
+    return spread_join(keyed, by_vertex, "tm_vertex", hot=hot_values(named.select("tm_vertex", "n"), "tm_vertex", "n")).drop("tm_vertex")
