@@ -12,7 +12,7 @@ from tidemark.sources.buckets import BucketTable
 from tidemark.sources.dimensions import write_output, write_report
 from tidemark.sources.readers import UnsupportedInput, load_input, split_corrupt
 from tidemark.sources.store import EventStore
-from tidemark.streaming.intake import fast_path, ingest_batch, start_intake, suppression_log
+from tidemark.streaming.intake import fast_path, ingest_batch, start_intake, suppression_evidence, suppression_log
 
 DIALER = {
     "source": "dialer",
@@ -121,6 +121,8 @@ def test_fast_path_and_suppression(spark):
     hits = fast_path(ev, [("recycled", F.col("disposition") == "wrong_number"), ("dispute", F.col("disposition") == "dispute")])
     log = suppression_log(hits).collect()
     assert [(x.contact_point_ref, x.reason, x.evidence, x.version) for x in log] == [("r", "recycled", ["e1", "e2"], 1)]
+    assert [(x.reason, x.n_evidence) for x in suppression_log(hits, whole=False).collect()] == [("recycled", 2)]
+    assert sorted(x.event_id for x in suppression_evidence(hits).collect()) == ["e1", "e2"]
 
 
 def test_one_bad_line_loses_no_other(spark, tmp_path):

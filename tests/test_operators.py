@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from tidemark.functions import normalize as norm
 from tidemark.functions.core import canonical_id, clean_response, instant, is_filler, pack_id, unpack_id
 from tidemark.functions.text import months_switched_off
-from tidemark.operators import labels, metrics, ranking, sharing, telephony
+from tidemark.models import learned
+from tidemark.operators import harness, labels, metrics, ranking, sharing, telephony
 from tidemark.operators.deliver_once import deliver_once
 from tidemark.operators.entity_vectors import sparse_cells, expand, merge_vectors, sparse_vectors, type_vocabulary
 from tidemark.operators.late_events import LateState, classify, correct_late, current_watermarks, hot_keys, new_dirty_marks
@@ -335,6 +336,24 @@ def scored(spark, rows):
     return spark.createDataFrame(rows, "y int, p double")
 
 
+def test_a_long_chain_of_shared_contacts(spark):
+    """More links than rounds: the labels leap."""
+    n = 300
+    rows = [("L", f"b{i:03d}", f"c{i}") for i in range(n)] + [("L", f"b{i:03d}", f"c{i + 1}") for i in range(n)]
+    got = sharing.component_sizes(spark.createDataFrame(rows, "lender_id string, borrower_id string, contact_point_ref string"), Scratch(spark, "t"), most=25).collect()
+    assert {(r.component, r.n_borrowers) for r in got} == {("b000", n)} and len(got) == n
+
+
+def test_scratch_is_dropped_at_its_end(spark):
+    import os
+
+    with Scratch(spark, "t") as s:
+        s.cut(spark.range(3))
+        where = s.base.removeprefix("file://")
+        assert os.path.isdir(where)
+    assert not os.path.isdir(where)
+
+
 def test_metrics_pinned(spark):
     s = scored(spark, [(0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8)])
     assert metrics.roc_auc(s).first().auc == pytest.approx(0.75)
@@ -353,10 +372,64 @@ def test_auc_brute_force(spark):
     assert metrics.roc_auc(scored(spark, rows)).first().auc == pytest.approx(want)
 
 
-def test_bootstrap_covers_mean(spark):
-    s = spark.createDataFrame([(str(i), float(i % 7)) for i in range(500)], "id string, v double")
-    x = metrics.bootstrap_interval(s, F.col("v"), reps=60).first()
-    assert x.low < x["mean"] < x.high and x.high - x.low < 1
+def test_bootstrap(spark):
+    s = spark.createDataFrame([(str(i), float(i % 7), i % 2, round(0.3 * (i % 2) + (i % 10) / 15, 3)) for i in range(500)], "id string, v double, y int, p double")
+    x = harness.bootstrap_mean(s, "v", reps=60).first()
+    assert x.low < x["mean"] < x.high and x.high - x.low < 1 and x["mean"] == pytest.approx(sum(i % 7 for i in range(500)) / 500)
+    assert harness.bootstrap_mean(s.repartition(5), "v", reps=60).first() == pytest.approx(tuple(x))
+    auc = harness.bootstrap_metric(s, metrics.roc_auc, "auc", reps=30).first()
+    assert auc.low <= auc.value <= auc.high and auc.high - auc.low < 0.2
+    assert auc.value == pytest.approx(metrics.roc_auc(s).first().auc)
+
+
+def test_scorer_registry():
+    assert {"incumbent", "trees", "answer_rate"} <= set(harness.scorer_names())
+    with pytest.raises(KeyError):
+        harness.get_scorer("nobody")
+    with pytest.raises(ValueError):
+        harness.register_scorer("trees", harness.TreeScorer)
+
+
+def test_filters_of_labels(spark):
+    lab = spark.createDataFrame([("a", False), ("b", True), ("c", None)], "account_id string, censored boolean")
+    assert [r[0] for r in harness.dialled_only(lab).collect()] == ["a"] and harness.dialled_only(lab.drop("censored")).count() == 0
+    splits = spark.createDataFrame([("a", "train"), ("b", "test")], "account_id string, split string")
+    assert [r[0] for r in harness.train_accounts_only(lab, splits).collect()] == ["a"]
+    ev = spark.createDataFrame([("e", "random"), ("f", "rule")], "event_id string, dialling_arm string")
+    assert [r[0] for r in harness.random_arm(ev).collect()] == ["e"] and harness.random_arm(ev.drop("dialling_arm")).count() == 0
+
+
+def test_avoiding_against_dead(spark):
+    rows = [("avoiding", 0.9), ("avoiding", 0.4), ("invalid", 0.2), ("recycled", 0.6), ("alive", 0.99), (None, 0.1)]
+    x = harness.avoiding_or_dead(spark.createDataFrame(rows, "s string, a double"), "s", "a").first()
+    assert (x.n, x.tn, x.fp, x.fn, x.tp, x.auc) == (4, 1, 1, 1, 1, 0.75)
+    assert harness.avoiding_or_dead(spark.createDataFrame([], "s string, a double"), "s", "a").first().n == 0
+
+
+def test_trace_history_and_outcome(spark):
+    traces = [(f"a{i}", at(10 + i % 3), bool(i % 2), i % 5 == 4) for i in range(40)]
+    hist = [(f"a{i}", "dial_attempt", "answered" if i % 2 else "busy", None, at(9 + d)) for i in range(40) for d in range(4)] + [("a1", "payment", None, 12.5, at(9)), ("a1", "payment", None, 1.0, at(30))]
+    t = spark.createDataFrame(traces, "account_id string, start timestamp, paid boolean, censored boolean")
+    h = spark.createDataFrame(hist, "account_id string, event_type string, network_response string, amount double, at timestamp")
+    got = {r.account_id: r for r in learned.trace_history(t, h).collect()}
+    for a, start, *_ in traces:
+        assert got[a].n_dials == sum(x[0] == a and x[1] == "dial_attempt" and x[4] <= start for x in hist)
+    assert (got["a1"].n_payments, got["a1"].paid_before, got["a1"].n_answered) == (1, 12.5, got["a1"].n_dials)
+    out = learned.TraceOutcome().fit(learned.trace_history(t, h)).predict(learned.trace_history(t, h)).collect()
+    assert all(0.01 <= r.p_recover_30d <= 0.99 for r in out) and min(r.p_recover_30d for r in out if r.account_id == "a1") > 0.5
+    one = learned.TraceOutcome().fit(learned.trace_history(t.where("paid"), h)).predict(learned.trace_history(t, h)).first()
+    assert one.p_recover_30d == 0.99
+
+
+def test_beta_calibration(spark):
+    rows = [(float(r < 0.8 * p), p, at(i)) for i in range(30) for p in (0.1, 0.3, 0.5, 0.7, 0.9) for r in (0.1, 0.3, 0.5, 0.7, 0.9)]
+    df = spark.createDataFrame(rows, "y double, p double, t timestamp")
+    cal = learned.BetaCalibrator().fit(df)
+    out = sorted({(r.p, r.p_cal) for r in cal.transform(df).collect()})
+    assert [c for _, c in out] == sorted(c for _, c in out) and out[-1][1] < 0.9
+    with pytest.raises(ValueError):
+        learned.BetaCalibrator().fit(df, time="t", after="2026-01-05")
+    assert learned.BetaCalibrator().fit(df.where("y = 1")).transform(df).first().p_cal == 1.0
 
 
 def test_greedy_budget(spark):

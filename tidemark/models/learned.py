@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import HIDDEN_COLUMNS
@@ -81,6 +81,85 @@ class SegmentCalibrator:
         return joined.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("tm_seg", "tm_m", "m")
 
 
+class BetaCalibrator:
+    """Beta calibration: a logistic map of log(p) and -log(1 - p); the plain rate where the labels have
+    one class. With ``after`` it refuses rows whose split is not later than those the scores were
+    fitted on."""
+
+    def __init__(self, eps: float = 1e-6):
+        self.eps, self.model, self.rate = eps, None, 0.0
+
+    def _terms(self, df: DataFrame, p: str) -> DataFrame:
+        held = F.least(F.lit(1 - self.eps), F.greatest(F.lit(self.eps), F.col(p).cast("double")))
+        return df.withColumn("tm_a", F.log(held)).withColumn("tm_b", -F.log(1 - held))
+
+    def fit(self, df: DataFrame, y: str = "y", p: str = "p", time: str | None = None, after: str | None = None) -> BetaCalibrator:
+        data = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+        if time is not None and after is not None and not data.where(F.col(time) <= F.lit(after).cast("timestamp")).isEmpty():
+            raise ValueError("calibration rows must be later than those the scores were fitted on")
+        seen = data.agg(F.avg(F.col(y).cast("double")).alias("rate"), F.count_distinct(y).alias("k")).first()
+        self.rate = float(seen["rate"] or 0.0)
+        self.model = fit_classifier(self._terms(data, p).select(F.col(y).cast("double").alias("y"), "tm_a", "tm_b"), "y", ["tm_a", "tm_b"], "logistic") if seen["k"] == 2 else None
+        return self
+
+    def transform(self, df: DataFrame, p: str = "p", out: str = "p_cal") -> DataFrame:
+        if self.model is None:
+            return df.withColumn(out, F.lit(self.rate))
+        return predict(self.model, self._terms(df, p), ["tm_a", "tm_b"], out).drop("tm_a", "tm_b")
+
+
+def trace_history(traces: DataFrame, history: DataFrame) -> DataFrame:
+    """Traces (account_id, start, ...) with what their account did up to each: n_dials, n_answered,
+    n_payments, paid_before.
+
+    ``history``: account_id, event_type, network_response, amount, at. Both sides are cut into days; the
+    days of an account are summed first and carried forward by a running sum, and only events of a
+    trace's own day meet it singly. Sums are of 1/1000, so they do not depend on order.
+    """
+    fields = ("n_dials", "n_answered", "n_payments", "milli")
+    dial, pay = F.col("event_type") == "dial_attempt", F.col("event_type") == "payment"
+    one = history.dropna(subset=["account_id", "at"]).select(
+        "account_id",
+        "at",
+        F.to_date("at").alias("day"),
+        dial.cast("bigint").alias("n_dials"),
+        (dial & F.coalesce(F.col("network_response") == "answered", F.lit(False))).cast("bigint").alias("n_answered"),
+        pay.cast("bigint").alias("n_payments"),
+        F.coalesce(F.when(pay, F.round(F.col("amount") * 1000).cast("bigint")), F.lit(0)).alias("milli"),
+    )
+    daily = one.groupBy("account_id", "day").agg(*[F.sum(c).alias(c) for c in fields])
+    starts = traces.withColumn("day", F.to_date("start"))
+    marks = starts.select("account_id", "day").distinct()
+    w = Window.partitionBy("account_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    both = daily.unionByName(marks.select("account_id", "day", *[F.lit(0).cast("bigint").alias(c) for c in fields])).groupBy("account_id", "day").agg(*[F.sum(c).alias(c) for c in fields])
+    carried = both.select("account_id", "day", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in fields])
+    here = starts.select("account_id", "day", "start").join(one, ["account_id", "day"]).where(F.col("at") <= F.col("start")).groupBy("account_id", "start").agg(*[F.sum(c).alias(f"{c}_here") for c in fields])
+    out = starts.join(carried, ["account_id", "day"], "left").join(here, ["account_id", "start"], "left")
+    total = {c: F.coalesce(f"{c}_before", F.lit(0)) + F.coalesce(f"{c}_here", F.lit(0)) for c in fields}
+    return out.select(*traces.columns, *[total[c].alias(c) for c in fields[:3]], (total["milli"] / 1000.0).alias("paid_before"))
+
+
+class TraceOutcome:
+    """P(pays within the window | traced, history before): trees on the uncensored traces; the base rate
+    where they have fewer than two rows or one class. Held to [0.01, 0.99]."""
+
+    FEATURES = ("n_dials", "n_answered", "n_payments", "paid_before")
+
+    def __init__(self, **params):
+        self.params, self.model, self.rate = params, None, 0.0
+
+    def fit(self, traces: DataFrame) -> TraceOutcome:
+        data = traces.where(~F.coalesce(F.col("censored"), F.lit(True)) & F.col("paid").isNotNull()).withColumn("y", F.col("paid").cast("double"))
+        seen = data.agg(F.avg("y").alias("rate"), F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("k")).first()
+        self.rate = float(seen["rate"] or 0.0)
+        self.model = fit_classifier(data, "y", list(self.FEATURES), **self.params) if seen["n"] >= 2 and seen["k"] == 2 else None
+        return self
+
+    def predict(self, traces: DataFrame, out: str = "p_recover_30d") -> DataFrame:
+        scored = traces.withColumn(out, F.lit(self.rate)) if self.model is None else predict(self.model, traces, list(self.FEATURES), out)
+        return scored.withColumn(out, F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col(out))))
+
+
 def inverse_propensity(df: DataFrame, p: str = "propensity", lo: float = 0.05, hi: float = 0.95, cap: float = 20.0) -> DataFrame:
     """1 / propensity held to [lo, hi], at most ``cap``."""
     return df.withColumn("w", F.least(F.lit(cap), 1.0 / F.least(F.lit(hi), F.greatest(F.lit(lo), F.col(p)))))

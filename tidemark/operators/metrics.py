@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 1024
+#: Cumulative probabilities of a Poisson(1) variable: below the first it is 0, and so on.
+POISSON_EDGES = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
 
 def running_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score: n, pos, and above_n, above_pos (rows with a greater score)."""
-    cells = scored.where(F.col("p").isNotNull() & F.col("y").isNotNull()).groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("bigint")).alias("pos"))
+    """Per distinct score: n, pos, and above_n, above_pos (rows with a greater score). A column ``w`` is
+    the number of rows a row stands for."""
+    w = F.col("w").cast("bigint") if "w" in scored.columns else F.lit(1).cast("bigint")
+    cells = scored.where(F.col("p").isNotNull() & F.col("y").isNotNull()).groupBy(*by, "p").agg(F.sum(w).alias("n"), F.sum(w * F.col("y").cast("bigint")).alias("pos"))
     cells = cells.withColumn("range", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))) * RANGES))
     whole = cells.groupBy(*by, "range").agg(F.sum("n").alias("rn"), F.sum("pos").alias("rp"))
     down = Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -99,22 +103,3 @@ def top_hits(scored: DataFrame, k: int, id_col: str) -> DataFrame:
 
 def effective_sample_size(weights: DataFrame, w: str = "w") -> DataFrame:
     return weights.agg((F.sum(w) * F.sum(w) / F.nullif(F.sum(F.col(w) * F.col(w)), F.lit(0.0))).alias("ess"))
-
-
-def bootstrap_interval(scored: DataFrame, value: Column, reps: int = 200, seed: int = 13, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a mean: each row draws a Poisson(1) weight per repetition.
-
-    The weights are a function of the row's id hash, the repetition and the seed, so every partition
-    sums its part of all repetitions and only one row of each is shuffled.
-    """
-    # Cumulative probabilities of a Poisson(1) variable: below the first the weight is 0, and so on.
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    drawn = scored.select("id", value.cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    u = F.pmod(F.xxhash64("id", F.lit(seed), "rep"), F.lit(1_000_003)) / 1_000_003.0
-    w = F.lit(0)
-    for e in edges:
-        w = w + (u >= e).cast("int")
-    each = drawn.withColumn("w", w).groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"), F.avg("v").alias("mean"))
-    lo, hi = (1 - level) / 2, (1 + level) / 2
-    at = lambda q: F.try_element_at("m", F.lit(int(q * (reps - 1)) + 1))
-    return each.agg(F.first("mean").alias("mean"), F.sort_array(F.collect_list("m")).alias("m")).select("mean", at(lo).alias("low"), at(hi).alias("high"))

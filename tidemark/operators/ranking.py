@@ -69,13 +69,17 @@ def posterior_mean(prior: Column, strength: float, hits: Column, n: Column) -> C
     return (prior * strength + hits) / (strength + n)
 
 
-def conformal_radius(scored: DataFrame, alpha: float, by: str) -> DataFrame:
+def conformal_radius(scored: DataFrame, alpha: float, by: str, ranges: int = 1024) -> DataFrame:
     """Per segment the ceil((1 - alpha)(n + 1))-th smallest absolute residual, the largest if there
-    are fewer; counted per distinct residual, so a segment is summed, not sorted row by row."""
+    are fewer. Residuals are counted by range first; only the range that holds the rank is ordered, so no
+    task sorts a segment."""
     res = scored.withColumn("r", F.abs(F.col("y") - F.col("p"))).where(F.col("r").isNotNull())
-    cells = res.groupBy(by, "r").agg(F.count(F.lit(1)).alias("n"))
-    total = cells.groupBy(by).agg(F.sum("n").alias("total"), F.max("r").alias("most"))
-    w = Window.partitionBy(by).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    cum = cells.withColumn("cum", F.sum("n").over(w)).join(total, by)
-    rank = F.ceil(F.lit(1.0 - alpha) * (F.col("total") + 1))
-    return cum.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("cum") >= rank, F.col("r"))), F.max("most")).alias("radius"), F.max("total").alias("n"))
+    cells = res.groupBy(by, "r").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(F.least(F.col("r"), F.lit(1.0)) * ranges))
+    total = cells.groupBy(by).agg(F.sum("n").alias("total"), F.max("r").alias("most")).withColumn("rank", F.ceil(F.lit(1.0 - alpha) * (F.col("total") + 1)))
+    below = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = cells.groupBy(by, "range").agg(F.sum("n").alias("rn")).withColumn("before", F.coalesce(F.sum("rn").over(below), F.lit(0)))
+    held = whole.join(total, by).where((F.col("before") < F.col("rank")) & (F.col("before") + F.col("rn") >= F.col("rank")))
+    inside = Window.partitionBy(by, "range").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    at = cells.join(held.select(by, "range", "before", "rank"), [by, "range"]).withColumn("cum", F.col("before") + F.sum("n").over(inside))
+    found = at.where(F.col("cum") >= F.col("rank")).groupBy(by).agg(F.min("r").alias("at"))
+    return total.join(found, by, "left").select(by, F.coalesce("at", "most").alias("radius"), F.col("total").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import VISIT_OUTCOMES, WINDOWS_DAYS
+from tidemark.operators.skew import spread_join
 from tidemark.operators.telephony import days_since, keyed, local, ratio
 from tidemark.session import Scratch
 from tidemark.sources.pit import CP_KEYS
@@ -38,8 +39,9 @@ def shared_counts(univ: DataFrame) -> DataFrame:
 def component_sizes(links: DataFrame, scratch: Scratch, most: int = 100) -> DataFrame:
     """lender_id, borrower_id, component, n_borrowers: borrowers joined by shared contacts of a lender.
 
-    Smallest labels travel from contacts to borrowers and back until nothing changes; each round is
-    two aggregations with map-side combine, whatever the degree of a contact, and is cut to the
+    Smallest labels travel from contacts to borrowers and back, and every label is replaced by its
+    label's label, until nothing changes, so a chain of n contacts takes about log n rounds. Each round
+    is two aggregations with map-side combine, whatever the degree of a contact, and is cut to the
     shared folder.
     """
     edges, _ = scratch.cut(links.select("lender_id", "borrower_id", "contact_point_ref").dropna().distinct())
@@ -49,7 +51,11 @@ def component_sizes(links: DataFrame, scratch: Scratch, most: int = 100) -> Data
         low = at.groupBy("lender_id", "contact_point_ref").agg(F.min("component").alias("low"))
         nearer = edges.join(low, ["lender_id", "contact_point_ref"]).groupBy(*BORROWER).agg(F.min("low").alias("low"))
         moved = label.join(nearer, list(BORROWER)).select(*BORROWER, F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
-        new, new_path = scratch.cut(moved)
+        nearer_now, near_path = scratch.cut(moved.withColumn("tm_at", F.concat_ws("\u0000", "lender_id", "component")))
+        jump = nearer_now.select(F.concat_ws("\u0000", *BORROWER).alias("tm_at"), F.col("component").alias("tm_jump"))
+        leapt = spread_join(nearer_now, jump, "tm_at")
+        new, new_path = scratch.cut(leapt.select(*BORROWER, F.least("component", "tm_jump").alias("component"), (F.col("moved") | (F.col("tm_jump") < F.col("component"))).alias("moved")))
+        scratch.drop(near_path)
         again = not new.where("moved").isEmpty()
         scratch.drop(path)
         label, path = new.drop("moved"), new_path

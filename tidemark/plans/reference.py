@@ -430,13 +430,6 @@ def m2_account_folds(spark, d):
     return acc.select("account_id", rest.cast("bigint").alias("fold_high"))
 
 
-@query()
-def m2_account_split(spark, d):
-    """Whole-digest folds and the number of contact references whose accounts span several."""
-    ev = seen(spark, d).dropna(subset=["account_id", "contact_point_ref"]).select("account_id", "contact_point_ref").distinct().withColumn("fold", labels.account_fold(F.col("account_id"), 5))
-    return ev.groupBy("contact_point_ref").agg(F.count_distinct("fold").alias("n_folds")).groupBy("n_folds").agg(F.count(F.lit(1)).alias("n_refs"))
-
-
 # Metrics -------------------------------------------------------------------------------------
 
 SCORED = (
@@ -521,12 +514,6 @@ def d34_ess(spark, d):
     return rounded(metrics.effective_sample_size(scored_rows(spark, d).select(w.alias("w"))), 6)
 
 
-@query()
-def d33_bootstrap_ci(spark, d):
-    rows = scored_rows(spark, d).withColumn("id", F.concat_ws("|", *CP_KEYS))
-    return rounded(metrics.bootstrap_interval(rows, (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))))
-
-
 @query(
     SCORED
     + """, t AS (SELECT lender_id, count(*) AS n, greatest(1, count(*) // 100) AS k FROM scored GROUP BY 1), r AS (SELECT s.*, row_number() OVER (PARTITION BY lender_id ORDER BY p DESC, borrower_id, contact_point_ref) AS rank FROM scored s)
@@ -745,7 +732,16 @@ def b10_address_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", norm.hash_value(F.col("text"), "address").alias("ref"))
 
 
-@query()
+HMAC_BLOCK = bytes(b"pepper".ljust(64, b"\0"))
+HMAC = "substr(sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode(account_id)))), 1, 16)".format(
+    outer=bytes(x ^ 0x5C for x in HMAC_BLOCK).hex(), inner=bytes(x ^ 0x36 for x in HMAC_BLOCK).hex()
+)
+
+
+@query(
+    f"""WITH h AS (SELECT account_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('accounts:' || account_id)) AS h FROM accounts)
+SELECT account_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), lower(to_hex((('0x' || substr(h, 17, 1))::INTEGER & 3) | 8)) || substr(h, 18, 3), substr(h, 21, 12)) AS uuid, {HMAC} AS keyed FROM h"""
+)
 def b8_uuid5(spark, d):
     """Name-based identifiers and keyed hashes of the accounts."""
     acc = table(spark, d, "accounts")

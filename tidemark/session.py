@@ -48,7 +48,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder; a table is dropped by name once the next one replaces it."""
+    """Tables written to the shared folder; a table is dropped by name once the next one replaces it.
+
+    What is returned lazily still reads them, so they stay until ``close``, which drops all; used as a
+    context, that is at its end: ``with Scratch(spark, "late") as s: write(correct_late(..., s))``.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -68,3 +72,12 @@ class Scratch:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def close(self) -> None:
+        self.drop(self.base)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

@@ -53,15 +53,28 @@ def fast_path(events: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFra
     return events.select("event_id", "lender_id", "contact_point_ref", "occurred_at", F.explode(fired).alias("reason"))
 
 
-def suppression_log(hits: DataFrame, order: Sequence[str] = ("occurred_at", "event_id")) -> DataFrame:
+def suppression_log(hits: DataFrame, order: Sequence[str] = ("occurred_at", "event_id"), whole: bool = True) -> DataFrame:
     """The current state per (lender, contact): first reason, all evidence, and a version that grows
-    with the order of first hits."""
+    with the order of first hits.
+
+    With ``whole`` false the evidence is counted only (n_evidence); ``suppression_evidence`` has it as a
+    table of its own, so that a line shared by many makes no large row. Versions are numbered inside each lender's days and moved by the numbers of the days before, so
+    no task orders a lender.
+    """
     first = F.min_by("reason", F.struct(*order))
     state = hits.groupBy("lender_id", "contact_point_ref").agg(
-        first.alias("reason"), F.min(F.struct(*order)).alias("at"), F.array_sort(F.collect_set("event_id")).alias("evidence"), F.count_distinct("reason").alias("n_reasons")
-    )
-    w = Window.partitionBy("lender_id").orderBy("at", "contact_point_ref")
-    return state.select("lender_id", "contact_point_ref", "reason", "evidence", "n_reasons", F.row_number().over(w).alias("version"))
+        first.alias("reason"), F.min(F.struct(*order)).alias("at"), (F.array_sort(F.collect_set("event_id")).alias("evidence") if whole else F.count_distinct("event_id").alias("n_evidence")), F.count_distinct("reason").alias("n_reasons")
+    ).withColumn("day", F.to_date(F.col("at")[order[0]]))
+    sizes = state.groupBy("lender_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lender_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("lender_id", "day").orderBy("at", "contact_point_ref"))
+    placed = state.withColumn("k", inside).join(sizes.select("lender_id", "day", before.alias("before")), ["lender_id", "day"])
+    return placed.select("lender_id", "contact_point_ref", "reason", "evidence" if whole else "n_evidence", "n_reasons", (F.col("before") + F.col("k")).cast("int").alias("version"))
+
+
+def suppression_evidence(hits: DataFrame) -> DataFrame:
+    """One row for each event that speaks for a contact's suppression, with its reasons' number."""
+    return hits.groupBy("lender_id", "contact_point_ref", "event_id").agg(F.count_distinct("reason").alias("n_reasons"))
 
 
 def since_version(log: DataFrame, version: int) -> DataFrame:
