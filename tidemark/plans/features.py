@@ -61,6 +61,8 @@ def registry() -> list[Feature]:
     text("last_source", "record")
     out.append(Feature("last_primary", "record", "boolean"))
     count("n_confirmed", "record")
+    out += [Feature("source", "record", "string"), Feature("record_age_days", "record", "int"), Feature("is_primary", "record", "boolean")]
+    out += [Feature("confirmed_by_payment", "record", "boolean"), Feature("days_since_confirmed", "record", "int")]
     for w in WINDOWS_DAYS:
         count(f"other_attempts_{w}d", "cross_line")
         count(f"other_answered_{w}d", "cross_line")
@@ -101,7 +103,10 @@ def build_features(source: EventSource, as_of: Column, scratch: Scratch, quarant
     sizes = sharing.component_sizes(univ, scratch).select("lender_id", "borrower_id", F.col("n_borrowers").alias("component_size"))
     disp = telephony.dispositions(ev, as_of)
     disp = disp.select(*CP_KEYS, *[F.col(c).alias(f"{c}_disposition") if c in {f"n_{d}" for d in DISPOSITIONS} else F.col(c) for c in disp.columns if c not in (*CP_KEYS, "agent_id")])
-    kinds = contacts.dropna(subset=list(CP_KEYS)).groupBy(*CP_KEYS).agg(F.min(F.lower("type")).alias("contact_type"))
+    # Of repeated rows of a contact the one made first counts, then the least source; a flag set in any holds.
+    first_source = F.min_by("source", F.struct(F.col("created_at").isNull(), "created_at", "source"))
+    kinds = contacts.dropna(subset=list(CP_KEYS)).groupBy(*CP_KEYS).agg(F.min(F.lower("type")).alias("contact_type"), first_source.alias("table_source"), F.bool_or("is_primary").alias("table_primary"))
+    age = univ.select(*CP_KEYS, telephony.days_since(as_of, F.col("created_at")).alias("record_age_days"))
     accounts = source.borrowers()
     fields = [f.name for f in registry() if f.family == "account"]
     account = accounts.groupBy("lender_id", "borrower_id").agg(*[F.min(c).alias(c) for c in fields if c in accounts.columns and c not in quarantined])
@@ -116,6 +121,7 @@ def build_features(source: EventSource, as_of: Column, scratch: Scratch, quarant
         (sharing.other_lines(ev, as_of), CP_KEYS),
         (sharing.visits(ev, as_of), CP_KEYS),
         (kinds, CP_KEYS),
+        (age, CP_KEYS),
         (sizes, CP_KEYS[:2]),
         (sharing.payments_window(ev, as_of), CP_KEYS[:2]),
         (account, CP_KEYS[:2]),
@@ -126,6 +132,11 @@ def build_features(source: EventSource, as_of: Column, scratch: Scratch, quarant
         "as_of_day": F.dayofmonth(telephony.local(as_of)),
         "as_of_holiday": F.date_format(telephony.local(as_of), "yyyy-MM-dd").isin(*HOLIDAYS),
     }
+    # The latest update speaks for a record, else the table.
+    calendar["source"] = F.coalesce("last_source", "table_source", F.lit("unknown"))
+    calendar["is_primary"] = F.coalesce("last_primary", "table_primary", F.lit(False))
+    calendar["confirmed_by_payment"] = F.coalesce(F.col("n_confirmed") > 0, F.lit(False))
+    calendar["days_since_confirmed"] = telephony.days_since(as_of, F.timestamp_micros("last_confirmed_us"))
     cols = []
     for f in registry():
         c = calendar.get(f.name, F.col(f.name) if f.name in out.columns else F.lit(None)).try_cast(f.kind)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.models import learned
 from tidemark.operators import harness, labels, metrics, telephony
 from tidemark.operators.harness import MINI_RESPONSES
-from tidemark.plans.reference import AS_OF, BASE, HAVE_KEYS, KEYS, PAIRS, SCORED, T0, T1, as_of, rounded, scored_rows, seen
+from tidemark.plans.reference import AS_OF, BASE, HAVE_KEYS, KEYS, PAIRS, SCORED, SINCE, T0, T1, UNIV, as_of, rounded, scored_rows, seen
 from tidemark.session import Scratch
 from tidemark.sources.pit import CP_KEYS, ParquetSource
 from tidemark.sources.tables import table
@@ -171,11 +171,34 @@ def k7_account_gbm(spark: SparkSession, d: str) -> DataFrame:
     return rounded(learned.predict(learned.fit_classifier(data, "y", names), data, names).select("account_id", "y", "p"), 6)
 
 
-QUERIES = {f.__name__: f for f in (d15_mini_features, m3_eval_loop, m3_eval_trees, b29_dialled_only, b30_split_filters, c18_modal_account, d32_avoiding_dead, m2_account_refs, d33_bootstrap_ci, j7_bootstrap_auc, k17_trace_frame, k17_trace_outcome, k10_beta_calibrator, k7_account_gbm)}
+def b27_record_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The frame's columns of dials and records, for SQL to compare with their parts."""
+    from tidemark.plans.features import build_features
+
+    out = build_features(ParquetSource(spark, d), as_of(), Scratch(spark, "features"))
+    return rounded(out.where("has_any_attempt").select(*CP_KEYS, "n_attempts_7d", "n_answered_30d", "answer_rate_30d", "consecutive_failures", "n_updates", "source", "record_age_days", "is_primary", "n_contacts", "contact_type"), 6)
+
+
+QUERIES = {f.__name__: f for f in (d15_mini_features, m3_eval_loop, m3_eval_trees, b29_dialled_only, b30_split_filters, c18_modal_account, d32_avoiding_dead, m2_account_refs, d33_bootstrap_ci, j7_bootstrap_auc, k17_trace_frame, k17_trace_outcome, k10_beta_calibrator, k7_account_gbm, b27_record_columns)}
 
 FOLD = "CAST(((('0x' || substr(sha256(account_id), 1, 16))::UHUGEINT * 18446744073709551616::UHUGEINT + ('0x' || substr(sha256(account_id), 17, 16))::UHUGEINT) % 5 + (('0x' || substr(sha256(account_id), 33, 16))::UHUGEINT * 18446744073709551616::UHUGEINT + ('0x' || substr(sha256(account_id), 49, 16))::UHUGEINT) % 5) % 5 AS BIGINT)"
 
+RECORDS = (
+    UNIV
+    + f""", w AS (SELECT {KEYS}, count(*) FILTER (WHERE occurred_at > {T0} - INTERVAL 7 DAY) AS n_attempts_7d, count(*) FILTER (WHERE occurred_at > {T0} - INTERVAL 30 DAY AND network_response = 'answered') AS n_answered_30d,
+    round(count(*) FILTER (WHERE occurred_at > {T0} - INTERVAL 30 DAY AND network_response = 'answered')::DOUBLE / nullif(count(*) FILTER (WHERE occurred_at > {T0} - INTERVAL 30 DAY), 0), 6) AS answer_rate_30d FROM kev WHERE event_type = 'dial_attempt' AND occurred_at <= {T0} GROUP BY ALL),
+f AS (SELECT {KEYS}, row_number() OVER w AS k, count(*) OVER (PARTITION BY {KEYS}) AS n, coalesce(network_response = 'answered', false) AS ans FROM kev WHERE event_type = 'dial_attempt' AND occurred_at <= {T0} WINDOW w AS (PARTITION BY {KEYS} ORDER BY occurred_at, received_at, event_id)),
+st AS (SELECT {KEYS}, CAST(max(n) - coalesce(max(k) FILTER (WHERE ans), 0) AS BIGINT) AS consecutive_failures FROM f GROUP BY ALL),
+u AS (SELECT {KEYS}, count(*) AS n_updates, last(struct_pack(s := update_source, p := update_primary) ORDER BY received_at, occurred_at, event_id) AS l FROM kev WHERE event_type = 'contact_point_update' GROUP BY ALL),
+t AS (SELECT {KEYS}, min(lower(type)) AS contact_type, first(source ORDER BY try_cast(created_at AS TIMESTAMPTZ) NULLS LAST, source NULLS FIRST) AS src, bool_or(is_primary) AS prim FROM contact_points WHERE {HAVE_KEYS} AND try_cast(created_at AS TIMESTAMPTZ) <= {T0} GROUP BY ALL),
+b AS (SELECT lender_id, borrower_id, count(DISTINCT contact_point_ref) AS n_contacts FROM univ GROUP BY 1, 2)
+SELECT {KEYS}, n_attempts_7d, n_answered_30d, answer_rate_30d, consecutive_failures, coalesce(n_updates, 0) AS n_updates, coalesce(l.s, src, 'unknown') AS source,
+  CAST({SINCE.format('univ.created_at')} AS INTEGER) AS record_age_days, coalesce(l.p, prim, false) AS is_primary, n_contacts, contact_type
+FROM w JOIN st USING ({KEYS}) JOIN univ USING ({KEYS}) JOIN b USING (lender_id, borrower_id) LEFT JOIN u USING ({KEYS}) LEFT JOIN t USING ({KEYS})"""
+)
+
 SQL = {
+    "b27_record_columns": RECORDS,
     "d15_mini_features": mini_sql(f"o AS (SELECT '{AS_OF}' AS origin, {T0} AS o_at)")
     + f" SELECT {KEYS}, " + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" if c in _DOUBLES else c for c in MINI_COLUMNS) + " FROM mini",
     "m3_eval_loop": EVALUATED,
