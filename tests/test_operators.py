@@ -439,6 +439,23 @@ def test_greedy_budget(spark):
     assert got == {("g", "a"): 1, ("g", "c"): 2, ("h", "e"): 1}
 
 
+def test_greedy_budget_of_a_large_group(spark):
+    """A group of 120,000 candidates, in the order of a fold over all of them; costs of cents, so that the budget's last part depends on the order of subtraction."""
+    df = spark.range(120_003).select(
+        F.when(F.col("id") >= 3, "big").when(F.col("id") > 0, "small").alias("grp"), F.concat(F.lit("k"), F.col("id")).alias("id"), (F.pmod(F.col("id") * 7919, F.lit(4001)) / 100).alias("cost"), F.pmod(F.col("id") * 31, F.lit(977)).alias("v")
+    ).repartition(7)
+    want = {}
+    left, rank = defaultdict(lambda: 2500.0), defaultdict(int)
+    for r in sorted(df.collect(), key=lambda r: (-r.v, r.id)):
+        if r.cost <= left[r.grp]:
+            left[r.grp] -= r.cost
+            rank[r.grp] += 1
+            want[r.grp, r.id] = (rank[r.grp], r.cost)
+    out = ranking.greedy_budget(df, "grp", [-F.col("v")], "cost", 2500.0, "id")
+    assert out.columns == ["grp", "id", "cost", "rank"] and [t for _, t in out.dtypes] == ["string", "string", "double", "int"]
+    assert {(r.grp, r.id): (r["rank"], r.cost) for r in out.collect()} == want and rank["big"] > 100 and rank["small"] == 2 and rank[None] == 1
+
+
 def test_mode_smallest_on_ties(spark):
     df = spark.createDataFrame([("k", "b"), ("k", "a"), ("k", "b"), ("k", "a"), ("k", None), ("z", "q")], "k string, v string")
     assert {x.k: (x.v, x.n) for x in labels.mode_of(df, ["k"], "v").collect()} == {"k": ("a", 2), "z": ("q", 1)}

@@ -4,29 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_budget(candidates: DataFrame, group: str, order: Sequence[Column], cost: str, budget: float, id_col: str, most: int = 100_000) -> DataFrame:
+def greedy_budget(candidates: DataFrame, group: str, order: Sequence[Column], cost: str, budget: float, id_col: str) -> DataFrame:
     """Takes candidates in order while they fit the group's budget, skipping those that do not.
 
-    Skipping makes the choice sequential, so each group is folded over its ordered candidates. Before
-    that, candidates that cannot matter leave: one dearer than the whole budget never fits. A group
-    larger than ``most`` is refused; its budget would have to be divided first.
+    Skipping makes the choice sequential, so each group is one sorted stream that is read once; only
+    what is left of the budget is kept between rows, and the sort spills, so a group may have any size.
+    Before that, candidates that cannot matter leave: one dearer than the whole budget never fits.
     """
     fits = candidates.where(F.col(cost).isNotNull() & (F.col(cost) >= 0) & (F.col(cost) <= budget))
-    keyed = fits.withColumn("tm_order", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(id_col).alias("id")))
-    rows = keyed.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("tm_order", F.col(id_col).alias("cid"), F.col(cost).cast("double").alias("c")))).alias("all"))
-    rows = rows.withColumn("all", F.when(F.size("all") <= most, F.col("all")).otherwise(F.raise_error(F.lit("too many candidates in one group"))))
-    kind = "struct<left:double,taken:array<struct<cid:string,c:double,rank:int>>>"
-    start = F.struct(F.lit(float(budget)).alias("left"), F.array().cast("array<struct<cid:string,c:double,rank:int>>").alias("taken")).cast(kind)
-
-    def step(acc, x):
-        more = F.struct((acc["left"] - x["c"]).alias("left"), F.concat(acc["taken"], F.array(F.struct(x["cid"].cast("string").alias("cid"), x["c"].alias("c"), (F.size(acc["taken"]) + 1).alias("rank")))).alias("taken"))
-        return F.when(x["c"] <= acc["left"], more.cast(kind)).otherwise(acc)
-
-    return rows.select(group, F.inline(F.aggregate("all", start, step)["taken"])).select(group, F.col("cid").alias(id_col), F.col("c").alias(cost), "rank")
+    keys = [f"o{i}" for i in range(len(order))]
+    named = fits.select(F.col(group).alias("g"), *[o.alias(k) for k, o in zip(keys, order, strict=True)], F.col(id_col).alias("id"), F.col(cost).cast("double").alias("c"))
+    rows = named.repartition("g").sortWithinPartitions("g", *keys, "id", "c").select("g", F.col("id").cast("string").alias("id"), "c")
+    kind = rows.withColumn("rank", F.lit(0)).schema
+
+    def fold(batches):
+        now, left, rank = object(), 0.0, 0
+        for b in batches:
+            at, ranks = [], []
+            for i, (g, c) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if g != now:
+                    now, left, rank = g, float(budget), 0
+                if c <= left:
+                    left, rank = left - c, rank + 1
+                    at.append(i)
+                    ranks.append(rank)
+            if at:
+                kept = b.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ranks, pa.int32())], names=["g", "id", "c", "rank"])
+
+    return rows.mapInArrow(fold, kind).select(F.col("g").alias(group), F.col("id").alias(id_col), F.col("c").alias(cost), "rank")
 
 
 def prefix_budget(candidates: DataFrame, group: str, order: Sequence[Column], cost: str, budget: float) -> DataFrame:
