@@ -123,6 +123,41 @@ def test_calibrator_is_monotone_with_fallback(spark):
     assert (np.diff(big) >= -1e-12).all() and len(out) == 600 and out["p_cal"].between(0, 1).all()
 
 
+def test_calibrator_query_computes_its_rows_once(spark, monkeypatch):
+    """The rows are computed once for all maps, which are those of the single rows."""
+    from tidemark.plans import reference
+
+    r = np.random.default_rng(11)
+    lender, p = r.choice(["A", "B", "C", "thin"], 900, p=[0.4, 0.3, 0.28, 0.02]), np.round(r.random(900), 2)
+    pdf = pd.DataFrame({"lender_id": lender, "borrower_id": [f"b{i}" for i in range(900)], "contact_point_ref": "c", "y": (r.random(900) < p**2).astype(int), "p": p})
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(reference, "scored_rows", lambda *_: df.mapInPandas(counted, df.schema))
+    got = {x.borrower_id: x.p_cal for x in reference.QUERIES["k10_calibrator"](spark, "d").collect()}
+    assert made.value == 900
+
+    def isotonic(part, at):
+        blocks = []
+        for x, g in part.groupby("p"):
+            blocks.append([x, x, g.y.sum(), len(g)])
+            while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
+                _, hi, pos, n = blocks.pop()
+                blocks[-1][1:] = [hi, blocks[-1][2] + pos, blocks[-1][3] + n]
+        xs, ys = [e for b in blocks for e in b[:2]], [b[2] / b[3] for b in blocks for _ in range(2)]
+        return np.interp(at, xs, ys)
+
+    want = {}
+    for name, part in pdf.groupby("lender_id"):
+        want.update(zip(part.borrower_id, isotonic(pdf if name == "thin" else part, part.p), strict=True))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_classifier_refuses_one_class_and_hides_truth(spark):
     df = spark.createDataFrame([(1, 0.5, 1, "k"), (1, 0.7, 2, "k")], "y int, a double, true_state int, event_id string")
     assert learned.feature_names(df, "y") == ["a"]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import HIDDEN_COLUMNS
+from tidemark.session import Scratch
 
 KEYS_OUT = ("lender_id", "borrower_id", "account_id", "contact_point_ref", "event_id", "as_of")
 
@@ -56,12 +57,15 @@ class SegmentCalibrator:
 
     def fit(self, df: DataFrame, segment: str, y: str = "y", p: str = "p") -> SegmentCalibrator:
         data = df.select(F.col(segment).cast("string").alias("seg"), F.col(y).cast("double").alias("label"), F.col(p).cast("double").alias("f")).dropna(subset=["label", "f"])
-        sizes = {r["seg"]: (r["n"], r["pos"]) for r in data.groupBy("seg").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).collect()}
-        thick = [s for s, (n, pos) in sizes.items() if s is not None and n >= self.least and self.least_pos <= pos < n]
-        for s in [None, *thick]:
-            part = data if s is None else data.where(F.col("seg") == s)
-            model = IsotonicRegression(featuresCol="f", labelCol="label").fit(part)
-            self.maps[s] = list(zip(map(float, model.boundaries), map(float, model.predictions), strict=True))
+        # Isotonic regression pools equal scores anyway, so the rows are read once, for their counts.
+        with Scratch(df.sparkSession, "cells") as scratch:
+            cells, _ = scratch.cut(data.groupBy("seg", "f").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").alias("pos")).withColumn("rate", F.col("pos") / F.col("n")))
+            sizes = {r["seg"]: (r["n"], r["pos"]) for r in cells.groupBy("seg").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()}
+            thick = [s for s, (n, pos) in sizes.items() if s is not None and n >= self.least and self.least_pos <= pos < n]
+            for s in [None, *thick]:
+                part = cells if s is None else cells.where(F.col("seg") == s)
+                model = IsotonicRegression(featuresCol="f", labelCol="rate", weightCol="n").fit(part)
+                self.maps[s] = list(zip(map(float, model.boundaries), map(float, model.predictions), strict=True))
         return self
 
     def transform(self, df: DataFrame, segment: str, p: str = "p", out: str = "p_cal") -> DataFrame:

@@ -1003,7 +1003,7 @@ def k7_gbm(spark, d):
 
 @query()
 def k10_calibrator(spark, d):
-    s = scored_rows(spark, d)
+    s, _ = Scratch(spark, "scored").cut(scored_rows(spark, d))
     return rounded(learned.SegmentCalibrator().fit(s, "lender_id").transform(s, "lender_id").select(*CP_KEYS, "y", "p", "p_cal"), 6)
 
 
